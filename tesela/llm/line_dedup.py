@@ -48,6 +48,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", window:
     suspects = materialize(eligible.join(small(repeated), F.col("__hash") == F.col("__again"), "left_semi"), "line-chunks")
     # equal bytes, not only equal hashes: the text is part of the grouping key
     firsts = suspects.groupBy(F.col("__hash").alias("h"), F.col("__text").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("__key").isNotNull().alias("k0"), F.col("__key").alias("k"), F.col("__mark").alias("m"), F.col("__at").alias("a"))).alias("first")).filter("n > 1")
+    firsts = materialize(firsts, "line-firsts")  # so that the join below has an exchange on both sides and a hot chunk can be split
     here = F.struct(F.col("__key").isNotNull().alias("k0"), F.col("__key").alias("k"), F.col("__mark").alias("m"), F.col("__at").alias("a"))
     doomed = suspects.join(firsts, (F.col("__hash") == F.col("h")) & (F.col("__text") == F.col("t"))).filter(~here.eqNullSafe(F.col("first")))
     removed = materialize(doomed.groupBy(F.col("__key").alias("k"), F.col("__mark").alias("m")).agg(F.array_sort(F.collect_set("__at")).alias("gone")), "line-removed")

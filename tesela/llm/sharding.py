@@ -54,7 +54,7 @@ def write_shards(df: DataFrame, out: str, shards: int = 8, key: str = "doc_id",
     `slot` counts the rows of a shard from 0 without gaps. Repeated runs with one seed give the same order."""
     keep = others(df, [*MADE, _BUCKET, _HASH, _PLACE, _BASE])
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.coalesce(col(text), F.lit("")))).alias("b")).first()
-    buckets = max(1, -(-int((stats.b or 0) + 64 * stats.n) // bucket_bytes))
+    buckets = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), stats.n // 100), -(-int((stats.b or 0) + 64 * stats.n) // bucket_bytes))
     dealt = df.select(*map(col, keep), F.xxhash64(F.lit(seed), col(key), col(text)).alias(_HASH)).withColumn(_BUCKET, F.pmod(F.xxhash64(F.lit(~seed), F.col(_HASH)), F.lit(buckets)).cast("int"))
     sizes = df.select(F.pmod(F.xxhash64(F.lit(~seed), F.xxhash64(F.lit(seed), col(key), col(text))), F.lit(buckets)).cast("int").alias(_BUCKET)).groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("n"))
     bases = sizes.selectExpr(_BUCKET, f"sum(n) over (order by {_BUCKET}) - n as {_BASE}")
