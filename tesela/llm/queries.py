@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tesela.llm import fingerprints, line_dedup, mixing, packing, sharding
+from tesela.llm import fingerprints, language, line_dedup, mixing, packing, sharding
 
-MODULES = [packing, line_dedup, sharding, mixing, fingerprints]
+MODULES = [packing, line_dedup, sharding, mixing, fingerprints, language]
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
