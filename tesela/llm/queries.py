@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tesela.llm import fingerprints, html_extract, language, line_dedup, mixing, packing, sharding, warc
+from tesela.llm import fingerprints, html_extract, jaccard_join, language, line_dedup, mixing, packing, sharding, warc
 
-MODULES = [packing, line_dedup, sharding, mixing, html_extract, fingerprints, warc, language]
+MODULES = [packing, line_dedup, sharding, jaccard_join, mixing, html_extract, fingerprints, warc, language]
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
