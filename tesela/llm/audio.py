@@ -2,8 +2,8 @@
 
 A recording is cut into overlapping frames; the energy of each frame's spectrum is folded into twelve pitch classes,
 smoothed over time and scaled to length one. Sixteen filters, differences of rectangles of that image, are read from its
-integral image at every frame and quantized to two bits each: one 32-bit integer for each position. Equal integers of two
-recordings vote for their offset; at the offset with most votes the share of unequal bits tells whether they match.
+integral image at every frame and quantized to two bits each: one 32-bit integer for each position. Integers of two
+recordings that are equal in their high bits vote for their offset; at the offset with most votes the share of unequal bits tells whether they match.
 
 Recordings with equal fingerprints are one class. A search takes a stated set of queries against all classes, in blocks:
 each block of queries is an index of sorted integers in memory, past which all classes stream; blocks are searched by
@@ -49,7 +49,8 @@ LEVELS = np.array(
         [-0.4, -0.0, 0.39],
     ]
 )
-VOTES, BIT_ERROR, OVERLAP, BLOCK = 2, 0.3, 24, 2_000
+#: Integers vote by their high bits, those of the first filters; noise in the others leaves the vote.
+VOTE_BITS, VOTES, BIT_ERROR, OVERLAP, BLOCK = 16, 2, 0.3, 24, 2_000
 _fold: list = []
 
 
@@ -147,7 +148,7 @@ class Index:
 
     def __init__(self, prints: list[np.ndarray]):
         self.prints = prints
-        items = np.concatenate(prints) if prints else np.empty(0, np.uint32)
+        items = (np.concatenate(prints) if prints else np.empty(0, np.uint32)) >> np.uint32(32 - VOTE_BITS)
         order = np.argsort(items, kind="stable")
         self.items = items[order]
         self.owner = np.repeat(np.arange(len(prints)), [len(p) for p in prints])[order]
@@ -155,7 +156,8 @@ class Index:
 
     def align(self, other: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(query, offset, votes, bit error) of all that match: query position + offset = position in `other`."""
-        a, b = np.searchsorted(self.items, other, "left"), np.searchsorted(self.items, other, "right")
+        vote = other >> np.uint32(32 - VOTE_BITS)
+        a, b = np.searchsorted(self.items, vote, "left"), np.searchsorted(self.items, vote, "right")
         n = b - a
         if not n.any():
             return []
@@ -231,7 +233,7 @@ def op10_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(classes.filter("asked").select("key", "fingerprint"), classes.select("key", "fingerprint"))
     links = materialize(found.groupBy(F.col("query").alias("q")).agg(F.array_sort(F.collect_list(F.struct(F.col("key").alias("class_id"), "offset", "votes", "bit_error"))).alias("links")), "audio-links")
     out = known.join(links, F.col("key") == F.col("q"), "left")
-    text = F.base64("fingerprint")
+    text = F.regexp_replace(F.base64("fingerprint"), "[\r\n]", "")
     return out.select(
         F.col("key").alias("vec_id"),
         "class_id",
