@@ -34,29 +34,71 @@ CACHE_WORDS, RANK_ROWS, SLICE_BYTES = 400_000, 20_000, 4 << 20
 _PIECES = "key {k}, mark long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class Words:
-    """Token ids by the words between blanks and line feeds, each encoded once while it is remembered.
+class Words(dict):
+    """Word -> its ids as little-endian unsigned 32-bit numbers; words are what stands between blanks and line feeds.
 
-    The tokenizer drops white space and never joins signs across it, so a text's ids are its words' ids end to end."""
+    The tokenizer drops white space and never joins signs across it, so a text's ids are its words' ids end to end. A new
+    word of Latin-1 signs is cut into the tokenizer's pieces and merged by ranks: a merged token is the only one of its
+    bytes, and the word's end is one more byte that merges first. Any other word goes through the tokenizer itself."""
 
     def __init__(self, path: str):
+        import json
         import os
 
+        import regex
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self[""] = b""
+        with open(path) as f:
+            spec = json.load(f)
+        self.merge = None
+        norm, pre, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec["model"]
+        steps, cuts = [x["type"] for x in norm.get("normalizers", [])], pre.get("pretokenizers", [])
+        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and model.get("end_of_word_suffix") == "</w>":
+            self.special = tuple(x["content"][:2] for x in spec["added_tokens"])
+            self.cut = regex.compile(cuts[0]["pattern"]["Regex"]).findall
+            self._ranks(model)
+
+    def _ranks(self, model: dict) -> None:
+        import tiktoken
+
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as they are
+        sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
+        byte = {c: bytes([b]) for b, c in sign.items()}
+        end, vocab = model["end_of_word_suffix"], model["vocab"]
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(256)}
+        self.id_of = [vocab[sign[b]] for b in range(256)] + [vocab[sign[b] + end] for b in range(256)]
+        for pair in model["merges"]:
+            token = "".join(pair if isinstance(pair, list) else pair.split(" "))
+            data = b"".join(byte[c] for c in token.removesuffix(end)) + b"\xff" * token.endswith(end)
+            ranks[data] = len(self.id_of)
+            self.id_of.append(vocab[token])
+        self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self[""] = b""
+        ids = None
+        if self.merge and not any(x in word for x in self.special):
+            try:
+                word.encode("latin-1")
+                of, merge = self.id_of, self.merge
+                ids = [of[r] for piece in self.cut(word.lower()) for r in merge(piece.encode() + b"\xff")]
+            except UnicodeEncodeError:
+                pass
+        if ids is None:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        self[word] = found = array("I", ids).tobytes()
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        new = list(set().union(*split).difference(self.known))
-        for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = array("I", coded.ids).tobytes()
-        find = self.known.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+        """The ids of every text."""
+        find = self.__getitem__
+        return [b"".join(map(find, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _words: dict[str, Words] = {}
