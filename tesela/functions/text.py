@@ -4,7 +4,7 @@ Patterns spell out Unicode classes, so Java here and RE2 in the SQL oracles read
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -60,7 +60,7 @@ def is_word(token: Column) -> Column:
 
 def content_tokens(text: Column, stop: list[str] | None = None) -> Column:
     """Lower-case words and numbers, without the given stop words."""
-    low = F.transform(found(text, WORD_OR_NUMBER), F.lower)
+    low = F.transform(found(text, WORD_OR_NUMBER), lambda x: F.lower(x))
     return F.filter(low, lambda x: ~x.isin(*stop)) if stop else low
 
 
@@ -70,7 +70,7 @@ def joined_words(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces between sentence ends that hold a word."""
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda x: x.rlike(r"\p{L}"))
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda x: F.trim(x)), lambda x: x.rlike(r"\p{L}"))
 
 
 def keras_tokens(text: Column) -> Column:
@@ -189,7 +189,7 @@ def answer_form(text: Column) -> Column:
 
 def aliases(text: Column) -> Column:
     """Forms parted by a bar, trimmed; one empty form where there is none."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) == 0, F.array(F.lit(""))).otherwise(parts)
 
 
@@ -220,10 +220,15 @@ def detokenized(words: Column) -> Column:
 # ---- n-grams
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, where inner functions see the value computed once and not again for every element."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n tokens, each an array."""
-    last = F.size(words) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(words, i + 1, n))).otherwise(F.array().cast("array<array<string>>"))
+    none = F.array().cast("array<array<string>>")
+    return once(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.slice(w, i + 1, n))).otherwise(none))
 
 
 def with_borders(words: Column, n: int, first: str = "<inicio>", last: str = "<fin>") -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["vocabulary", "retrieval"]
+MODULES = ["vocabulary", "retrieval", "language", "documents"]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
