@@ -1,13 +1,17 @@
 """N-gram Jaccard join in metric space: exact links at a Jaccard similarity, and their components.
 
-1 - Jaccard is a metric, and two sets within the radius share one of the first shingles in any common order (the prefix:
-a share 1 - similarity of a set, and one). So a document lies in the region of pivot p if p is the pivot, the document
-with the least seeded hash, of one of its prefix shingles; any two linked documents lie in a region together. The order
-puts shingles last that a sample finds often, which keeps regions small; the sample changes no result.
-
-1. Each region's documents meet their pivot in pieces of bounded size, so a region of a third of all documents is spread
-   over tasks. Documents within the radius of a pivot are linked to it.
-2. What is left are documents of a region that are not yet connected with its pivot. Only they, and the documents that
+1 - Jaccard is a metric. In any common order of shingles, the first ones of a set (its prefix: a share 1 - similarity of
+it, and `1 + extra`) hold at least `1 + extra` shingles of any set within the radius, and the two sizes are within the
+similarity of each other. The order puts shingles last that a sample finds often, or a first round of prefixes finds in
+more than a few documents. Any order gives the same result; the lists that make it are bounded.
+
+1. A prefix shingle of a few documents only proposes pairs; a pair goes on if it shares as many such shingles as linked
+   sets must. If it shares fewer, either it has no link or it shares a shingle of many documents, which is the next case.
+2. Documents that share a prefix shingle of many are parted by size into overlapping windows, and a window's pivot is its
+   document with the least seeded hash. The region of a pivot holds the documents of all its windows, so any two linked
+   documents of this case lie in a region together. A region's documents meet the pivot in pieces of bounded size, so a
+   region of a third of all documents is spread over tasks. Documents within the radius of a pivot are linked to it.
+3. What is left are documents of a region that are not yet connected with its pivot. Only they, and the documents that
    the triangle inequality leaves (distance to the pivot within the radius of theirs), can have links not yet known.
    Blocks of the former are built into a recursive Voronoi index (sub-pivots, cells by the nearest one, cell radii); the
    latter are replicated to the blocks and search them, entering only the cells that the triangle inequality allows.
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import col, materialize, others, small, table
+from tesela.llm.common import col, drop_table, materialize, others, small, small_batches, table
 from tesela.llm.components import components
 from tesela.llm.shingles import WORDS, mix, shingle_sets, utf8
 
@@ -37,13 +41,22 @@ from tesela.llm.shingles import WORDS, mix, shingle_sets, utf8
 SIMILARITY = 80
 #: One document in SAMPLE is looked at for frequent shingles; from FREQUENT times on (in one task's part twice), at most
 #: FREQUENT_MOST of them, go last in the order. This steers the work, not the result.
-SAMPLE, FREQUENT, FREQUENT_MOST = 32, 6, 500_000
-BUCKET_TOKENS, REGION_ROWS, BLOCK_ROWS, LEAF = 1_500_000, 4_000, 3_000, 96
+SAMPLE, FREQUENT, FREQUENT_MOST = 4, 4, 500_000
+#: A prefix shingle of at most so many documents proposes pairs, one of more makes a region. Percent of a set's size by
+#: which its prefix is longer.
+FEW, EXTRA = 6, 5
+BUCKET_TOKENS, REGION_ROWS, BLOCK_ROWS, LEAF = 2_000_000, 4_000, 3_000, 96
 
 
 def prefix_length(n: int, similarity: int = SIMILARITY) -> int:
-    """So many first shingles of a set of n meet those of any set at the similarity or above."""
-    return n - (similarity * n + 99) // 100 + 1 if n else 0
+    """So many first shingles of a set of n share 1 + n * EXTRA // 100, or as many as the other set's, with those of any
+    set at the similarity or above."""
+    return min(n, n - (similarity * n + 99) // 100 + 1 + n * EXTRA // 100) if n else 0
+
+
+def size_class(n: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
+    """Classes of sizes; those of two sets that link are equal or neighbours."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(100.01 / similarity)).astype(np.int64)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -79,10 +92,10 @@ def frequent_shingles(df: DataFrame, key: str, text: str, words: int) -> np.ndar
 # ---- step 1: sets, prefixes and regions
 
 
-def _prefixes(df: DataFrame, key: str, text: str, words: int, similarity: int, buckets: int) -> DataFrame:
+def _prefixes(df: DataFrame, key: str, text: str, words: int, similarity: int, buckets: int, frequent: np.ndarray) -> DataFrame:
     """Rows of three kinds: (key, n, sig) a document; (bucket, tokens, keys) rare prefix shingles; (token, key) frequent ones."""
-    often = df.sparkSession.sparkContext.broadcast(frequent_shingles(df, key, text, words))
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("keys", pa.binary()), ("token", pa.int64())])
+    often = df.sparkSession.sparkContext.broadcast(frequent)
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("token", pa.int64())])
 
     def rows(**columns) -> pa.RecordBatch:
         size = len(next(iter(columns.values())))
@@ -94,7 +107,7 @@ def _prefixes(df: DataFrame, key: str, text: str, words: int, similarity: int, b
             keys = batch.column(0).to_pylist()
             sets = shingle_sets(utf8(batch.column(1)), words)
             yield rows(key=keys, n=[len(s) for s in sets], sig=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets])
-            rare, rare_of, hot, hot_of = [], [], [], []
+            rare, rare_of, sizes, hot, hot_of, hot_sizes = [], [], [], [], [], []
             for k, s in zip(keys, sets, strict=True):
                 if not len(s) or k is None:
                     continue
@@ -107,38 +120,82 @@ def _prefixes(df: DataFrame, key: str, text: str, words: int, similarity: int, b
                     known, first = None, s
                 most = prefix_length(len(s), similarity)
                 rare.append(first[:most])
-                rare_of.append(np.full(min(most, len(first)), k, np.int64))
+                rare_of.append(np.full(len(rare[-1]), k, np.int64))
+                sizes.append(np.full(len(rare[-1]), len(s), np.int32))
                 if most > len(first):
                     hot.append(s[known][: most - len(first)])
                     hot_of.append(np.full(len(hot[-1]), k, np.int64))
+                    hot_sizes.append(np.full(len(hot[-1]), len(s), np.int64))
             if hot:
-                yield rows(token=np.concatenate(hot).view(np.int64), key=np.concatenate(hot_of))
+                yield rows(token=np.concatenate(hot).view(np.int64), key=np.concatenate(hot_of), n=np.concatenate(hot_sizes))
             if rare:
-                tokens, owner = np.concatenate(rare), np.concatenate(rare_of)
+                tokens, owner, size = np.concatenate(rare), np.concatenate(rare_of), np.concatenate(sizes)
                 bucket = (tokens % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                tokens, owner, bucket = tokens[order], owner[order], bucket[order]
+                tokens, owner, size, bucket = tokens[order], owner[order], size[order], bucket[order]
                 at = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
-                yield rows(bucket=bucket[at[:-1]], tokens=[tokens[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], keys=[owner[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)])
+                yield rows(bucket=bucket[at[:-1]], tokens=[tokens[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], keys=[owner[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], sizes=[size[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)])
 
-    return df.select(col(key).cast("long").alias("key"), col(text)).mapInArrow(run, "key long, n long, sig binary, bucket int, tokens binary, keys binary, token long")
+    return df.select(col(key).cast("long").alias("key"), col(text)).mapInArrow(run, "key long, n long, sig binary, bucket int, tokens binary, keys binary, sizes binary, token long")
 
 
-def _rare_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each rare prefix shingle that several documents have: they and their pivot."""
-    parts = [(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for batch in batches]
-    tokens = np.frombuffer(b"".join(x for p, _ in parts for x in p), np.uint64)
-    keys = np.frombuffer(b"".join(x for _, p in parts for x in p), np.int64)
-    if len(tokens):
-        order = np.argsort(mix(keys.view(np.uint64)), kind="stable")
-        order = order[np.argsort(tokens[order], kind="stable")]
-        tokens, keys = tokens[order], keys[order]
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        pivot = np.repeat(keys[first], np.diff(np.append(first, len(tokens))))
-        other = keys != pivot
-        pairs = np.unique(np.stack([pivot[other], keys[other]], axis=1), axis=0)
-        for at in range(0, len(pairs), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + (1 << 17), 1]), pa.array(pairs[at : at + (1 << 17), 0])], names=["x", "p"])
+def _rare_pairs(similarity: int):
+    """x, p, shared: for prefix shingles of few documents the pairs and how many they share; for those of many, by window
+    of sizes, the documents and their pivot (shared is null)."""
+
+    def group(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of the runs of equal keys."""
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        first = np.flatnonzero(new)
+        return first, np.diff(np.append(first, len(order)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[batch.column(i).to_pylist() for i in range(3)] for batch in batches]
+        tokens, keys, sizes = (np.frombuffer(b"".join(x for p in parts for x in p[i]), kind) for i, kind in enumerate((np.uint64, np.int64, np.int32)))
+        order = np.argsort(tokens, kind="stable")
+        tokens, keys, sizes = tokens[order], keys[order], sizes[order]
+        first, count = group(order, tokens)
+        kind = size_class(sizes, similarity)
+        found = [np.empty((0, 2), np.int64)]
+        for n in range(2, FEW + 1):
+            at = first[count == n][:, None] + np.arange(n)
+            for i in range(n):
+                for j in range(i + 1, n):
+                    a, b = at[:, i], at[:, j]
+                    near = np.abs(kind[a] - kind[b]) <= 1
+                    a, b = keys[a[near]], keys[b[near]]
+                    found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
+        pairs, shared = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        yield from _pair_batches(pairs, shared)
+        many = np.repeat(count > FEW, count)
+        if many.any():
+            token = np.repeat(np.arange(len(first)), count)[many]
+            keys, token, window = np.tile(keys[many], 2), np.tile(token, 2), np.concatenate([kind[many], kind[many] - 1])
+            order = np.lexsort((mix(keys.view(np.uint64)), window, token))
+            keys = keys[order]
+            first, count = group(order, token[order], window[order])
+            pivot = np.repeat(keys[first], count)
+            other = keys != pivot
+            yield from _pair_batches(np.unique(np.stack([keys[other], pivot[other]], axis=1), axis=0), None)
+
+    return run
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefix shingles of more than a few documents, and of how many."""
+    tokens = np.frombuffer(b"".join(x for batch in batches for x in batch.column(0).to_pylist()), np.uint64)
+    tokens, n = np.unique(tokens, return_counts=True)
+    many = n > FEW
+    yield pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(n[many])], names=["h", "n"])
+
+
+def _pair_batches(pairs: np.ndarray, shared: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(pairs), 1 << 17):
+        x, p = (pa.array(np.ascontiguousarray(pairs[at : at + (1 << 17), i])) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([x, p, pa.nulls(len(x), pa.int64()) if shared is None else pa.array(shared[at : at + (1 << 17)])], names=["x", "p", "shared"])
 
 
 # ---- step 2: distances to the pivots
@@ -257,22 +314,40 @@ def _searched(words: int, similarity: int):
 def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """key, `n_shingles`, `component_id` of every row."""
     spark = df.sparkSession
+    small_batches(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = df.agg(F.sum(F.octet_length(col(text)))).first()[0] or 0
-    buckets = max(tasks, int(size / 6 * (1 - similarity / 100) / BUCKET_TOKENS))
-    made = materialize(_prefixes(df, key, text, words, similarity, buckets), "jaccard-prefixes")
+    # few buckets: a pair comes out of each one that holds a shingle it shares
+    buckets = max(4, -(-int(size / 6 * (1 - similarity / 100 + EXTRA / 100)) // BUCKET_TOKENS))
+    # a first round of prefixes finds the shingles there that more than a few documents have; they go last in the second
+    frequent = frequent_shingles(df, key, text, words)
+    first = materialize(_prefixes(df, key, text, words, similarity, buckets, frequent).filter("bucket is not null").select("bucket", "tokens"), "jaccard-first")
+    common = first.repartition(buckets, "bucket").select("tokens").mapInArrow(_common, "h long, n long").orderBy(F.desc("n"), "h").limit(FREQUENT_MOST).select("h")
+    frequent = np.union1d(frequent, common.toArrow()["h"].to_numpy().view(np.uint64))
+    drop_table(first)
+    made = materialize(_prefixes(df, key, text, words, similarity, buckets, frequent), "jaccard-prefixes")
     docs = made.filter("sig is not null").select("key", "n", "sig")
     # classes of equal sets: copies point to the smallest key
     equal = materialize(docs.filter("n > 0 and key is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.max("key").alias("other")).filter("rep <> other").select(F.col("sig").alias("same"), "rep"), "jaccard-equal")
     copies = materialize(docs.join(small(equal, 250_000), F.col("sig") == F.col("same")).filter("key <> rep").select("key", "rep").distinct(), "jaccard-copies")
-    # regions: documents and pivots of a prefix shingle
-    rare = made.filter("bucket is not null").select("tokens", "keys", "bucket").repartition(buckets, "bucket").select("tokens", "keys").mapInArrow(_rare_regions, "x long, p long")
-    hot = made.filter("token is not null").select("token", "key")
-    pivots = materialize(hot.groupBy("token").agg(F.min(F.struct(F.xxhash64("key").alias("h"), F.col("key").alias("p"))).alias("m"), F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select(F.col("token").alias("t"), "m.p"), "jaccard-pivots")
-    pairs = rare.unionAll(hot.join(small(pivots), F.col("token") == F.col("t")).select(F.col("key").alias("x"), "p")).filter("x <> p").distinct()
+    # pairs that few documents' shingles propose, and regions: documents and pivots of shingles that many have
+    rare = made.filter("bucket is not null").select("tokens", "keys", "sizes", "bucket").repartition(buckets, "bucket").select("tokens", "keys", "sizes").mapInArrow(_rare_pairs(similarity), "x long, p long, shared long")
+    kind = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.01 / similarity))).cast("int")
+    hot = made.filter("token is not null").select("token", "key", F.explode(F.array(kind, kind - 1)).alias("window"))
+    pivots = hot.groupBy("token", "window").agg(F.min(F.struct(F.xxhash64("key").alias("h"), F.col("key").alias("p"))).alias("m"), F.min("key").alias("low"), F.max("key").alias("high"))
+    pivots = materialize(pivots.filter("low <> high").select(F.col("token").alias("t"), F.col("window").alias("w"), "m.p"), "jaccard-pivots")
+    often = hot.join(small(pivots), (F.col("token") == F.col("t")) & (F.col("window") == F.col("w"))).select(F.col("key").alias("x"), "p", F.lit(None).cast("long").alias("shared"))
+    met = rare.unionAll(often).filter("x <> p").groupBy("x", "p").agg(F.sum("shared").alias("shared"), F.max(F.col("shared").isNull()).alias("region"))
+    met = materialize(met.filter("region or shared > 0"), "jaccard-met")
+    extra = docs.filter("key is not null").groupBy(F.col("key").alias("k")).agg(F.min(F.floor(F.col("n") * EXTRA / 100)).cast("long").alias("e"))
+    many_shared = met.filter("not region")
+    for c in ("x", "p"):
+        many_shared = many_shared.join(extra.select(F.col("k").alias(f"k{c}"), F.col("e").alias(f"e{c}")), F.col(c) == F.col(f"k{c}"))
+    proposed = many_shared.filter("shared >= 1 + least(ex, ep)").select("x", "p", F.lit(False).alias("region"))
+    pairs = met.filter("region").select("x", "p", "region").unionAll(proposed)
     for c in ("x", "p"):
         pairs = pairs.join(small(copies).withColumnRenamed("key", "k").withColumnRenamed("rep", "r"), F.col(c) == F.col("k"), "left").withColumn(c, F.coalesce("r", c)).drop("k", "r")
-    regions = materialize(pairs.filter("x <> p").distinct(), "jaccard-regions")
+    regions = materialize(pairs.filter("x <> p").groupBy("x", "p").agg(F.max("region").alias("region")), "jaccard-regions")
     wanted = materialize(regions.select(F.col("x").alias("id")).unionAll(regions.select(F.col("p").alias("id"))).distinct(), "jaccard-wanted")
     texts = materialize(df.select(col(key).cast("long").alias("id"), col(text).alias("text")).join(small(wanted), "id", "left_semi"), "jaccard-texts")
 
@@ -292,7 +367,8 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
         found = small(linked).select(F.col("node").alias("__n"), F.col("comp").alias("__c"))
         return rows.join(found, F.col(column) == F.col("__n"), "left").withColumn(name, F.coalesce("__c", column)).drop("__n", "__c")
 
-    away = measured.groupBy("x", "p").agg(F.min(1 - F.col("common") / F.col("together")).alias("d"))
+    of_regions = regions.filter("region").select(F.col("x").alias("rx"), F.col("p").alias("rp"))
+    away = measured.join(of_regions, (F.col("x") == F.col("rx")) & (F.col("p") == F.col("rp"))).groupBy("x", "p").agg(F.min(1 - F.col("common") / F.col("together")).alias("d"))
     known = materialize(comp_of(comp_of(away, "x", "comp"), "p", "home"), "jaccard-known")
     radius = 1 - similarity / 100 + 1e-9
     open_regions = known.filter("comp <> home").groupBy(F.col("p").alias("q")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"), (F.min("d") - radius).alias("low"), (F.max("d") + radius).alias("high"), F.count(F.lit(1)).alias("left"))
