@@ -147,7 +147,7 @@ class Index:
     """Fingerprints of a block of queries by their integers."""
 
     def __init__(self, prints: list[np.ndarray]):
-        self.prints = prints
+        self.prints, self.longest = prints, max(map(len, prints), default=0)
         items = (np.concatenate(prints) if prints else np.empty(0, np.uint32)) >> np.uint32(32 - VOTE_BITS)
         order = np.argsort(items, kind="stable")
         self.items = items[order]
@@ -163,18 +163,22 @@ class Index:
             return []
         at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         shift = np.repeat(np.arange(len(other)), n) - self.place[at]
-        both, votes = np.unique(np.stack([self.owner[at], shift], axis=1), axis=0, return_counts=True)
-        order = np.lexsort((both[:, 1], np.abs(both[:, 1]), -votes, both[:, 0]))
-        best = order[np.concatenate([[True], np.diff(both[order, 0]) > 0])]
+        wide = len(other) + self.longest  # one number for each query and offset
+        pairs, votes = np.unique(self.owner[at] * (2 * wide) + shift + wide, return_counts=True)
+        enough = votes >= VOTES
+        if not enough.any():
+            return []
+        votes, queries, offsets = votes[enough], pairs[enough] // (2 * wide), pairs[enough] % (2 * wide) - wide
+        order = np.lexsort((offsets, np.abs(offsets), -votes, queries))
+        best = order[np.concatenate([[True], np.diff(queries[order]) > 0])]
         out = []
-        for (query, offset), count in zip(both[best].tolist(), votes[best].tolist(), strict=True):
-            if count >= VOTES:
-                mine = self.prints[query]
-                start, stop = max(0, -offset), min(len(mine), len(other) - offset)
-                if stop - start >= OVERLAP:
-                    error = float(np.bitwise_count(mine[start:stop] ^ other[start + offset : stop + offset]).sum()) / (32 * (stop - start))
-                    if error <= BIT_ERROR:
-                        out.append((query, offset, count, error))
+        for query, offset, count in zip(queries[best].tolist(), offsets[best].tolist(), votes[best].tolist(), strict=True):
+            mine = self.prints[query]
+            start, stop = max(0, -offset), min(len(mine), len(other) - offset)
+            if stop - start >= OVERLAP:
+                error = float(np.bitwise_count(mine[start:stop] ^ other[start + offset : stop + offset]).sum()) / (32 * (stop - start))
+                if error <= BIT_ERROR:
+                    out.append((query, offset, count, error))
         return out
 
 
