@@ -65,6 +65,17 @@ def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
         spark.conf.set(key, rows)
 
 
+def release() -> None:
+    """Hands a worker's freed memory back to the system; workers are used again by later stages, beside the executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def words_in(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import col, materialize, table
+from tesela.llm.common import col, materialize, small_batches, table
 from tesela.llm.shingles import mix, shingle_sets, utf8
 
 BINS, BITS = 1024, 4
@@ -113,6 +113,7 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     The rows are shuffled once. Only one narrow row for each range goes through the driver's plan besides."""
     spark = df.sparkSession
+    small_batches(spark)
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = sorted(set(df.select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or [])) if ranges > 1 else []
     rows = df.select(col(key), col(text), F.xxhash64(col(text)).alias("__mark"), (-F.coalesce(_bucket(key, bounds), F.lit(-1))).alias("__range"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import col, table
+from tesela.llm.common import col, small_batches, table
 
 #: Share of the deviation of fused ratios that a content path reaches; share of the content that the article holds.
 THRESHOLD, HOLDS = 0.8, 0.8
@@ -230,6 +230,7 @@ def extract(df: DataFrame, html: str = "html", hand_on: tuple[str, ...] = ("page
             texts = pa.array([main_text(h) for h in batch.column(0).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], texts], names=[*hand_on, "text"])
 
+    small_batches(df.sparkSession)
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in hand_on] + ["text string"])
     return df.select(col(html).alias("__html"), *map(col, hand_on)).mapInArrow(run, schema)
 

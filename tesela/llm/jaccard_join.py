@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import col, drop_table, materialize, others, small, small_batches, table
+from tesela.llm.common import col, drop_table, materialize, others, release, small, small_batches, table
 from tesela.llm.components import components
 from tesela.llm.shingles import WORDS, mix, shingle_sets, utf8
 
@@ -135,6 +135,7 @@ def _prefixes(df: DataFrame, key: str, text: str, words: int, similarity: int, b
                 tokens, owner, size, bucket = tokens[order], owner[order], size[order], bucket[order]
                 at = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
                 yield rows(bucket=bucket[at[:-1]], tokens=[tokens[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], keys=[owner[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], sizes=[size[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)])
+        release()
 
     return df.select(col(key).cast("long").alias("key"), col(text)).mapInArrow(run, "key long, n long, sig binary, bucket int, tokens binary, keys binary, sizes binary, token long")
 
@@ -153,10 +154,20 @@ def _rare_pairs(similarity: int):
         return first, np.diff(np.append(first, len(order)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[batch.column(i).to_pylist() for i in range(3)] for batch in batches]
-        tokens, keys, sizes = (np.frombuffer(b"".join(x for p in parts for x in p[i]), kind) for i, kind in enumerate((np.uint64, np.int64, np.int32)))
+        parts: list[list[np.ndarray]] = [[], [], []]
+        for batch in batches:
+            for i, kind in enumerate((np.uint64, np.int64, np.int32)):
+                parts[i] += [np.frombuffer(x, kind) for x in batch.column(i).to_pylist()]
+        if not parts[0]:
+            return
+        tokens = np.concatenate(parts[0])
+        parts[0].clear()
         order = np.argsort(tokens, kind="stable")
-        tokens, keys, sizes = tokens[order], keys[order], sizes[order]
+        same = tokens[order[1:]] == tokens[order[:-1]]
+        order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]  # what one document alone has goes
+        tokens = tokens[order]
+        keys, sizes = (np.concatenate(x)[order] for x in parts[1:])
+        parts.clear()
         first, count = group(order, tokens)
         kind = size_class(sizes, similarity)
         found = [np.empty((0, 2), np.int64)]
@@ -180,16 +191,19 @@ def _rare_pairs(similarity: int):
             pivot = np.repeat(keys[first], count)
             other = keys != pivot
             yield from _pair_batches(np.unique(np.stack([keys[other], pivot[other]], axis=1), axis=0), None)
+        release()
 
     return run
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Prefix shingles of more than a few documents, and of how many."""
-    tokens = np.frombuffer(b"".join(x for batch in batches for x in batch.column(0).to_pylist()), np.uint64)
-    tokens, n = np.unique(tokens, return_counts=True)
-    many = n > FEW
-    yield pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(n[many])], names=["h", "n"])
+    tokens = np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for batch in batches for x in batch.column(0).to_pylist())]))
+    first = np.flatnonzero(np.concatenate([tokens[:1] == tokens[:1], tokens[1:] != tokens[:-1]]))
+    n = np.diff(np.append(first, len(tokens)))
+    yield pa.RecordBatch.from_arrays([pa.array(tokens[first][n > FEW].view(np.int64)), pa.array(n[n > FEW])], names=["h", "n"])
+    del tokens
+    release()
 
 
 def _pair_batches(pairs: np.ndarray, shared: np.ndarray | None) -> Iterator[pa.RecordBatch]:

@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesela.llm.common import col, others, table
+from tesela.llm.common import col, others, release, small_batches, table
 
 GRAMS = 1 << 16
 SAMPLE, SMOOTH, ROUNDS, LARGEST, PENALTY = 3_000, 0.5, 6, 3, 12.0
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 MADE = ["lang_pred", "score", "languages", "shares"]
 _lookup: list[np.ndarray] = []
 
@@ -132,6 +132,7 @@ def held_out(key: Column) -> Column:
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from the labelled documents that are not held out, about `sample` at most of each language."""
+    small_batches(df.sparkSession)
     usable = df.select(col(key).alias("key"), col(text).alias("text"), col(label).alias("label")).filter(col("label").isNotNull() & col("text").isNotNull() & ~held_out(col("key")))
     sizes = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     if not sizes:
@@ -160,6 +161,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
 
 def identify(df: DataFrame, model: Model, text: str = "text", hand_on: list[str] | None = None) -> DataFrame:
     """The columns `hand_on` (all) of every row, with `lang_pred`, `score`, `languages` and `shares`."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
     kept = hand_on if hand_on is not None else others(df, MADE)
 
@@ -169,6 +171,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", hand_on: list[str]
             lang, score, languages, shares = ([x[i] for x in found] for i in range(4))
             made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(languages, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*kept, *MADE])
+        release()
 
     schema = T.StructType([*[df.schema[c] for c in kept], *T.StructType.fromDDL("lang_pred string, score double, languages array<string>, shares array<double>")])
     return df.select(col(text).alias("__text"), *map(col, kept)).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesela.llm.common import col, materialize, small, table
+from tesela.llm.common import col, materialize, release, small, small_batches, table
 
 TOKENIZER, WINDOW_IDS, END = "word_bpe_49k.json", 2048, 1
 #: Bounds of the enumeration and of the least squares, whatever the input.
@@ -310,6 +310,7 @@ def pieces(df: DataFrame, key: str, text: str, path: str, window: int, end: int)
                     total.append(n)
             who = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=names)
+        release()
 
     names = ["key", "mark", "start", "length", "ids_crc32", "doc_tokens"]
     return df.select(col(key).alias("key"), F.xxhash64(col(text)).alias("mark"), col(text).alias("text")).mapInArrow(run, _PIECES.format(k=df.schema[key].dataType.simpleString()))
@@ -328,6 +329,7 @@ def ranked(made: DataFrame, total: int) -> DataFrame:
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW_IDS, tokenizer: str | None = None, end: int = END) -> DataFrame:
     """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark, path = df.sparkSession, tokenizer or tokenizer_path()
+    small_batches(spark)
     kind = df.schema[key].dataType.simpleString()
     made = materialize(pieces(df, key, text, path, window, end), "pack-pieces")
     hist = np.zeros(window + 1, np.int64)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20_251))
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

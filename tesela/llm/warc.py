@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import col, materialize, shared_path, small, table
+from tesela.llm.common import col, materialize, shared_path, small, small_batches, table
 
 FILE_BYTES, BLOCK_LINES, DATE = 64 << 20, 300, "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -181,6 +181,7 @@ def _write_index(root: str, names: list[str]):
 def write_archive(df: DataFrame, root: str | None = None, page: str = "page_id", url: str = "url", html: str = "html") -> Archive:
     """Writes the records and the index under `root`, a folder that all executors share."""
     spark = df.sparkSession
+    small_batches(spark)
     root = root or shared_path(spark, "warc")
     fs, base = _open(root)
     fs.create_dir(base, recursive=True)
