@@ -170,12 +170,10 @@ def topics(spark, sf_dir):
 @query("latent_neighbours")
 def latent_neighbours(spark, sf_dir):
     """Documents nearest in twenty latent dimensions to those whose id is divisible by 20."""
-    from pyspark.ml.functions import vector_to_array
-
     from tesela.operators import vectors as X
 
     coords, _ = M.latent(M.term_features(_bags(spark, sf_dir), 500).filter(F.size("words") > 0), 20)
-    rows = coords.select("doc_id", vector_to_array("latent").alias("v"))
+    rows = coords.select("doc_id", F.col("latent").alias("v"))
     return X.nearest(rows.filter("doc_id % 20 = 0"), rows, 3, "doc_id", "v").withColumn("cosine", F.round("cosine", 4))
 
 
@@ -188,8 +186,8 @@ def word_vector_neighbours(spark, sf_dir):
 
 @query("language_classifiers")
 def language_classifiers(spark, sf_dir):
-    """Accuracy and macro F1 of three text classifiers over five folds."""
-    df = S.folds(M.term_features(_bags(spark, sf_dir), 500), 5, "lang", "doc_id").select("doc_id", "lang", "features", "fold")
+    """Accuracy and macro F1 of three text classifiers over three folds."""
+    df = S.folds(M.term_features(_bags(spark, sf_dir), 300), 3, "lang", "doc_id").select("doc_id", "lang", "features", "fold")
     out = None
     for name in M.CLASSIFIERS:
         s = M.classification_scores(M.cross_predicted(df, name, "lang")).select(F.lit(name).alias("model"), F.round("accuracy", 4).alias("accuracy"), F.round("macro_f1", 4).alias("macro_f1"))
