@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,13 +64,17 @@ sizes AS (SELECT stage, count(*) AS tokens, count(DISTINCT t) AS types FROM stag
 SELECT stage, tokens, types, round(1 - types / lag(types) OVER (ORDER BY stage), 6) AS step, round(1 - types / first_value(types) OVER (ORDER BY stage), 6) AS total FROM sizes""")
 def stage_ladder(spark, sf_dir):
     """Tokens and types after each step of normalization, with the reduction of types."""
-    text = F.col("text")
-    low = F.transform(T.tokens(text), F.lower)
-    kept = F.filter(low, lambda t: t.rlike(r"^[\p{L}\p{Nd}]"))
-    steps = [T.blank_tokens(text), T.tokens(text), low, kept, F.transform(kept, lambda t: F.when(t.rlike(r"^\p{Nd}"), "<NUM>").otherwise(t))]
-    staged = F.array(*[F.struct(F.lit(i).alias("stage"), s.alias("tokens")) for i, s in enumerate(steps)])
-    rows = _docs(spark, sf_dir).select(F.explode(staged).alias("s")).select("s.stage", F.explode("s.tokens").alias("t"))
-    sizes = rows.groupBy("stage", "t").agg(F.count(F.lit(1)).alias("c")).groupBy("stage").agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("types"))
+    docs = _docs(spark, sf_dir)
+    count = F.count(F.lit(1)).alias("c")
+    # the later steps map types to types, so they work on the counted vocabulary of the step before
+    blank = docs.select(F.explode(T.blank_tokens(F.col("text"))).alias("t")).groupBy("t").agg(count)
+    cut = docs.select(F.explode(T.tokens(F.col("text"))).alias("t")).groupBy("t").agg(count)
+    again = lambda counts, t: counts.groupBy(t.alias("t")).agg(F.sum("c").alias("c"))
+    low = again(cut, F.lower("t"))
+    kept = low.filter(F.col("t").rlike(r"^[\p{L}\p{Nd}]"))
+    numbered = again(kept, F.when(F.col("t").rlike(r"^\p{Nd}"), "<NUM>").otherwise(F.col("t")))
+    size = lambda i, counts: counts.agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("types")).select(F.lit(i).alias("stage"), "tokens", "types")
+    sizes = reduce(DataFrame.unionAll, [size(i, c) for i, c in enumerate((blank, cut, low, kept, numbered))])
     by = Window.orderBy("stage")
     return sizes.select("stage", "tokens", "types", rounded(1 - F.col("types") / F.lag("types").over(by)).alias("step"), rounded(1 - F.col("types") / F.first("types").over(by)).alias("total"))
 
