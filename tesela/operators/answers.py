@@ -81,6 +81,7 @@ def sentence_scores(questions: DataFrame, sentences: DataFrame, stop: list[str],
 
     `questions` has (q_id, doc_id, question), `sentences` (doc_id, sent_id, sentence). Question terms that the document
     lacks have idf 0. All tables are partitioned by document."""
+    sentences = sentences.join(questions.select("doc_id").distinct(), "doc_id", "left_semi")  # all weights are a document's own
     bag = sentences.select("doc_id", "sent_id", F.explode(T.content_tokens(F.col("sentence"), stop)).alias("term")).groupBy("doc_id", "sent_id", "term").agg(F.count(F.lit(1)).alias("c"))
     n = sentences.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     lengths = bag.groupBy("doc_id", "sent_id").agg(F.sum("c").alias("len"))
