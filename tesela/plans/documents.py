@@ -135,7 +135,7 @@ wv AS (SELECT term, embedding::DOUBLE[] AS v FROM (SELECT term, row_number() OVE
 
 def _word_vectors(spark: SparkSession, sf_dir: str, counts: DataFrame) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    top = V.frequency_ranks(counts.orderBy(F.desc("c"), "term").limit(100_000)).select("term", (F.col("rank") - 1).alias("vec_id"))
+    top = V.frequency_ranks(counts).select("term", (F.col("rank") - 1).alias("vec_id"))
     return top.join(vectors, "vec_id").select("term", "vector")
 
 
