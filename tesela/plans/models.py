@@ -179,9 +179,17 @@ def latent_neighbours(spark, sf_dir):
 
 @query("word_vector_neighbours")
 def word_vector_neighbours(spark, sf_dir):
-    """Norms of skip-gram vectors learned from the documents."""
-    v = M.word_vectors(_bags(spark, sf_dir), 20, rounds=1, least=50)
-    return v.select("word").orderBy("word")
+    """The five words nearest by cosine, in a skip-gram model of the documents, to every twentieth word in alphabetical order."""
+    from pyspark.ml.functions import vector_to_array
+
+    from tesela.operators import vectors as X
+
+    v = M.word_vectors(_bags(spark, sf_dir)).select("word", vector_to_array("vector").alias("v"))
+    v = v.withColumn("word_id", F.row_number().over(Window.orderBy("word")).cast("long") - 1).cache()
+    near = X.nearest(v.filter("word_id % 20 = 0"), v, 5, "word_id", "v")
+    names = v.select("word_id", F.col("word").alias("neighbour"))
+    asked = v.select(F.col("word_id").alias("query"), "word")
+    return near.join(names, "word_id").join(asked, "query").select("word", "neighbour", F.round("cosine", 4).alias("cosine"), "place")
 
 
 @query("language_classifiers")

@@ -18,3 +18,20 @@ def test_vectors_beyond_the_commonest_words(spark, tmp_path):
     counts = V.term_counts(V.word_rows(D._docs(spark, str(tmp_path))))
     got = {r["term"]: r["vector"][0] for r in D._word_vectors(spark, str(tmp_path), counts).collect()}
     assert got == {w: float(i) for i, w in enumerate(sorted(words)[100_000:])}
+
+
+def test_word_neighbours(spark):
+    from tesela.plans import models as P
+
+    bags = P._bags(spark, "/root/testdata/sf0.001")
+    vocabulary = sorted(r["w"] for r in bags.selectExpr("explode(words) as w").groupBy("w").count().filter("count >= 3").collect())
+    rows = P.word_vector_neighbours(spark, "/root/testdata/sf0.001").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["word"], []).append(r)
+    assert sorted(by) == vocabulary[::20]
+    for word, near in by.items():
+        near.sort(key=lambda r: r["place"])
+        assert [r["place"] for r in near] == [1, 2, 3, 4, 5] and len({r["neighbour"] for r in near} - {word}) == 5
+        assert {r["neighbour"] for r in near} <= set(vocabulary) and all(-1 <= r["cosine"] <= 1 for r in near)
+        assert [r["cosine"] for r in near] == sorted((r["cosine"] for r in near), reverse=True)
