@@ -162,9 +162,9 @@ def cluster_terms(spark, sf_dir):
 def topics(spark, sf_dir):
     """Topics with their words, documents and coherence."""
     bags = _bags(spark, sf_dir)
-    docs, words = M.topics(bags, 4, rounds=5, size=500)
+    docs, words = M.topics(bags, 4)
     sizes = docs.groupBy("topic").agg(F.count(F.lit(1)).alias("documents"))
-    return words.join(sizes, "topic", "left").join(M.coherence(words, bags), "topic", "left").select("topic", F.array_join("words", " ").alias("words"), F.coalesce("documents", F.lit(0)).alias("documents"), rounded(F.col("npmi")).alias("npmi"))
+    return words.join(sizes, "topic", "left").join(M.coherence(words, bags), "topic", "left").select("topic", F.array_join("words", " ").alias("words"), F.coalesce("documents", F.lit(0)).alias("documents"), rounded(F.col("npmi")).alias("npmi"), rounded(F.col("c_v")).alias("c_v"))
 
 
 @query("latent_neighbours")

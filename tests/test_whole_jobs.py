@@ -35,3 +35,27 @@ def test_word_neighbours(spark):
         assert [r["place"] for r in near] == [1, 2, 3, 4, 5] and len({r["neighbour"] for r in near} - {word}) == 5
         assert {r["neighbour"] for r in near} <= set(vocabulary) and all(-1 <= r["cosine"] <= 1 for r in near)
         assert [r["cosine"] for r in near] == sorted((r["cosine"] for r in near), reverse=True)
+
+
+def test_coherence_counts_every_sliding_window(spark, monkeypatch):
+    import numpy as np
+
+    from tesela.operators import mining as M
+
+    monkeypatch.setattr(M, "WINDOWS", 7)
+    rng = np.random.default_rng(3)
+    docs = [list(rng.choice(list("abcdxyzuvw"), n)) for n in (1, 4, 5, 6, 23, 60)] + [[], ["q"] * 9, ["q"] * 9 + ["a"]]
+    docs = [[str(w) for w in d] for d in docs]
+    df = spark.createDataFrame([(d,) for d in docs], "words array<string>")
+    windows = [set(d[i : i + 5]) for d in docs if set(d) & set("abcd") for i in range(max(1, len(d) - 4))]
+    counts, total = M.window_counts(df, list("abcd"), window=5)
+    assert total == len(windows)
+    assert counts.tolist() == [[sum({x, y} <= w for w in windows) for y in "abcd"] for x in "abcd"]
+    topics = spark.createDataFrame([(0, list("abc")), (1, list("bd"))], "topic int, words array<string>")
+    got = {r["topic"]: (r["npmi"], r["c_v"]) for r in M.coherence(topics, df, window=5).collect()}
+    for topic, own in ((0, "abc"), (1, "bd")):
+        p = np.array([[sum({x, y} <= w for w in windows) / total for y in own] for x in own])
+        v = np.log(p / np.outer(np.diag(p), np.diag(p))) / -np.log(p)
+        cosines = [x @ v.sum(0) / np.linalg.norm(x) / np.linalg.norm(v.sum(0)) for x in v]
+        npmi = [v[i, j] for i in range(len(own)) for j in range(i)]
+        assert np.allclose(got[topic], (np.mean(npmi), np.mean(cosines)), atol=1e-6)
