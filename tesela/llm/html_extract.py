@@ -3,8 +3,11 @@
 A page is read once into blocks of text, each with its path of block elements from the root. For every path the text
 length, the number of blocks, punctuation and linked text are added up; length and punctuation by block are smoothed over
 the page's sequence of blocks, fused, and paths at or above a share of their deviation are content. The deepest element
-that holds nearly all content is the article; all its blocks belong to the text, short ones and headings too. Elements
-that are never content by name, role or class (menus, page headers, footers, forms, adverts, comments) take no part.
+that holds nearly all content is the article; all its blocks belong to the text, short ones, linked ones and headings too.
+Elements that are never content by name, role or class (menus, page headers, footers, forms, adverts, comments) take no
+part. A class or id says so if it is made of such words and words of layout alone ("ad", "comment-list") and none beside it
+names content; the element of one that only holds such a word ("has-sidebar", "legal-analysis") goes if no path in it is
+content and no block in it has half the ratio that content has on average.
 
 Defined results: null or empty html, or a page without such blocks, gives an empty text; unclosed and stray tags are
 mended as browsers do for paragraphs, items and cells; a line break inside a block is white space; an empty table makes no
@@ -35,6 +38,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification alert popup overlay modal newsletter subscribe subscription signup login signin register menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc sidebar aside widget widgets related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond discussion footer foot masthead topbar toolbar search skip copyright legal disclaimer tags outbrain taboola paywall header".split()
 )
+#: Words of classes and ids that say how an element is laid out, and those that name content.
+LAYOUT = frozenset("area bar box buttons container icons inner item items links list posts slot unit wrap wrapper".split())
+CONTENT = frozenset("article body content entry main page post story text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag of the first kind ends an open element of the second, unless one of the third stands between.
@@ -56,29 +62,42 @@ _PUNCT = re.compile(r"[.,;:!?…、。，！？¿¡]")
 _BLANK = re.compile(r"\s+")
 
 
-def _shunned(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is never content; `inside` an article, a header is its headline."""
+def _hinted(value: str, inside: bool) -> int:
+    """2 if a name of a class or id is made of hints alone and none names content, 1 if a hint is among its words, else 0."""
+    names = [[w.lower() for w in _WORD.findall(_CAMEL.sub(" ", name))] for name in value.split()]
+    hint = lambda w: w in HINTS and not (inside and w == "header")
+    if not any(hint(w) for ws in names for w in ws):
+        return 0
+    return 2 if any(any(map(hint, ws)) and all(hint(w) or w in LAYOUT for w in ws) for ws in names) and not any(w in CONTENT for ws in names for w in ws) else 1
+
+
+def _shunned(tag: str, attrs: str, inside: bool) -> int:
+    """2 for an element that is never content, 1 for one that may not be; `inside` an article, a header is its headline."""
     if tag in NEVER or (tag == "header" and not inside):
-        return True
+        return 2
+    level = 0
     if attrs and tag not in ("html", "body", "article", "main", "h1"):
         for name, *values in _ATTR.findall(attrs):
             name, value = name.lower(), next((v for v in values if v), "")
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                return True
+                return 2
             if name == "role" and value.strip().lower() in ROLES:
-                return True
-            if name in ("class", "id") and any(w.lower() in HINTS and not (inside and w.lower() == "header") for w in _WORD.findall(_CAMEL.sub(" ", value))):
-                return True
-    return False
+                return 2
+            if name in ("class", "id"):
+                level = max(level, _hinted(value, inside))
+    return level
+
+
+Block = tuple[str, str, tuple[int, ...], int, tuple[int, ...]]
 
 
 class _Page:
-    """Blocks of a page: text, path, elements around it, linked characters."""
+    """Blocks of a page: text, path, elements around it, linked characters, elements around it that may not be content."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, str, tuple[int, ...], int]] = []
-        # open elements: tag, number, shunned, path of block tags, numbers of block elements, inside an article
-        self.stack: list[tuple[str, int, bool, str, tuple[int, ...], bool]] = [("", 0, False, "", (0,), False)]
+        self.blocks: list[Block] = []
+        # open elements: tag, number, shunned, path of block tags, numbers of block elements, inside an article, doubtful ones
+        self.stack: list[tuple[str, int, bool, str, tuple[int, ...], bool, tuple[int, ...]]] = [("", 0, False, "", (0,), False, ())]
         self.parts: list[str] = []
         self.links = self.count = self.linked = 0
         at, low = 0, None
@@ -114,7 +133,7 @@ class _Page:
             text = _BLANK.sub(" ", "".join(self.parts)).strip()
             if text:
                 top = self.stack[-1]
-                self.blocks.append((text, top[3], top[4], self.linked))
+                self.blocks.append((text, top[3], top[4], self.linked, top[6]))
             self.parts = []
         self.linked = 0
 
@@ -146,12 +165,15 @@ class _Page:
                             break
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             return
-        _, _, shunned, path, around, inside = self.stack[-1]
+        _, _, shunned, path, around, inside, doubtful = self.stack[-1]
         self.count += 1
+        level = _shunned(tag, attrs, inside)
         if tag in BLOCKS:
             path, around = f"{path}/{tag}", (*around, self.count)
+            if level == 1:
+                doubtful = (*doubtful, self.count)
         self.links += tag == "a"
-        self.stack.append((tag, self.count, shunned or tag in RAW or _shunned(tag, attrs, inside), path, around, inside or tag in ("article", "main")))
+        self.stack.append((tag, self.count, shunned or tag in RAW or level == 2, path, around, inside or tag in ("article", "main"), doubtful))
 
     def close(self, tag: str) -> None:
         if tag in ("body", "html"):
@@ -171,25 +193,26 @@ def _smooth(x: list[float]) -> list[float]:
     return [(x[max(0, i - 1)] + 2 * v + x[min(len(x) - 1, i + 1)]) / 4 for i, v in enumerate(x)]
 
 
-def content_paths(blocks: list[tuple[str, str, tuple[int, ...], int]]) -> set[str]:
-    """Paths whose fused ratio of text and punctuation reaches the threshold."""
-    total: dict[str, list[float]] = {}
-    for text, path, _, linked in blocks:
-        t = total.setdefault(path, [0, 0, 0, 0])
+def content_paths(blocks: list[Block]) -> set[tuple[str, int]]:
+    """Paths, with the number of doubtful elements around, whose fused ratio of text and punctuation reaches the threshold."""
+    total: dict[tuple[str, int], list[float]] = {}
+    keys = [(path, len(doubtful)) for _, path, _, _, doubtful in blocks]
+    for (text, _, _, linked, _), key in zip(blocks, keys, strict=True):
+        t = total.setdefault(key, [0, 0, 0, 0])
         t[0] += 1
         t[1] += len(text)
         t[2] += len(_PUNCT.findall(text))
         t[3] += min(linked, len(text))
-    length = _smooth([total[b[1]][1] / total[b[1]][0] for b in blocks])
-    points = _smooth([total[b[1]][2] / total[b[1]][0] for b in blocks])
-    fused: dict[str, list[float]] = {}
-    for (_, path, _, _), n, p in zip(blocks, length, points, strict=True):
-        fused.setdefault(path, []).append(n * (1 + p))
-    score = {path: sum(v) / len(v) * (1 - total[path][3] / max(1, total[path][1])) * total[path][1] ** 0.5 for path, v in fused.items()}
+    length = _smooth([total[key][1] / total[key][0] for key in keys])
+    points = _smooth([total[key][2] / total[key][0] for key in keys])
+    fused: dict[tuple[str, int], list[float]] = {}
+    for key, n, p in zip(keys, length, points, strict=True):
+        fused.setdefault(key, []).append(n * (1 + p))
+    score = {key: sum(v) / len(v) * (1 - total[key][3] / max(1, total[key][1])) * total[key][1] ** 0.5 for key, v in fused.items()}
     mean = sum(score.values()) / len(score)
     deviation = (sum((s - mean) ** 2 for s in score.values()) / len(score)) ** 0.5
     least = min(THRESHOLD * deviation, max(score.values()))
-    return {path for path, s in score.items() if s >= least and s > 0} or {max(score, key=score.get)}
+    return {key for key, s in score.items() if s >= least and s > 0} or {max(score, key=score.get)}
 
 
 def main_text(html: str | None) -> str:
@@ -198,12 +221,18 @@ def main_text(html: str | None) -> str:
     if not blocks:
         return ""
     paths = content_paths(blocks)
+    # of the elements that may not be content those go that hold none
+    ratio = [len(t) * (1 + len(_PUNCT.findall(t))) * (1 - min(1, linked / len(t))) for t, _, _, linked, _ in blocks]
+    good = [r for r, b in zip(ratio, blocks, strict=True) if (b[1], len(b[4])) in paths]
+    least = sum(good) / len(good) / 2
+    held_content = {e for r, b in zip(ratio, blocks, strict=True) if (b[1], len(b[4])) in paths or r >= least > 0 for e in b[4]}
+    blocks = [b for b in blocks if held_content.issuperset(b[4])]
     weight: dict[int, int] = {}
     depth: dict[int, int] = {}
-    for text, path, around, _ in blocks:
+    for text, path, around, _, doubtful in blocks:
         for d, element in enumerate(around):
             depth[element] = d
-            if path in paths:
+            if (path, len(doubtful)) in paths:
                 weight[element] = weight.get(element, 0) + len(text)
     held = HOLDS * weight[0]
     article = max((e for e, w in weight.items() if w >= held), key=lambda e: depth[e])
@@ -215,11 +244,11 @@ def main_text(html: str | None) -> str:
         article = around[at - 1]
         at -= 1
     # headings that stand beside the article's element belong to it
-    while at > 1 and path[at - 1] not in ("body", "html", "") and all(p.rsplit("/", 1)[-1] in HEADINGS for _, p, a, _ in blocks if around[at - 1] in a and article not in a):
+    while at > 1 and path[at - 1] not in ("body", "html", "") and all(p.rsplit("/", 1)[-1] in HEADINGS for _, p, a, _, _ in blocks if around[at - 1] in a and article not in a):
         at -= 1
         article = around[at]
     whole = at > 0 and path[at] not in ("body", "html", "")
-    return "\n".join(t for t, p, around, linked in blocks if article in around and (whole and linked < len(t) or p in paths))
+    return "\n".join(t for t, p, around, _, doubtful in blocks if article in around and (whole or (p, len(doubtful)) in paths))
 
 
 def extract(df: DataFrame, html: str = "html", hand_on: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

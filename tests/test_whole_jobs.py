@@ -3,6 +3,8 @@
 import itertools
 import string
 
+import pytest
+
 
 def _words(n):
     return ["".join(x) for x in itertools.islice(itertools.product(string.ascii_lowercase, repeat=4), n)]
@@ -59,3 +61,36 @@ def test_coherence_counts_every_sliding_window(spark, monkeypatch):
         cosines = [x @ v.sum(0) / np.linalg.norm(x) / np.linalg.norm(v.sum(0)) for x in v]
         npmi = [v[i, j] for i in range(len(own)) for j in range(i)]
         assert np.allclose(got[topic], (np.mean(npmi), np.mean(cosines)), atol=1e-6)
+
+
+PARAGRAPHS = "".join(f"<p>Paragraph {i} of the article, with some points. It goes on, and on, for a while.</p>" for i in range(6))
+ARTICLE = "\n".join(f"Paragraph {i} of the article, with some points. It goes on, and on, for a while." for i in range(6))
+
+
+@pytest.mark.parametrize("name", ["content-with-sidebar", "has-sidebar", "no-comments", "post social", "contentHeader"])
+def test_wrappers_whose_names_hold_a_hint_keep_the_article(name):
+    from tesela.llm.html_extract import main_text
+
+    assert main_text(f"<body><ul class='menu-main'><li><a href=/>Home</a></ul><div class='{name}'><h1>Title</h1>{PARAGRAPHS}</div><div class='ad'>Buy, now.</div></body>") == f"Title\n{ARTICLE}"
+
+
+@pytest.mark.parametrize("name", ["legal-analysis", "search-results"])
+def test_sections_whose_names_hold_a_hint_stay_in_the_article(name):
+    from tesela.llm.html_extract import main_text
+
+    section = f"<section class='{name}'><h2>Findings</h2><p>The court held, at length, that the notice was void. The rest, it said, stands.</p><p>A second paragraph, with points, follows here. So it ends, at last.</p></section>"
+    want = "Findings\nThe court held, at length, that the notice was void. The rest, it said, stands.\nA second paragraph, with points, follows here. So it ends, at last."
+    assert main_text(f"<body><article>{PARAGRAPHS}{section}</article></body>") == f"{ARTICLE}\n{want}"
+
+
+def test_hinted_elements_without_content_go():
+    from tesela.llm.html_extract import main_text
+
+    assert main_text(f"<body><article>{PARAGRAPHS}<div class='ad-container'>Buy</div><div class='social-share'>Share</div><div class='legal-info'>Legal</div><div class='comment-list'><p>Nice, really, very nice. Long, too, and with points, as in the article, it seems.</p></div></article></body>") == ARTICLE
+
+
+def test_linked_blocks_stay_in_the_article():
+    from tesela.llm.html_extract import main_text
+
+    html = f"<body><article><h2><a href=/x>A linked heading</a></h2>{PARAGRAPHS}<p><a href=/y>A linked paragraph</a></p><ul><li><a href=/z>An item</a></ul></article></body>"
+    assert main_text(html) == f"A linked heading\n{ARTICLE}\nA linked paragraph\nAn item"
