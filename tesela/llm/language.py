@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tesela.llm.common import col, others, release, small_batches, table
 
 GRAMS = 1 << 16
-SAMPLE, SMOOTH, ROUNDS, LARGEST, PENALTY = 3_000, 0.5, 6, 3, 12.0
+SAMPLE, SMOOTH, ROUNDS, PENALTY = 3_000, 0.5, 6, 12.0
 SLICE_CHARS = 1 << 18
 MADE = ["lang_pred", "score", "languages", "shares"]
 _lookup: list[np.ndarray] = []
@@ -108,7 +108,7 @@ class Model:
         full, _ = self._mixture(p, n, starts, size, of, every, ROUNDS)
         order = np.argsort(-full, axis=1, kind="stable")
         best = chosen = None
-        for k in range(1, min(LARGEST, len(self.languages)) + 1):
+        for k in range(1, len(self.languages) + 1):
             weight = np.zeros_like(full)
             np.put_along_axis(weight, order[:, :k], np.take_along_axis(full, order[:, :k], axis=1) + 1e-6, axis=1)
             weight /= weight.sum(axis=1, keepdims=True)
@@ -178,8 +178,12 @@ def identify(df: DataFrame, model: Model, text: str = "text", hand_on: list[str]
 
 
 def keep_identified(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """The rows whose language can be told, with the columns of the input; null texts and those without a letter go."""
-    return identify(df, fit(df, key, text, label), text).filter("lang_pred <> 'und'").select(*map(col, others(df, MADE)))
+    """The rows whose language can be told, with the columns of the input; null texts and those without a letter go.
+
+    Where nothing could be learned, the text alone decides: a model of one language without a name finds the letters."""
+    model = fit(df, key, text, label)
+    model = model if model.languages else Model([""], np.zeros((GRAMS, 1)))
+    return identify(df, model, text).filter("lang_pred <> 'und'").select(*map(col, others(df, MADE)))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,25 @@ def test_linked_blocks_stay_in_the_article():
 
     html = f"<body><article><h2><a href=/x>A linked heading</a></h2>{PARAGRAPHS}<p><a href=/y>A linked paragraph</a></p><ul><li><a href=/z>An item</a></ul></article></body>"
     assert main_text(html) == f"A linked heading\n{ARTICLE}\nA linked paragraph\nAn item"
+
+
+def test_a_text_in_four_languages_keeps_all_four():
+    import numpy as np
+
+    from tesela.llm import language
+
+    texts = {x: " ".join(f"{a}{b}{c}" for a in x for b in x for c in x) for x in ("abcd", "efgh", "ijkl", "mnop")}
+    counts = np.zeros((language.GRAMS, 4))
+    for i, x in enumerate(texts.values()):
+        _, gram, n = language._counts([x * 20])
+        counts[gram, i] += n
+    (_, _, languages, shares), = language.Model(list(texts), counts).predict([" ".join(texts.values()) * 20])
+    assert sorted(languages) == sorted(texts) and sum(shares) == pytest.approx(1)
+
+
+def test_documents_without_labels_are_kept(spark):
+    from tesela.llm import language
+
+    rows = [(1, "some words", None), (2, None, None), (3, "123 !", None), (4, "mehr Worte", None)]
+    kept = language.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4] and kept.columns == ["doc_id", "text", "lang"]
