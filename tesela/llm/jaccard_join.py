@@ -343,7 +343,11 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     docs = made.filter("sig is not null").select("key", "n", "sig")
     # classes of equal sets: copies point to the smallest key
     equal = materialize(docs.filter("n > 0 and key is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.max("key").alias("other")).filter("rep <> other").select(F.col("sig").alias("same"), "rep"), "jaccard-equal")
-    copies = materialize(docs.join(small(equal, 250_000), F.col("sig") == F.col("same")).filter("key <> rep").select("key", "rep").distinct(), "jaccard-copies")
+    every_copy = materialize(docs.join(small(equal, 250_000), F.col("sig") == F.col("same")).filter("key <> rep").select("key", "rep").distinct(), "jaccard-every-copy")
+    # a key with several sets keeps its own pairs, of all its texts, and is linked with its representatives
+    several = materialize(docs.filter("key is not null").groupBy(F.col("key").alias("twice")).agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low <> high").select("twice"), "jaccard-several")
+    bridges = materialize(every_copy.join(small(several), F.col("key") == F.col("twice"), "left_semi"), "jaccard-bridges")
+    copies = materialize(every_copy.join(small(several), F.col("key") == F.col("twice"), "left_anti"), "jaccard-copies")
     # pairs that few documents' shingles propose, and regions: documents and pivots of shingles that many have
     rare = made.filter("bucket is not null").select("tokens", "keys", "sizes", "bucket").repartition(buckets, "bucket").select("tokens", "keys", "sizes").mapInArrow(_rare_pairs(similarity), "x long, p long, shared long")
     kind = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.01 / similarity))).cast("int")
@@ -374,7 +378,8 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     members = members.join(texts, F.col("x") == F.col("id")).select("p", "part", F.lit(1).alias("role"), "x", *none, "text")
     heads = parts.select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts, F.col("p") == F.col("id")).select("p", "part", F.lit(0).alias("role"), F.col("p").alias("x"), *none, "text")
     measured = materialize(meet(members.unionAll(heads), _measured(words), "x long, p long, common long, together long"), "jaccard-measured")
-    linked = materialize(components(measured.filter(F.col("common") * 100 >= F.col("together") * similarity).select(F.col("x").alias("a"), F.col("p").alias("b"))), "jaccard-linked")
+    links = measured.filter(F.col("common") * 100 >= F.col("together") * similarity).select(F.col("x").alias("a"), F.col("p").alias("b"))
+    linked = materialize(components(links.unionAll(bridges.select(F.col("key").alias("a"), F.col("rep").alias("b")))), "jaccard-linked")
 
     # what the pivots leave: documents not connected with their pivot, and those within the radius of them
     def comp_of(rows: DataFrame, column: str, name: str) -> DataFrame:

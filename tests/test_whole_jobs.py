@@ -116,3 +116,13 @@ def test_documents_without_labels_are_kept(spark):
     rows = [(1, "some words", None), (2, None, None), (3, "123 !", None), (4, "mehr Worte", None)]
     kept = language.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4] and kept.columns == ["doc_id", "text", "lang"]
+
+
+def test_a_key_with_two_texts_links_by_each(spark):
+    from tesela.llm import jaccard_join
+
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    near = {c: " ".join([*t.split(), "tail"]) for c, t in text.items()}
+    rows = [(1, text["a"]), (5, text["a"]), (5, text["b"]), (7, near["b"]), (2, text["c"]), (3, text["d"]), (9, text["c"]), (9, text["d"]), (11, near["d"]), (20, "alone " + " ".join(f"e{i}" for i in range(60)))]
+    out = jaccard_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(1, 1), (2, 2), (3, 2), (5, 1), (5, 1), (7, 1), (9, 2), (9, 2), (11, 2), (20, 20)]
