@@ -126,3 +126,24 @@ def test_a_key_with_two_texts_links_by_each(spark):
     rows = [(1, text["a"]), (5, text["a"]), (5, text["b"]), (7, near["b"]), (2, text["c"]), (3, text["d"]), (9, text["c"]), (9, text["d"]), (11, near["d"]), (20, "alone " + " ".join(f"e{i}" for i in range(60)))]
     out = jaccard_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(1, 1), (2, 2), (3, 2), (5, 1), (5, 1), (7, 1), (9, 2), (9, 2), (11, 2), (20, 20)]
+
+
+def test_learning_curve_and_folds_are_the_whole_grid(spark, monkeypatch):
+    from tesela.operators import mining as M
+    from tesela.plans import models as P
+
+    assert P.CURVE == (1, 2, 4, 8, 10) and P.REPEATS == 30
+    monkeypatch.setattr(P, "REPEATS", 2)
+    rows = {r["per_class"]: r["mean"] for r in P.learning_curve(spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(rows) == [1, 2, 4, 8, 10] and all(0 <= x <= 1 for x in rows.values())
+    seen, predicted = [], M.cross_predicted
+
+    def watched(df, *rest):
+        seen.append((df.select("fold").distinct().count(), df.first()["features"].size))
+        return predicted(df, *rest)
+
+    monkeypatch.setattr(M, "cross_predicted", watched)
+    monkeypatch.setattr(M, "CLASSIFIERS", {"bayes": M.CLASSIFIERS["bayes"]})
+    assert P.language_classifiers(spark, "/root/testdata/sf0.001").count() == 1
+    every = M.term_features(P._bags(spark, "/root/testdata/sf0.001")).first()["features"].size
+    assert seen == [(5, every)] and every > 300
