@@ -78,10 +78,14 @@ class Words(dict):
             self.id_of.append(vocab[token])
         self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
+    def forget(self) -> None:
+        """Lets the remembered words go; the tokenizer stays."""
+        self.clear()
+        self[""] = b""
+
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE_WORDS:
-            self.clear()
-            self[""] = b""
+            self.forget()
         ids = None
         if self.merge and not any(x in word for x in self.special):
             try:
@@ -310,6 +314,7 @@ def pieces(df: DataFrame, key: str, text: str, path: str, window: int, end: int)
                     total.append(n)
             who = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=names)
+        words_of(path).forget()
         release()
 
     names = ["key", "mark", "start", "length", "ids_crc32", "doc_tokens"]
@@ -361,6 +366,8 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = W
                 rows += [(i, p["start"], p["length"], zlib.crc32(view[4 * p["start"] : 4 * (p["start"] + p["length"])]), len(ids) // 4, p["sequence_id"], p["offset"]) for p in parts]
             i, *rest = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else [np.empty(0, np.int64)] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), *map(pa.array, rest)], names=[*names, "sequence_id", "offset"])
+        words_of(path).forget()
+        release()
 
     done = texts.select("key", "mark", "text", "cuts").mapInArrow(cut, _PIECES.format(k=kind) + ", sequence_id long, offset long").dropDuplicates(["sequence_id", "offset"])
     return placed.filter("ids_crc32 is not null").unionByName(done).select(F.col("key").alias(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -380,6 +387,8 @@ def sequences(df: DataFrame, packed: DataFrame, key: str = "doc_id", text: str =
                     out["offset"].append(p["offset"])
                     out["ids"].append(np.frombuffer(ids, "<u4")[p["start"] : p["start"] + p["length"]].astype(np.int32))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+        words_of(path).forget()
+        release()
 
     parts = packed.groupBy(F.col(f"`{key}`").alias("__key")).agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("parts"))
     cut = df.join(parts, col(key) == F.col("__key")).select(col(text), "parts").mapInArrow(run, "sequence_id long, offset long, ids array<int>")
