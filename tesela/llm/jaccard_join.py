@@ -1,27 +1,31 @@
 """N-gram Jaccard join in metric space: exact links at a Jaccard similarity, and their components.
 
-1 - Jaccard is a metric. In any common order of shingles, the first ones of a set (its prefix: a share 1 - similarity of
-it, and `1 + extra`) hold at least `1 + extra` shingles of any set within the radius, and the two sizes are within the
-similarity of each other. The order puts shingles last that a sample finds often, or a first round of prefixes finds in
-more than a few documents. Any order gives the same result; the lists that make it are bounded.
-
-1. A prefix shingle of a few documents only proposes pairs; a pair goes on if it shares as many such shingles as linked
-   sets must. If it shares fewer, either it has no link or it shares a shingle of many documents, which is the next case.
-2. Documents that share a prefix shingle of many are parted by size into overlapping windows, and a window's pivot is its
-   document with the least seeded hash. The region of a pivot holds the documents of all its windows, so any two linked
-   documents of this case lie in a region together. A region's documents meet the pivot in pieces of bounded size, so a
-   region of a third of all documents is spread over tasks. Documents within the radius of a pivot are linked to it.
-3. What is left are documents of a region that are not yet connected with its pivot. Only they, and the documents that
-   the triangle inequality leaves (distance to the pivot within the radius of theirs), can have links not yet known.
-   Blocks of the former are built into a recursive Voronoi index (sub-pivots, cells by the nearest one, cell radii); the
-   latter are replicated to the blocks and search them, entering only the cells that the triangle inequality allows.
+1 - Jaccard is a metric, and the radius is 1 - similarity. Shingles stand in one common order, those last that a sample
+finds often or a first round of prefixes finds in more than a few documents; any order gives the same result, and the
+lists that make it are bounded. The first shingles of a set, its prefix (a share of the radius, and `1 + extra`), hold at
+least `1 + extra` shingles of any set within the radius, and the two sizes are within the similarity of each other.
+
+1. Pivots. In each of two overlapping windows of sizes every prefix shingle elects a pivot, the document with the least
+   seeded hash of those that have it there; who has the shingle sees that pivot. Linked sets share `1 + extra` elections
+   at least, so a document that took part in fewer has no link and goes. One that took part in more may leave those of its
+   pivots that the fewest shingles elected, as long as less than half of the `1 + extra` are lost: two that link lose
+   less than all, and still see one pivot together.
+2. Regions. A pivot's region holds all documents that see it; a document at the boundary of several is replicated to each.
+   A region meets its pivot in pieces of bounded size, so a region of a third of all documents is spread over tasks.
+   Documents within the radius of a pivot are linked to it.
+3. Recursion. What is left are documents of a region that are not yet connected with its pivot. Only they, and those that
+   the triangle inequality leaves (distance to the pivot within the radius of theirs), can have links not yet known. A
+   region with too many gets sub-pivots and is parted into Voronoi cells, each document at home with the nearest one;
+   documents at most two radii further from a sub-pivot than from their own, and within the radius of its cell's distances,
+   are replicated to that cell. Within a task, a recursive Voronoi index (sub-pivots, cells, cell radii) is searched.
 Links between documents already connected are not needed for components and are not looked for again.
 
-Documents with equal sets are one class from the start, so copies cost nothing more. Components are found in tables.
+Documents with equal sets are one class from the second step on, so copies cost little more. Components are found in tables.
 
 Defined results: a document without words has the empty set and is linked with nothing; null is as empty; fewer words
 than a shingle make one shingle; rows with one key are one document, linked if any of its texts is; a null key gets no
-component and links nothing; an empty table makes no rows; other columns are handed on by `near_duplicates` only."""
+component and links nothing; an empty table makes no rows; other columns are handed on by `near_duplicates` only. A very
+long text is a batch of arrays of its own; its set is held whole."""
 
 from __future__ import annotations
 
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesela.llm.common import col, drop_table, materialize, others, release, small, small_batches, table
@@ -42,10 +46,11 @@ SIMILARITY = 80
 #: One document in SAMPLE is looked at for frequent shingles; from FREQUENT times on (in one task's part twice), at most
 #: FREQUENT_MOST of them, go last in the order. This steers the work, not the result.
 SAMPLE, FREQUENT, FREQUENT_MOST = 4, 4, 500_000
-#: A prefix shingle of at most so many documents proposes pairs, one of more makes a region. Percent of a set's size by
-#: which its prefix is longer.
-FEW, EXTRA = 6, 5
-BUCKET_TOKENS, REGION_ROWS, BLOCK_ROWS, LEAF = 2_000_000, 4_000, 3_000, 96
+#: A shingle that more than COMMON prefixes of the first round have goes last, too. Percent of a set's size by which its
+#: prefix is longer than one shared shingle needs.
+COMMON, EXTRA = 6, 5
+#: Sizes of what a task holds at a time: prefix shingles, documents that meet a pivot, documents of a cell, and of a leaf.
+BUCKET_TOKENS, REGION_ROWS, BLOCK_ROWS, LEAF = 1_000_000, 256, 2_000, 96
 
 
 def prefix_length(n: int, similarity: int = SIMILARITY) -> int:
@@ -54,6 +59,11 @@ def prefix_length(n: int, similarity: int = SIMILARITY) -> int:
     return min(n, n - (similarity * n + 99) // 100 + 1 + n * EXTRA // 100) if n else 0
 
 
+def needed(n: int, similarity: int = SIMILARITY) -> int:
+    """So many prefix shingles at least a set of n shares with any set at the similarity or above."""
+    return 1 + -(-similarity * n // 100) * EXTRA // 100
+
+
 def size_class(n: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
     """Classes of sizes; those of two sets that link are equal or neighbours."""
     return np.floor(np.log(np.maximum(n, 1)) / np.log(100.01 / similarity)).astype(np.int64)
@@ -93,9 +103,9 @@ def frequent_shingles(df: DataFrame, key: str, text: str, words: int) -> np.ndar
 
 
 def _prefixes(df: DataFrame, key: str, text: str, words: int, similarity: int, buckets: int, frequent: np.ndarray) -> DataFrame:
-    """Rows of three kinds: (key, n, sig) a document; (bucket, tokens, keys) rare prefix shingles; (token, key) frequent ones."""
+    """Rows of three kinds: (key, n, sig) a document; (bucket, tokens, keys, sizes) rare prefix shingles; (token, key, n) frequent ones."""
     often = df.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("token", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("token", pa.int64()), ("draw", pa.int64())])
 
     def rows(**columns) -> pa.RecordBatch:
         size = len(next(iter(columns.values())))
@@ -127,7 +137,8 @@ def _prefixes(df: DataFrame, key: str, text: str, words: int, similarity: int, b
                     hot_of.append(np.full(len(hot[-1]), k, np.int64))
                     hot_sizes.append(np.full(len(hot[-1]), len(s), np.int64))
             if hot:
-                yield rows(token=np.concatenate(hot).view(np.int64), key=np.concatenate(hot_of), n=np.concatenate(hot_sizes))
+                who = np.concatenate(hot_of)
+                yield rows(token=np.concatenate(hot).view(np.int64), key=who, n=np.concatenate(hot_sizes), draw=draw(who))
             if rare:
                 tokens, owner, size = np.concatenate(rare), np.concatenate(rare_of), np.concatenate(sizes)
                 bucket = (tokens % np.uint64(buckets)).astype(np.int32)
@@ -137,21 +148,26 @@ def _prefixes(df: DataFrame, key: str, text: str, words: int, similarity: int, b
                 yield rows(bucket=bucket[at[:-1]], tokens=[tokens[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], keys=[owner[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], sizes=[size[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)])
         release()
 
-    return df.select(col(key).cast("long").alias("key"), col(text)).mapInArrow(run, "key long, n long, sig binary, bucket int, tokens binary, keys binary, sizes binary, token long")
+    return df.select(col(key).cast("long").alias("key"), col(text)).mapInArrow(run, "key long, n long, sig binary, bucket int, tokens binary, keys binary, sizes binary, token long, draw long")
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of rows that are equal in all columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(new)))
 
 
-def _rare_pairs(similarity: int):
-    """x, p, shared: for prefix shingles of few documents the pairs and how many they share; for those of many, by window
-    of sizes, the documents and their pivot (shared is null)."""
+def draw(keys: np.ndarray) -> np.ndarray:
+    """The seeded hash by which pivots are elected; the least one wins."""
+    return mix(keys.view(np.uint64)).view(np.int64)
 
-    def group(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and sizes of the runs of equal keys."""
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-        first = np.flatnonzero(new)
-        return first, np.diff(np.append(first, len(order)))
+
+def _elected(similarity: int):
+    """x, p, votes: of how many of x's prefix shingles of this bucket p is the pivot; x = p where it is x itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[], [], []]
@@ -168,29 +184,24 @@ def _rare_pairs(similarity: int):
         tokens = tokens[order]
         keys, sizes = (np.concatenate(x)[order] for x in parts[1:])
         parts.clear()
-        first, count = group(order, tokens)
-        kind = size_class(sizes, similarity)
-        found = [np.empty((0, 2), np.int64)]
-        for n in range(2, FEW + 1):
-            at = first[count == n][:, None] + np.arange(n)
-            for i in range(n):
-                for j in range(i + 1, n):
-                    a, b = at[:, i], at[:, j]
-                    near = np.abs(kind[a] - kind[b]) <= 1
-                    a, b = keys[a[near]], keys[b[near]]
-                    found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
-        pairs, shared = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        yield from _pair_batches(pairs, shared)
-        many = np.repeat(count > FEW, count)
-        if many.any():
-            token = np.repeat(np.arange(len(first)), count)[many]
-            keys, token, window = np.tile(keys[many], 2), np.tile(token, 2), np.concatenate([kind[many], kind[many] - 1])
-            order = np.lexsort((mix(keys.view(np.uint64)), window, token))
-            keys = keys[order]
-            first, count = group(order, token[order], window[order])
-            pivot = np.repeat(keys[first], count)
-            other = keys != pivot
-            yield from _pair_batches(np.unique(np.stack([keys[other], pivot[other]], axis=1), axis=0), None)
+        first, count = _runs(tokens)
+        token, kind = np.repeat(np.arange(len(first)), count), size_class(sizes, similarity)
+        del tokens, sizes
+        keys, token, window = np.tile(keys, 2), np.tile(token, 2), np.concatenate([kind, kind - 1])
+        order = np.lexsort((draw(keys), window, token))
+        keys, token, window = keys[order], token[order], window[order]
+        first, count = _runs(token, window)
+        pivot, several = np.repeat(keys[first], count), np.repeat((keys[first] != keys[first + count - 1]), count)
+        keys, pivot, token = keys[several], pivot[several], token[several]
+        order = np.lexsort((token, pivot, keys))
+        keys, pivot, token = keys[order], pivot[order], token[order]
+        once, _ = _runs(keys, pivot, token)  # a shingle counts once, even if both windows elect the same pivot
+        keys, pivot = keys[once], pivot[once]
+        first, count = _runs(keys, pivot)
+        for at in range(0, len(first), 1 << 17):
+            rows = first[at : at + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array(pivot[rows]), pa.array(count[at : at + (1 << 17)])], names=["x", "p", "votes"])
+        del keys, pivot, token, window, order, first, count, several, once
         release()
 
     return run
@@ -201,48 +212,45 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens = np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for batch in batches for x in batch.column(0).to_pylist())]))
     first = np.flatnonzero(np.concatenate([tokens[:1] == tokens[:1], tokens[1:] != tokens[:-1]]))
     n = np.diff(np.append(first, len(tokens)))
-    yield pa.RecordBatch.from_arrays([pa.array(tokens[first][n > FEW].view(np.int64)), pa.array(n[n > FEW])], names=["h", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(tokens[first][n > COMMON].view(np.int64)), pa.array(n[n > COMMON])], names=["h", "n"])
     del tokens
     release()
 
 
-def _pair_batches(pairs: np.ndarray, shared: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(pairs), 1 << 17):
-        x, p = (pa.array(np.ascontiguousarray(pairs[at : at + (1 << 17), i])) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([x, p, pa.nulls(len(x), pa.int64()) if shared is None else pa.array(shared[at : at + (1 << 17)])], names=["x", "p", "shared"])
-
-
 # ---- step 2: distances to the pivots
 
 
-def _met(rows: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[tuple, int, int, float, int, np.ndarray]]:
-    """(region, role, document, distance, component, set) of rows p, part, role, x, d, comp, text."""
+def _met(rows: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[tuple, int, int, int, np.ndarray]]:
+    """(region and part, role, document, component, set) of rows p, part, role, x, comp, text."""
     for batch in rows:
-        sets = shingle_sets(utf8(batch.column(6)), words)
-        for p, part, role, x, d, comp, s in zip(*(batch.column(i).to_pylist() for i in range(6)), sets, strict=True):
-            yield (p, part), role, x, d, comp, s
+        sets = shingle_sets(utf8(batch.column(5)), words)
+        for p, part, role, x, comp, s in zip(*(batch.column(i).to_pylist() for i in range(5)), sets, strict=True):
+            yield (p, part), role, x, comp, s
 
 
 def _measured(words: int):
+    """p, x, q, common, together: of documents x of region p and its pivots q the sizes of intersection and union."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, pivots, out = None, [], []
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4)], names=["x", "p", "common", "together"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 5)], names=["p", "x", "q", "common", "together"])
 
-        for where, role, x, _, _, s in _met(batches, words):
+        for where, role, x, _, s in _met(batches, words):
             if where != region:
                 region, pivots = where, []
             if role == 0:
-                pivots.append(s)
+                pivots.append((x, s))
                 continue
-            for pivot in pivots:
+            for q, pivot in pivots:
                 common = overlap(pivot, s)
-                out.append((x, where[0], common, len(pivot) + len(s) - common))
+                out.append((where[0], x, q, common, len(pivot) + len(s) - common))
             if len(out) >= 10_000:
                 yield made()
                 out.clear()
         yield made()
+        release()
 
     return run
 
@@ -308,7 +316,7 @@ def _searched(words: int, similarity: int):
                 joined[c] = c = joined[joined[c]]
             return c
 
-        for where, role, x, _, comp, s in _met(batches, words):
+        for where, role, x, comp, s in _met(batches, words):
             if where != region:
                 region, block, cells, joined = where, [], None, {}
             if role == 0:
@@ -321,17 +329,48 @@ def _searched(words: int, similarity: int):
                     joined[max(a, b)] = min(a, b)
                     out.append((x, block[i][0]))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[], []])], names=["a", "b"])
+        release()
 
     return run
 
 
+def _cells(rows: DataFrame, measure, radius: float) -> DataFrame:
+    """Regions with too many documents apart from their pivot, as rows of their Voronoi cells: p, part, role, x, comp.
+
+    Rows p, x, comp, apart, left. Sub-pivots are about two for each cell's worth of the documents apart, by a seeded hash.
+    A cell that is still too large is dealt into blocks, which all documents near the cell's border or in it search."""
+    hashed = F.xxhash64(F.lit("cell"), "p", "x")
+    apart = rows.filter("apart")
+    drawn = apart.filter(F.pmod(hashed, F.col("left")) < F.ceil(2 * F.col("left") / BLOCK_ROWS)).select("p", "x")
+    least = apart.groupBy("p").agg(F.min(F.struct(hashed.alias("h"), "x")).alias("m")).select("p", "m.x")
+    subs = materialize(drawn.unionAll(least).distinct(), "jaccard-subs")
+    parts = materialize(rows.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / REGION_ROWS).alias("parts")), "jaccard-sub-parts").withColumnRenamed("p", "r")
+    members = rows.join(small(parts), F.col("p") == F.col("r")).select("p", F.pmod(F.xxhash64("x"), F.col("parts")).alias("part"), "x")
+    heads = subs.join(small(parts), F.col("p") == F.col("r")).select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "x")
+    away = materialize(measure(members, heads, "jaccard-sub-met").select("p", "x", "q", "d", "far"), "jaccard-away")
+    # a key of several texts visits all cells of its region, where all documents are then at home
+    homes = away.groupBy(F.col("p").alias("hp"), F.col("x").alias("hx")).agg(F.min(F.struct("d", "q")).alias("home"), F.max(F.col("far") > F.col("d")).alias("wide"))
+    homes = materialize(rows.join(homes, (F.col("p") == F.col("hp")) & (F.col("x") == F.col("hx"))).select("p", "x", "comp", "apart", "wide", "home.d", "home.q"), "jaccard-homes")
+    spread = materialize(homes.filter("wide and apart").select(F.col("p").alias("wp")).distinct(), "jaccard-wide")
+    homes = homes.join(small(spread), F.col("p") == F.col("wp"), "left").withColumn("apart", F.col("apart") | F.col("wp").isNotNull())
+    cells = homes.filter("apart").groupBy(F.col("p").alias("cp"), F.col("q").alias("cq")).agg((F.min("d") - radius).alias("low"), (F.max("d") + radius).alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
+    cells = materialize(cells, "jaccard-cells")
+    block = lambda number: F.xxhash64("q", number)
+    own = homes.select(F.col("p").alias("op"), F.col("x").alias("ox"), "comp", "apart", "wide", F.col("d").alias("nearest"), F.col("q").alias("home"))
+    placed = away.join(own, (F.col("p") == F.col("op")) & (F.col("x") == F.col("ox"))).join(small(cells), (F.col("p") == F.col("cp")) & (F.col("q") == F.col("cq")))
+    at_home = placed.filter("apart and q = home").select("p", block(F.pmod(F.xxhash64("x"), F.col("blocks"))).alias("part"), F.lit(0).alias("role"), "x", "comp")
+    visits = placed.filter(F.col("wide") | ((F.col("d") <= F.col("nearest") + 2 * radius) & (F.col("d") >= F.col("low")) & (F.col("d") <= F.col("high"))))
+    visits = visits.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return at_home.unionAll(visits.select("p", block(F.col("number")).alias("part"), F.lit(1).alias("role"), "x", "comp"))
+
+
 def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """key, `n_shingles`, `component_id` of every row."""
     spark = df.sparkSession
     small_batches(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = df.agg(F.sum(F.octet_length(col(text)))).first()[0] or 0
-    # few buckets: a pair comes out of each one that holds a shingle it shares
+    # few buckets: a document and its pivot come out of each one that holds a shingle of theirs
     buckets = max(4, -(-int(size / 6 * (1 - similarity / 100 + EXTRA / 100)) // BUCKET_TOKENS))
     # a first round of prefixes finds the shingles there that more than a few documents have; they go last in the second
     frequent = frequent_shingles(df, key, text, words)
@@ -348,37 +387,46 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     several = materialize(docs.filter("key is not null").groupBy(F.col("key").alias("twice")).agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low <> high").select("twice"), "jaccard-several")
     bridges = materialize(every_copy.join(small(several), F.col("key") == F.col("twice"), "left_semi"), "jaccard-bridges")
     copies = materialize(every_copy.join(small(several), F.col("key") == F.col("twice"), "left_anti"), "jaccard-copies")
-    # pairs that few documents' shingles propose, and regions: documents and pivots of shingles that many have
-    rare = made.filter("bucket is not null").select("tokens", "keys", "sizes", "bucket").repartition(buckets, "bucket").select("tokens", "keys", "sizes").mapInArrow(_rare_pairs(similarity), "x long, p long, shared long")
+    # step 1: who sees which pivot, by how many shingles
+    rare = made.filter("bucket is not null").select("tokens", "keys", "sizes", "bucket").repartition(buckets, "bucket").select("tokens", "keys", "sizes").mapInArrow(_elected(similarity), "x long, p long, votes long")
     kind = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.01 / similarity))).cast("int")
-    hot = made.filter("token is not null").select("token", "key", F.explode(F.array(kind, kind - 1)).alias("window"))
-    pivots = hot.groupBy("token", "window").agg(F.min(F.struct(F.xxhash64("key").alias("h"), F.col("key").alias("p"))).alias("m"), F.min("key").alias("low"), F.max("key").alias("high"))
-    pivots = materialize(pivots.filter("low <> high").select(F.col("token").alias("t"), F.col("window").alias("w"), "m.p"), "jaccard-pivots")
-    often = hot.join(small(pivots), (F.col("token") == F.col("t")) & (F.col("window") == F.col("w"))).select(F.col("key").alias("x"), "p", F.lit(None).cast("long").alias("shared"))
-    met = rare.unionAll(often).filter("x <> p").groupBy("x", "p").agg(F.sum("shared").alias("shared"), F.max(F.col("shared").isNull()).alias("region"))
-    met = materialize(met.filter("region or shared > 0"), "jaccard-met")
-    extra = docs.filter("key is not null").groupBy(F.col("key").alias("k")).agg(F.min(F.floor(F.col("n") * EXTRA / 100)).cast("long").alias("e"))
-    many_shared = met.filter("not region")
-    for c in ("x", "p"):
-        many_shared = many_shared.join(extra.select(F.col("k").alias(f"k{c}"), F.col("e").alias(f"e{c}")), F.col(c) == F.col(f"k{c}"))
-    proposed = many_shared.filter("shared >= 1 + least(ex, ep)").select("x", "p", F.lit(False).alias("region"))
-    pairs = met.filter("region").select("x", "p", "region").unionAll(proposed)
+    hot = made.filter("token is not null").select("token", "key", "draw", F.explode(F.array(kind, kind - 1)).alias("window"))
+    heads = hot.groupBy("token", "window").agg(F.min(F.struct("draw", F.col("key").alias("p"))).alias("m"), F.min("key").alias("low"), F.max("key").alias("high"))
+    heads = materialize(heads.filter("low <> high").select(F.col("token").alias("t"), F.col("window").alias("w"), "m.p"), "jaccard-heads")
+    often = hot.join(small(heads), (F.col("token") == F.col("t")) & (F.col("window") == F.col("w"))).select(F.col("key").alias("x"), "p", F.lit(1).cast("long").alias("votes"))
+    seen = materialize(rare.unionAll(often).groupBy("x", "p").agg(F.sum("votes").alias("votes")), "jaccard-seen")
+    least = F.floor(F.ceil(F.col("n") * similarity / 100) * EXTRA / 100) + 1
+    needs = docs.filter("key is not null and n > 0").groupBy(F.col("key").alias("k")).agg(F.min(least).cast("long").alias("need"))
+    votes = seen.groupBy(F.col("x").alias("voter")).agg(F.sum("votes").alias("all"))
+    alive = materialize(votes.join(needs, F.col("voter") == F.col("k")).filter(F.col("all") >= F.col("need")).select("k", "need"), "jaccard-alive")
+    by_votes = Window.partitionBy("x").orderBy("votes", "p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = seen.filter("x <> p").join(small(alive), F.col("x") == F.col("k")).withColumn("lost", F.sum("votes").over(by_votes)).filter("lost > (need - 1) div 2").select("x", "p")
+    pairs = kept.join(small(alive.select(F.col("k").alias("a"))), F.col("p") == F.col("a"), "left").select("x", "p", F.col("a").isNotNull().alias("alive"))
     for c in ("x", "p"):
         pairs = pairs.join(small(copies).withColumnRenamed("key", "k").withColumnRenamed("rep", "r"), F.col(c) == F.col("k"), "left").withColumn(c, F.coalesce("r", c)).drop("k", "r")
-    regions = materialize(pairs.filter("x <> p").groupBy("x", "p").agg(F.max("region").alias("region")), "jaccard-regions")
-    wanted = materialize(regions.select(F.col("x").alias("id")).unionAll(regions.select(F.col("p").alias("id"))).distinct(), "jaccard-wanted")
+    pairs = materialize(pairs.filter("x <> p").groupBy("x", "p").agg(F.max("alive").alias("alive")), "jaccard-pairs")
+    # step 2: a region has its pivot, if that may have links, and its documents; one alone has nothing to meet
+    parts = pairs.groupBy(F.col("p").alias("q")).agg(F.ceil(F.count(F.lit(1)) / REGION_ROWS).alias("parts"), F.count(F.lit(1)).alias("all"), F.max("alive").alias("alive")).filter("alive or all > 1").select("q", "parts")
+    parts = materialize(parts, "jaccard-parts")
+    regions = materialize(pairs.join(small(parts), F.col("p") == F.col("q")).select("x", "p", F.pmod(F.xxhash64("x"), F.col("parts")).alias("part")), "jaccard-regions")
+    wanted = materialize(regions.select(F.col("x").alias("id")).unionAll(parts.select(F.col("q").alias("id"))).distinct(), "jaccard-wanted")
     texts = materialize(df.select(col(key).cast("long").alias("id"), col(text).alias("text")).join(small(wanted), "id", "left_semi"), "jaccard-texts")
 
     def meet(rows: DataFrame, run, schema: str) -> DataFrame:
-        return rows.select("p", "part", "role", "x", "d", "comp", "text").repartition(tasks, "p", "part").sortWithinPartitions("p", "part", "role").mapInArrow(run, schema)
-
-    none = [F.lit(None).cast("double").alias("d"), F.lit(None).cast("long").alias("comp")]
-    parts = materialize(regions.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / REGION_ROWS).cast("int").alias("parts")), "jaccard-parts")
-    members = regions.join(small(parts).withColumnRenamed("p", "q"), F.col("p") == F.col("q")).select("x", "p", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"))
-    members = members.join(texts, F.col("x") == F.col("id")).select("p", "part", F.lit(1).alias("role"), "x", *none, "text")
-    heads = parts.select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts, F.col("p") == F.col("id")).select("p", "part", F.lit(0).alias("role"), F.col("p").alias("x"), *none, "text")
-    measured = materialize(meet(members.unionAll(heads), _measured(words), "x long, p long, common long, together long"), "jaccard-measured")
-    links = measured.filter(F.col("common") * 100 >= F.col("together") * similarity).select(F.col("x").alias("a"), F.col("p").alias("b"))
+        """Rows p, part, role, x, comp with their texts, those of a region's part together, role 0 first."""
+        with_text = rows.join(texts, F.col("x") == F.col("id")).select("p", "part", "role", "x", "comp", "text")
+        return with_text.repartition(tasks, "p", "part").sortWithinPartitions("p", "part", "role").mapInArrow(run, schema)
+
+    def measure(members: DataFrame, pivots: DataFrame, label: str) -> DataFrame:
+        """Rows p, part, x against the pivots p, part, x of the same region and part."""
+        none = F.lit(None).cast("long").alias("comp")
+        both = pivots.select("p", "part", F.lit(0).alias("role"), "x", none).unionAll(members.select("p", "part", F.lit(1).alias("role"), "x", none))
+        met = materialize(meet(both, _measured(words), "p long, x long, q long, common long, together long"), label)
+        return met.groupBy("p", "x", "q").agg(F.min(1 - F.col("common") / F.col("together")).alias("d"), F.max(1 - F.col("common") / F.col("together")).alias("far"), F.max(F.col("common") * 100 >= F.col("together") * similarity).alias("near"))
+
+    first_pivots = parts.select(F.col("q").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("q").alias("x"))
+    measured = materialize(measure(regions, first_pivots, "jaccard-met"), "jaccard-measured")
+    links = measured.filter("near").select(F.col("x").alias("a"), F.col("p").alias("b"))
     linked = materialize(components(links.unionAll(bridges.select(F.col("key").alias("a"), F.col("rep").alias("b")))), "jaccard-linked")
 
     # what the pivots leave: documents not connected with their pivot, and those within the radius of them
@@ -386,23 +434,26 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
         found = small(linked).select(F.col("node").alias("__n"), F.col("comp").alias("__c"))
         return rows.join(found, F.col(column) == F.col("__n"), "left").withColumn(name, F.coalesce("__c", column)).drop("__n", "__c")
 
-    of_regions = regions.filter("region").select(F.col("x").alias("rx"), F.col("p").alias("rp"))
-    away = measured.join(of_regions, (F.col("x") == F.col("rx")) & (F.col("p") == F.col("rp"))).groupBy("x", "p").agg(F.min(1 - F.col("common") / F.col("together")).alias("d"))
-    known = materialize(comp_of(comp_of(away, "x", "comp"), "p", "home"), "jaccard-known")
+    known = materialize(comp_of(comp_of(measured.select("x", "p", "d", "far"), "x", "comp"), "p", "home"), "jaccard-known")
     radius = 1 - similarity / 100 + 1e-9
-    open_regions = known.filter("comp <> home").groupBy(F.col("p").alias("q")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"), (F.min("d") - radius).alias("low"), (F.max("d") + radius).alias("high"), F.count(F.lit(1)).alias("left"))
-    sizes = known.groupBy(F.col("p").alias("q2")).agg(F.count(F.lit(1)).alias("all"))
-    open_regions = materialize(open_regions.join(sizes, F.col("q") == F.col("q2")).filter("all > 1").drop("q2", "all"), "jaccard-open")
-    inside = known.join(small(open_regions), F.col("p") == F.col("q"))
-    blocks = inside.filter("comp <> home").select("p", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "x", "d", "comp")
-    seekers = inside.filter("d >= low and d <= high").select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "x", "d", "comp")
-    rest = blocks.unionAll(seekers).join(texts, F.col("x") == F.col("id"))
+    apart = F.col("comp") != F.col("home")
+    stats = known.groupBy(F.col("p").alias("q")).agg(F.count(F.when(apart, 1)).alias("left"), F.count(F.lit(1)).alias("all"), F.min(F.when(apart, F.col("d"))).alias("low"), F.max(F.when(apart, F.col("far"))).alias("high"))
+    open_regions = materialize(stats.filter("left > 0 and all > 1").select("q", "left", (F.col("low") - radius).alias("low"), (F.col("high") + radius).alias("high")), "jaccard-open")
+    inside = known.join(small(open_regions), F.col("p") == F.col("q")).filter("far >= low and d <= high").select("p", "x", "comp", apart.alias("apart"), "left")
+    inside = materialize(inside, "jaccard-inside")
+    one = inside.filter(F.col("left") <= BLOCK_ROWS).withColumn("part", F.lit(0).cast("long"))
+    rest = one.filter("apart").select("p", "part", F.lit(0).alias("role"), "x", "comp").unionAll(one.select("p", "part", F.lit(1).alias("role"), "x", "comp"))
+    large = inside.filter(F.col("left") > BLOCK_ROWS)
+    if large.limit(1).count():
+        rest = rest.unionAll(_cells(large, measure, radius))
     late = materialize(meet(rest, _searched(words, similarity), "a long, b long"), "jaccard-late")
     # join the components found at first by the late links
     ends = comp_of(comp_of(late, "a", "a1"), "b", "b1").select(F.col("a1").alias("a"), F.col("b1").alias("b"))
     merged = materialize(components(ends), "jaccard-merged").select(F.col("node").alias("m"), F.col("comp").alias("into"))
     comps = linked.unionAll(late.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(linked.select("node"), "node", "left_anti").withColumn("comp", F.col("node")))
     final = materialize(comps.join(small(merged), F.col("comp") == F.col("m"), "left").select("node", F.coalesce("into", "comp").alias("comp")), "jaccard-final")
+    for done in (equal, every_copy, several, bridges, heads, seen, alive, pairs, parts, regions, wanted, texts, measured, linked, known, open_regions, inside, late):
+        drop_table(done)
     out = docs.join(small(copies).withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").withColumn("node_of", F.coalesce("rep", "key"))
     out = out.join(small(final), F.col("node_of") == F.col("node"), "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("comp", "node_of").alias("component_id"))

@@ -108,8 +108,8 @@ def components(texts):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_join_equals_all_pairs(spark, docs, small, monkeypatch):
-    if small:  # regions, blocks and cells of a few documents, every shingle of two documents makes a region
-        for name, value in (("REGION_ROWS", 2), ("BLOCK_ROWS", 2), ("LEAF", 2), ("FEW", 1), ("SAMPLE", 1), ("FREQUENT", 3)):
+    if small:  # pieces, cells, blocks and leaves of a few documents, nearly all shared shingles go last
+        for name, value in (("REGION_ROWS", 2), ("BLOCK_ROWS", 2), ("LEAF", 2), ("COMMON", 2), ("SAMPLE", 1), ("FREQUENT", 3), ("BUCKET_TOKENS", 500)):
             monkeypatch.setattr(jaccard_join, name, value)
     base = [f"w{i}" for i in range(120)]
     rng = np.random.default_rng(3)
@@ -128,6 +128,38 @@ def test_jaccard_join_equals_all_pairs(spark, docs, small, monkeypatch):
     assert left == set(want.values())
 
 
+def test_elections_lose_no_link():
+    """Two that link keep a pivot in common, whatever votes their smallest pivots lose."""
+    rng = np.random.default_rng(11)
+    base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < rng.uniform(0.85, 1)], rng.integers(0, 2**63, int(rng.integers(0, 25))).astype(np.uint64)])) for _ in range(60)]
+    prefixes = [s[: jaccard_join.prefix_length(len(s))] for s in sets]
+    import pyarrow as pa
+
+    columns = [np.concatenate(prefixes), np.repeat(np.arange(len(sets)), [len(x) for x in prefixes]), np.repeat([len(s) for s in sets], [len(x) for x in prefixes]).astype(np.int32)]
+    batch = pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["tokens", "keys", "sizes"])
+    votes = collections.defaultdict(dict)
+    for out in jaccard_join._elected(80)(iter([batch])):
+        for x, p, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            votes[x][p] = n
+    kept = {}
+    for x, mine in votes.items():
+        need, lost, left = jaccard_join.needed(len(sets[x])), 0, {x}
+        for p, n in sorted(mine.items(), key=lambda v: (v[1], v[0])):
+            if p != x:
+                lost += n
+                left |= {p} if lost > (need - 1) // 2 else set()
+        kept[x] = left if sum(mine.values()) >= need else set()
+    pairs = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            n = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                pairs += 1
+                assert kept[a] & kept[b]
+    assert pairs > 50
+
+
 def test_cells_find_what_all_pairs_find():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 2**63, 100).astype(np.uint64))
