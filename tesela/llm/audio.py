@@ -11,7 +11,8 @@ many tasks, each with a share of the classes. No pairs are made but the matches.
 
 Defined results: a null, empty or too short recording has no integers and matches nothing; its class is itself; silence
 has integers like any sound; equal rows are one class; of offsets with equal votes the smallest in size, then the smaller
-one counts; rows with a null id are left out of classes and searches; an empty table makes no rows."""
+one counts; rows with a null id are left out of classes and searches; an empty table makes no rows; other columns, whatever
+their names, are not handed on. A very long recording is decoded whole by one task and is searched as a whole."""
 
 from __future__ import annotations
 

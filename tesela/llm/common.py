@@ -3,27 +3,31 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, in the regular expressions of Java, Python and RE2 alike.
 WORD = r"[^\x20\x09-\x0D]+"
-WORD_LIKE = r"[^ \t\n\x0B\f\r]"
+SPACED_WORD = rf"[\x20\x09-\x0D]*{WORD}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Tables of at most so many narrow rows (a few longs each) may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Tables of at most so many rows, of ROW_BYTES on average, may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS, ROW_BYTES = 1_000_000, 48
 
 _own: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (one machine)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset on one machine."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tesela-")
@@ -53,9 +57,20 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """About the bytes of a value: 8, and what strings and arrays hold."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(8) + F.coalesce(F.octet_length(name), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        return F.lit(8) + 8 * (len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1) * F.coalesce(F.size(name), F.lit(0))
+    return F.lit(8)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a materialized, narrow table for broadcast if it has at most that many rows; otherwise the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Marks a materialized table for broadcast if its rows and bytes are within bounds; otherwise the join shuffles."""
+    size = sum((_bytes(f"`{f.name}`", f.dataType) for f in df.schema.fields), F.lit(0))
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    return F.broadcast(df) if found.n <= rows and (found.b or 0) <= rows * ROW_BYTES else df
 
 
 def small_batches(spark: SparkSession, rows: int = 2_000) -> None:

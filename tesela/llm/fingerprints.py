@@ -7,7 +7,8 @@ J + (1 - J) / 2^bits of their bins; solved for J, that is the likeness, free of
 
 Defined results: a text without words has the empty fingerprint, which is like itself (1) and like nothing else (0);
 null is as empty; texts with the same shingles have the same fingerprint; the neighbour order is descending id, null ids
-last, equal ids by a hash of their texts; an empty table makes no rows."""
+last, equal ids by a hash of their texts; an empty table makes no rows; other columns, whatever their names, are not handed
+on. A very long text is hashed whole, as a batch of arrays of its own; its sketch is as short as any other."""
 
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import col, materialize, small_batches, table
+from tesela.llm.common import col, materialize, release, small_batches, table
 from tesela.llm.shingles import mix, shingle_sets, utf8
 
 BINS, BITS = 1024, 4
@@ -85,6 +86,7 @@ def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", bins: in
         for batch in batches:
             packed = [pack(sketch(s, bins, bits), bits) for s in shingle_sets(utf8(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.string())], names=[key, "fingerprint"])
+        release()
 
     return df.select(col(key), col(text)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fingerprint string")
 
@@ -124,7 +126,8 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     follows = spark.createDataFrame([(a["__range"], b["key"], b["mark"]) for a, b in zip(found, found[1:] + found[:1], strict=True)], "r int, k long, m long")
     tails = rows.join(F.broadcast(follows), F.col(key).eqNullSafe(F.col("k")) & F.col("__mark").eqNullSafe(F.col("m"))).select(key, text, "__mark", F.col("r").alias("__range"), F.lit(True).alias("__tail"))
     both = rows.withColumn("__tail", F.lit(False)).unionByName(tails)
-    return both.repartition(ranges, "__range").sortWithinPartitions("__range", "__tail", F.col(key).desc_nulls_last(), "__mark")
+    # a range is a partition, by its number: hashed, ranges would meet in some and leave others empty
+    return both.repartitionById(len(bounds) + 2, (F.col("__range") + F.lit(len(bounds))).cast("int")).sortWithinPartitions("__range", "__tail", F.col(key).desc_nulls_last(), "__mark")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +158,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                     },
                     schema=schema,
                 )
+        release()
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     return with_next(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -4,26 +4,29 @@ A page is read once into blocks of text, each with its path of block elements fr
 length, the number of blocks, punctuation and linked text are added up; length and punctuation by block are smoothed over
 the page's sequence of blocks, fused, and paths at or above a share of their deviation are content. The deepest element
 that holds nearly all content is the article; all its blocks belong to the text, short ones, linked ones and headings too.
-Elements that are never content by name, role or class (menus, page headers, footers, forms, adverts, comments) take no
+Elements that are never content by name, role or class (menus, page headers, footers, fields, adverts, comments) take no
 part. A class or id says so if it is made of such words and words of layout alone ("ad", "comment-list") and none beside it
-names content; the element of one that only holds such a word ("has-sidebar", "legal-analysis") goes if no path in it is
-content and no block in it has half the ratio that content has on average.
+names content; the element of one that only holds such a word ("has-sidebar", "legal-analysis"), or a form, which may be
+wrapped around a page, goes if no path in it is content and no block in it has half the ratio that content has on average.
+
+Elements are rows of parent links, so a page takes memory and time in proportion to its length, however deep it is nested.
 
 Defined results: null or empty html, or a page without such blocks, gives an empty text; unclosed and stray tags are
 mended as browsers do for paragraphs, items and cells; a line break inside a block is white space; an empty table makes no
-rows; repeated rows are extracted each; other columns are not handed on."""
+rows; repeated rows are extracted each; other columns are not handed on; a very long page is read whole."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import col, small_batches, table
+from tesela.llm.common import col, release, small_batches, table
 
 #: Share of the deviation of fused ratios that a content path reaches; share of the content that the article holds.
 THRESHOLD, HOLDS = 0.8, 0.8
@@ -32,7 +35,7 @@ THRESHOLD, HOLDS = 0.8, 0.8
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = frozenset("aside button datalist dialog fieldset footer form frameset head iframe input label legend menu nav noframes noscript object optgroup option search select svg canvas audio video map template textarea".split())
+NEVER = frozenset("aside button datalist dialog footer frameset head iframe input label legend menu nav noframes noscript object optgroup option search select svg canvas audio video map template textarea".split())
 RAW = frozenset("script style title textarea iframe noframes noscript xmp template svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HINTS = frozenset(
@@ -55,6 +58,7 @@ ENDS = {
 }
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -75,7 +79,7 @@ def _shunned(tag: str, attrs: str, inside: bool) -> int:
     """2 for an element that is never content, 1 for one that may not be; `inside` an article, a header is its headline."""
     if tag in NEVER or (tag == "header" and not inside):
         return 2
-    level = 0
+    level = int(tag in ("form", "fieldset"))
     if attrs and tag not in ("html", "body", "article", "main", "h1"):
         for name, *values in _ATTR.findall(attrs):
             name, value = name.lower(), next((v for v in values if v), "")
@@ -88,20 +92,34 @@ def _shunned(tag: str, attrs: str, inside: bool) -> int:
     return level
 
 
-Block = tuple[str, str, tuple[int, ...], int, tuple[int, ...]]
+@dataclass
+class Block:
+    """A block's text, the number of its path, its element, its linked characters, and the nearest element around it that
+    may not be content (0: none), with how many of these there are."""
+
+    text: str
+    path: int
+    element: int
+    linked: int
+    doubtful: int
+    doubts: int
 
 
 class _Page:
-    """Blocks of a page: text, path, elements around it, linked characters, elements around it that may not be content."""
+    """Blocks of a page in order, and its block elements: parent (a smaller number), tag, and the doubtful one around each."""
 
     def __init__(self, html: str):
         self.blocks: list[Block] = []
-        # open elements: tag, number, shunned, path of block tags, numbers of block elements, inside an article, doubtful ones
-        self.stack: list[tuple[str, int, bool, str, tuple[int, ...], bool, tuple[int, ...]]] = [("", 0, False, "", (0,), False, ())]
+        self.parent, self.tag, self.around = [0], [""], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+        # open elements: tag, block element, shunned, path, inside an article, nearest doubtful element, number of these
+        self.stack: list[tuple[str, int, bool, int, bool, int, int]] = [("", 0, False, 0, False, 0, 0)]
+        self.places: dict[str, list[int]] = {}  # places in the stack of the open elements of a tag
+        self.open_blocks = [0]  # and of all block elements
         self.parts: list[str] = []
-        self.links = self.count = self.linked = 0
-        at, low = 0, None
-        for m in iter(lambda: _TAG.search(html, at), None):
+        self.links = self.linked = 0
+        at, last = 0, html.rfind(">") + 1
+        for m in iter(lambda: _TAG.search(html, at, last), None):
             if m.start() > at:
                 self.text(html[at : m.start()])
             at = m.end()
@@ -114,10 +132,9 @@ class _Page:
                 continue
             self.open(tag, attrs)
             if tag in RAW and not attrs.endswith("/"):
-                low = low or html.lower()
-                end = low.find("</" + tag, at)
-                at = len(html) if end < 0 else end
-        if at < len(html):
+                end = _END[tag].search(html, at)
+                at = end.start() if end else len(html)
+        if at < len(html) and not html.startswith("<!--", at):
             self.text(html[at:])
         self.flush()
 
@@ -132,60 +149,65 @@ class _Page:
         if self.parts:
             text = _BLANK.sub(" ", "".join(self.parts)).strip()
             if text:
-                top = self.stack[-1]
-                self.blocks.append((text, top[3], top[4], self.linked, top[6]))
+                _, element, _, path, _, doubtful, doubts = self.stack[-1]
+                self.blocks.append(Block(text, path, element, self.linked, doubtful, doubts))
             self.parts = []
         self.linked = 0
 
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of one of the tags, 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
     def pop(self, to: int) -> None:
-        if any(e[0] in BLOCKS for e in self.stack[to:]):
+        """Closes all elements from that place on."""
+        if self.open_blocks[-1] >= to:
             self.flush()
-        self.links -= sum(e[0] == "a" for e in self.stack[to:])
-        del self.stack[to:]
+        while len(self.stack) > to:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            self.links -= tag == "a"
+        while self.open_blocks[-1] >= to:
+            self.open_blocks.pop()
 
     def open(self, tag: str, attrs: str) -> None:
         if tag == "br":
             self.parts.append(" ")
         if tag in BLOCKS:
             self.flush()
-            for i in range(len(self.stack) - 1, 0, -1):  # a block ends an open paragraph
-                if self.stack[i][0] == "p":
-                    self.pop(i)
-                    break
-                if self.stack[i][0] in BLOCKS:
-                    break
+            if self.stack[self.open_blocks[-1]][0] == "p":  # a block ends an open paragraph
+                self.pop(self.open_blocks[-1])
             if tag in ENDS:
                 ended, walls = ENDS[tag]
-                for i in range(len(self.stack) - 1, 0, -1):
-                    if self.stack[i][0] in walls:
+                while (at := self.last(ended)) > self.last(walls):
+                    self.pop(at)
+                    if tag != "tr":
                         break
-                    if self.stack[i][0] in ended:
-                        self.pop(i)
-                        if tag != "tr" or self.stack[-1][0] not in ended:
-                            break
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             return
-        _, _, shunned, path, around, inside, doubtful = self.stack[-1]
-        self.count += 1
+        _, element, shunned, path, inside, doubtful, doubts = self.stack[-1]
         level = _shunned(tag, attrs, inside)
+        place = len(self.stack)
         if tag in BLOCKS:
-            path, around = f"{path}/{tag}", (*around, self.count)
+            path = self.paths.setdefault((path, tag), len(self.paths) + 1)
+            self.parent.append(element)
+            self.tag.append(tag)
+            element = len(self.tag) - 1
             if level == 1:
-                doubtful = (*doubtful, self.count)
+                doubtful, doubts = element, doubts + 1
+            self.around.append(doubtful)
+            self.open_blocks.append(place)
         self.links += tag == "a"
-        self.stack.append((tag, self.count, shunned or tag in RAW or level == 2, path, around, inside or tag in ("article", "main"), doubtful))
+        self.places.setdefault(tag, []).append(place)
+        self.stack.append((tag, element, shunned or tag in RAW or level == 2, path, inside or tag in ("article", "main"), doubtful, doubts))
 
     def close(self, tag: str) -> None:
         if tag in ("body", "html"):
             return
         if tag == "br":
             self.parts.append(" ")
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                return self.pop(i)
-            if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
-                return None  # a stray end of an inline element
-        return None
+        at = self.last([tag])
+        if at and (tag in BLOCKS or at > self.open_blocks[-1]):  # else a stray end
+            self.pop(at)
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -193,19 +215,19 @@ def _smooth(x: list[float]) -> list[float]:
     return [(x[max(0, i - 1)] + 2 * v + x[min(len(x) - 1, i + 1)]) / 4 for i, v in enumerate(x)]
 
 
-def content_paths(blocks: list[Block]) -> set[tuple[str, int]]:
+def content_paths(blocks: list[Block]) -> set[tuple[int, int]]:
     """Paths, with the number of doubtful elements around, whose fused ratio of text and punctuation reaches the threshold."""
-    total: dict[tuple[str, int], list[float]] = {}
-    keys = [(path, len(doubtful)) for _, path, _, _, doubtful in blocks]
-    for (text, _, _, linked, _), key in zip(blocks, keys, strict=True):
+    total: dict[tuple[int, int], list[float]] = {}
+    keys = [(b.path, b.doubts) for b in blocks]
+    for b, key in zip(blocks, keys, strict=True):
         t = total.setdefault(key, [0, 0, 0, 0])
         t[0] += 1
-        t[1] += len(text)
-        t[2] += len(_PUNCT.findall(text))
-        t[3] += min(linked, len(text))
+        t[1] += len(b.text)
+        t[2] += len(_PUNCT.findall(b.text))
+        t[3] += min(b.linked, len(b.text))
     length = _smooth([total[key][1] / total[key][0] for key in keys])
     points = _smooth([total[key][2] / total[key][0] for key in keys])
-    fused: dict[tuple[str, int], list[float]] = {}
+    fused: dict[tuple[int, int], list[float]] = {}
     for key, n, p in zip(keys, length, points, strict=True):
         fused.setdefault(key, []).append(n * (1 + p))
     score = {key: sum(v) / len(v) * (1 - total[key][3] / max(1, total[key][1])) * total[key][1] ** 0.5 for key, v in fused.items()}
@@ -215,40 +237,51 @@ def content_paths(blocks: list[Block]) -> set[tuple[str, int]]:
     return {key for key, s in score.items() if s >= least and s > 0} or {max(score, key=score.get)}
 
 
+#: Elements that are not an article by themselves, and those that hold a page rather than an article.
+PIECES, WHOLE = HEADINGS | {"p", "li", "pre", "blockquote", "ul", "ol"}, frozenset({"body", "html", ""})
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, its blocks joined by line feeds."""
-    blocks = _Page(html).blocks if html else []
-    if not blocks:
+    page = _Page(html) if html else None
+    if not page or not page.blocks:
         return ""
+    parent, tag, blocks = page.parent, page.tag, page.blocks
     paths = content_paths(blocks)
     # of the elements that may not be content those go that hold none
-    ratio = [len(t) * (1 + len(_PUNCT.findall(t))) * (1 - min(1, linked / len(t))) for t, _, _, linked, _ in blocks]
-    good = [r for r, b in zip(ratio, blocks, strict=True) if (b[1], len(b[4])) in paths]
+    ratio = [len(b.text) * (1 + len(_PUNCT.findall(b.text))) * (1 - min(1, b.linked / len(b.text))) for b in blocks]
+    good = [r for r, b in zip(ratio, blocks, strict=True) if (b.path, b.doubts) in paths]
     least = sum(good) / len(good) / 2
-    held_content = {e for r, b in zip(ratio, blocks, strict=True) if (b[1], len(b[4])) in paths or r >= least > 0 for e in b[4]}
-    blocks = [b for b in blocks if held_content.issuperset(b[4])]
-    weight: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for text, path, around, _, doubtful in blocks:
-        for d, element in enumerate(around):
-            depth[element] = d
-            if (path, len(doubtful)) in paths:
-                weight[element] = weight.get(element, 0) + len(text)
+    holding = {0}
+    for r, b in zip(ratio, blocks, strict=True):
+        if (b.path, b.doubts) in paths or r >= least > 0:
+            element = b.doubtful
+            while element not in holding:
+                holding.add(element)
+                element = page.around[parent[element]]
+    blocks = [b for b in blocks if b.doubtful in holding]
+    weight, plain = [0] * len(tag), [0] * len(tag)  # content in an element, and blocks that are no headings
+    for b in blocks:
+        if (b.path, b.doubts) in paths:
+            weight[b.element] += len(b.text)
+        plain[b.element] += tag[b.element] not in HEADINGS
+    for e in range(len(tag) - 1, 0, -1):  # a parent's number is less
+        weight[parent[e]] += weight[e]
+        plain[parent[e]] += plain[e]
+    # the deepest element that holds nearly all: each such element is within the one before
     held = HOLDS * weight[0]
-    article = max((e for e, w in weight.items() if w >= held), key=lambda e: depth[e])
+    article = max(e for e, w in enumerate(weight) if w >= held)
     # a lone paragraph is not the article: step out to what holds it, unless that is the page itself
-    around = next(b[2] for b in blocks if article in b[2])
-    path = next(b[1] for b in blocks if article in b[2]).split("/")
-    at = around.index(article)
-    if at > 0 and path[at] in HEADINGS | {"p", "li", "pre", "blockquote", "ul", "ol"} and path[at - 1] not in ("body", "html", ""):
-        article = around[at - 1]
-        at -= 1
+    if tag[article] in PIECES and tag[parent[article]] not in WHOLE:
+        article = parent[article]
     # headings that stand beside the article's element belong to it
-    while at > 1 and path[at - 1] not in ("body", "html", "") and all(p.rsplit("/", 1)[-1] in HEADINGS for _, p, a, _, _ in blocks if around[at - 1] in a and article not in a):
-        at -= 1
-        article = around[at]
-    whole = at > 0 and path[at] not in ("body", "html", "")
-    return "\n".join(t for t, p, around, _, doubtful in blocks if article in around and (whole or (p, len(doubtful)) in paths))
+    while tag[parent[article]] not in WHOLE and plain[parent[article]] == plain[article]:
+        article = parent[article]
+    whole = tag[article] not in WHOLE
+    inside = [e == article for e in range(len(tag))]
+    for e in range(article + 1, len(tag)):
+        inside[e] = inside[parent[e]]
+    return "\n".join(b.text for b in blocks if inside[b.element] and (whole or (b.path, b.doubts) in paths))
 
 
 def extract(df: DataFrame, html: str = "html", hand_on: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -258,6 +291,7 @@ def extract(df: DataFrame, html: str = "html", hand_on: tuple[str, ...] = ("page
         for batch in batches:
             texts = pa.array([main_text(h) for h in batch.column(0).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], texts], names=[*hand_on, "text"])
+        release()
 
     small_batches(df.sparkSession)
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in hand_on] + ["text string"])

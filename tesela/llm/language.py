@@ -9,7 +9,8 @@ for each language, picked by a hash of the key, whole texts; a table of `GRAMS`
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and no languages, and so is every text where
 nothing is labelled; a document with a null key is held out of learning; ties go to the first language by code point;
-rows of one key are predicted each; other columns are never read."""
+rows of one key are predicted each; other columns are never read, and those named like an output column are replaced. A very
+long text is counted whole, as a slice of its own. The distinct labels, with a row of `GRAMS` counts each, must fit in memory."""
 
 from __future__ import annotations
 

@@ -7,8 +7,9 @@ fractional one: each source is dealt into blocks of bounded size by a seeded has
 fraction to its documents in seeded order, the last of them in part, so the words taken equal the rounded target.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a source without words has
-target 0; repeated rows of an id are rows of their own, in the order of their sizes; an empty table makes no rows; input
-columns named like an output column are replaced by it.
+target 0; repeated rows of an id are rows of their own, in the order of their sizes, and as many of them are taken as the
+plan says; an empty table makes no rows; input columns named like an output column are replaced by it. A very long text is
+a row like any other; a partial repetition of it is its start up to the end of the last word taken.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesela.llm.common import WORD, col, materialize, others, small, table, words_in
+from tesela.llm.common import SPACED_WORD, col, materialize, small, table, words_in
 
 WEIGHTS = (5, 2, 1)
 BUDGET, MAX_EPOCHS, BLOCK_ROWS, SEED = 1.5, 2, 5_000, "mix"
@@ -68,16 +69,43 @@ def plan_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return taken.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
 
 
+def _numbered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Adds `__nth`, from 0 among the rows that are equal in `by`: counts by the writing task first, so no task needs them all."""
+    rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "mix-repeated")
+    of = [F.col(c) for c in by]
+    task = F.shiftright("__row", 33)
+    counts = rows.groupBy(*of, task.alias("__task")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*of).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*[c.alias(f"b{i}") for i, c in enumerate(of)], F.col("__task").alias("t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    places = rows.select("__row", *by, task.alias("__task")).withColumn("place", F.row_number().over(Window.partitionBy(*by, "__task").orderBy("__row")) - 1)
+    met = [F.col(c).eqNullSafe(F.col(f"b{i}")) for i, c in enumerate(by)]
+    nth = places.join(bases, [*met, F.col("__task") == F.col("t")]).select(F.col("__row").alias("r"), (F.col("base") + F.col("place")).alias("__nth"))
+    return rows.join(nth, F.col("__row") == F.col("r")).drop("r")
+
+
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mixed table itself, with the columns of the input: a row for each whole repetition of a document, and one with
-    its first `extra` words where the fraction takes a part of it."""
-    keep = others(df, ["__whole", "__extra", "__size", "__part"])
-    plan = materialize(plan_mix(df, key, text, source, **how).select(col(key).alias("__key"), F.col("size").alias("__size"), F.col("whole").alias("__whole"), F.col("extra").alias("__extra")).filter("__whole > 0 or __extra > 0").distinct(), "mix-taken")
-    rows = df.join(small(plan), col(key).eqNullSafe(F.col("__key")) & (words_in(col(text)) == F.col("__size")))
-    parts = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("__whole").cast("int")), F.when(F.col("__extra") > 0, F.array(F.col("__extra"))).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("__part", F.explode(parts))
-    cut = F.when((F.col("__part") > 0) & (F.col("__part") < F.col("__size")), F.array_join(F.slice(F.regexp_extract_all(col(text), F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("__part"), F.lit(1)).cast("int")), " ")).otherwise(col(text))
-    return rows.select(*[cut.alias(c) if c == text else col(c) for c in keep])
+    its first `extra` words, as they stand in the text, where the fraction takes a part of it."""
+    keep = df.columns
+    plan = plan_mix(df, key, text, source, **how)
+    # rows of one key, source and size stand together in the seeded order: the first `full` are taken whole, the next in part
+    plan = plan.groupBy(col(key).alias("k"), col(source).alias("s"), F.col("size").alias("n")).agg(
+        F.max("whole").alias("whole"), F.min("extra").alias("least"), F.max("extra").alias("most"), F.count(F.when(F.col("extra") == F.col("size"), 1)).alias("full"),
+        F.coalesce(F.max(F.when(F.col("extra") < F.col("size"), F.col("extra"))), F.lit(0)).alias("part"))
+    plan = materialize(plan.filter("whole > 0 or most > 0"), "mix-taken")
+    rows = df.select(F.struct(*map(col, keep)).alias("row"), col(key).alias("key"), col(source).alias("source"), words_in(col(text)).alias("size"))
+    rows = rows.join(small(plan), F.col("key").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n"))).drop("k", "s", "n")
+    even = rows.filter("least = most").select("row", "size", "whole", F.col("least").alias("extra"))
+    if plan.filter("least < most").limit(1).count():
+        nth = F.col("__nth")
+        odd = _numbered(rows.filter("least < most"), ["key", "source", "size"])
+        even = even.unionAll(odd.select("row", "size", "whole", F.when(nth < F.col("full"), F.col("size")).when(nth == F.col("full"), F.col("part")).otherwise(F.lit(0)).cast("long")))
+    parts = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("whole").cast("int")), F.when(F.col("extra") > 0, F.array(F.col("extra"))).otherwise(F.array().cast("array<bigint>")))
+    parted = even.withColumn("part", F.explode(parts))
+    given = F.col(f"row.`{text}`")
+    words = F.regexp_extract_all(given, F.lit(SPACED_WORD), F.lit(0))  # with the white space before each, so they join to the text's start
+    cut = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array_join(F.slice(words, 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), "")).otherwise(given)
+    return parted.select(*[cut.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in keep])
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Packing of token sequences by non-negative least squares over a histogram of lengths.
 
 Documents are cut into whole windows and a remainder. The histogram of the remainders' lengths, at most one bin for each
-length, is all that the driver sees. It enumerates the pairs and triples of lengths that fill a window exactly, solves how
-often to use each by non-negative least squares against the histogram, and rounds down. What is left over is packed
+length, is all that the driver sees. It enumerates the pairs and triples of lengths that fill a window exactly (a twelfth
+of the window's square at most), solves how often to use each by non-negative least squares against the histogram, and
+rounds down. The solve starts with the pairs and takes in those triples that would still lessen the error, until no other
+would: what it leaves out has no part in the solution of all patterns. What is left over is packed
 greedily: the longest piece first, then always the longest that fits; where nothing fits, a piece is cut to fill the gap
 and its other part stays to be packed. Only the very last sequence can stay short; it is cut into powers of two.
 
@@ -11,7 +13,8 @@ that a third of all documents have is numbered by many tasks. Token ids are comp
 away; those of the few pieces that the plan cuts are computed again.
 
 Defined results: a null text counts as empty, so its document is one end token; a document is known by key and text, and
-rows equal in both are packed each; an empty table makes no rows; other columns of the input are not handed on."""
+rows equal in both are packed each; an empty table makes no rows; other columns of the input are not handed on. A very long
+text is encoded whole, in a slice of its own, and makes a piece for each window; the remainder is packed like any other."""
 
 from __future__ import annotations
 
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from tesela.llm.common import col, materialize, release, small, small_batches, table
 
 TOKENIZER, WINDOW_IDS, END = "word_bpe_49k.json", 2048, 1
-#: Bounds of the enumeration and of the least squares, whatever the input.
-PATTERNS, ROUNDS = 20_000, 300
+#: Steps of the least squares for each set of patterns, patterns taken in at a time, and the gain below which none is.
+ROUNDS, TAKEN, GAIN = 150, 8_192, 0.5
 CACHE_WORDS, RANK_ROWS, SLICE_BYTES = 400_000, 20_000, 4 << 20
 _PIECES = "key {k}, mark long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -135,46 +138,59 @@ def _coded(texts: list[str | None], path: str, end: bytes) -> Iterator[bytes]:
 # ---- the plan, on the driver, from the histogram alone
 
 
-def patterns(hist: np.ndarray) -> np.ndarray:
+def patterns(hist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs and triples of lengths that occur and fill the window exactly, as rows of three (0: none)."""
     window = len(hist) - 1
     there = np.flatnonzero(hist[:window])
     there = there[there > 0]
-    found = [np.stack([i := there[(there <= window // 2) & (hist[window - there] > 0)], window - i, np.zeros_like(i)], axis=1)]
+    pairs = np.stack([i := there[(there <= window // 2) & (hist[window - there] > 0)], window - i, np.zeros_like(i)], axis=1)
+    triples = [np.empty((0, 3), np.int64)]
     for i in there[there <= window // 3].tolist():
         j = there[(there >= i) & (there <= (window - i) // 2)]
         k = window - i - j
         ok = hist[k] > 0
-        found.append(np.stack([np.full(ok.sum(), i), j[ok], k[ok]], axis=1))
-    triples = np.concatenate(found[1:]) if len(found) > 1 else np.empty((0, 3), np.int64)
-    return np.concatenate([found[0], triples[:: max(1, -(-len(triples) // PATTERNS))]])
+        triples.append(np.stack([np.full(ok.sum(), i), j[ok], k[ok]], axis=1))
+    return pairs, np.concatenate(triples)
 
 
-def least_squares(rows: np.ndarray, hist: np.ndarray) -> np.ndarray:
+def _error(rows: np.ndarray, x: np.ndarray, hist: np.ndarray) -> np.ndarray:
+    """How many pieces of each length the patterns use, less those that there are."""
+    short = np.bincount(rows.ravel(), weights=np.repeat(x, 3), minlength=len(hist)) - hist
+    short[0] = 0
+    return short
+
+
+def least_squares(rows: np.ndarray, hist: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
     """x >= 0 that minimizes |A x - hist|, A counting the lengths of each pattern, by accelerated projected gradient."""
     if not len(rows):
         return np.empty(0)
-    goal = hist.astype(np.float64)
     flat = rows.ravel()
-
-    def used(x: np.ndarray) -> np.ndarray:
-        out = np.bincount(flat, weights=np.repeat(x, 3), minlength=len(goal))
-        out[0] = 0
-        return out
-
     step = 1.0 / max(1.0, 3 * np.bincount(flat[flat > 0]).max())
-    x = y = np.zeros(len(rows))
+    x = y = np.zeros(len(rows)) if start is None else start
     t = 1.0
     for _ in range(ROUNDS):
-        short = used(y) - goal
-        short[0] = 0
-        new = np.maximum(0.0, y - step * short[rows].sum(axis=1))
+        new = np.maximum(0.0, y - step * _error(rows, y, hist)[rows].sum(axis=1))
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         y = new + (last - 1) / t * (new - x)
         x = new
     return x
 
 
+def solve(hist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns and how often to use each: least squares over all pairs and triples, by taking in those that gain."""
+    rows, rest = patterns(hist)
+    x = least_squares(rows, hist)
+    while len(rest):
+        gain = -_error(rows, x, hist)[rest].sum(axis=1)
+        best = np.argsort(-gain, kind="stable")[:TAKEN]
+        best = best[gain[best] > GAIN]
+        if not len(best):
+            break
+        rows, rest = np.concatenate([rows, rest[best]]), np.delete(rest, best, axis=0)
+        x = least_squares(rows, hist, np.concatenate([x, np.zeros(len(best))]))
+    return rows, x
+
+
 class Plan:
     """Where the r-th piece of a length goes: for each length, breaks of r and, between them, the segments
     (start in the piece, length, sequence of the first r, offset, r of that sequence)."""
@@ -189,8 +205,7 @@ class Plan:
         self.sizes = sorted(self.left)
         if self.left.get(self.window):
             self._use([self.window], self.left[self.window])
-        rows = patterns(hist)
-        x = least_squares(rows, hist)
+        rows, x = solve(hist)
         self.solved = 0
         for at in np.argsort(-x, kind="stable"):
             if x[at] < 1:

@@ -6,7 +6,8 @@ turn, so shards differ by one row at most. The shards are written as Parquet, on
 
 Defined results: a null text counts as empty; a null id is hashed like a value; an empty table makes no rows; rows that
 are equal in id and text fall into one bucket and are interchangeable; input columns named like an output column are
-replaced by it.
+replaced by it. A very long text counts by its bytes, so its bucket holds fewer others; a single text larger
+than a bucket is held whole by the task that shuffles it.
 """
 
 from __future__ import annotations

@@ -4,20 +4,21 @@ Every capture becomes a gzip member in a WARC file of bounded size; a payload th
 refers to the capture with the smallest id. The index sorts lines by reversed-host URL key, in ranges, one pair of files
 each: blocks of lines, compressed one by one, and a sparse directory with a line for each block. A look-up searches the
 ranges' first keys, then one range's directory, reads the blocks by byte range, and the records by byte range again.
+`Lookup` does so for single URLs, `look_up` for a table of them: it searches the directories for the blocks of each key,
+and deals out blocks, so a key with a third of all captures, which has many blocks, is read by many tasks.
 
 Files are written through Arrow's file systems to the shared folder, under names that a repeated task does not reuse; only
 files that a finished task has reported are ever read.
 
 Defined results: null html is an empty payload; a null URL has the key "-"; captures equal in id and payload are all
 responses if theirs is the smallest id; a null id is never referred to unless all are null, then all are responses; an
-empty table makes an empty archive; other columns are not archived."""
+empty table makes an empty archive; other columns are not archived. A very long page is one record, written and read whole."""
 
 from __future__ import annotations
 
 import base64
 import gzip
 import hashlib
-import io
 import json
 import uuid
 import zlib
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import col, materialize, shared_path, small, small_batches, table
+from tesela.llm.common import col, materialize, release, shared_path, small, small_batches, table
 
 FILE_BYTES, BLOCK_LINES, DATE = 64 << 20, 300, "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -117,9 +118,9 @@ class Archive:
     root: str
     directory: DataFrame
 
-    def parts(self) -> DataFrame:
-        """The ranges of the index: name, first key, place and length of the directory's lines."""
-        return self.directory.filter("offset < 0").select("part", "first", "length")
+    def ranges(self) -> list[tuple[str, str, int]]:
+        """First key, name and length of the directory of every range, sorted: one row for each task that wrote the index."""
+        return sorted((r["first"], r["part"], r["length"]) for r in self.directory.filter("offset < 0").select("part", "first", "length").collect())
 
 
 def _write_records(root: str, names: list[str]):
@@ -142,6 +143,7 @@ def _write_records(root: str, names: list[str]):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=names)
         if out:
             out.close()
+        release()
 
     return run
 
@@ -199,69 +201,117 @@ def write_archive(df: DataFrame, root: str | None = None, page: str = "page_id",
     return Archive(root, materialize(directory, "warc-directory"))
 
 
-def read_archive(archive: Archive) -> DataFrame:
-    """Every record, read back by way of the index: page, key, type, digest, payload_bytes, refers_to and payload."""
+def _at(firsts: list[str], key: str) -> int:
+    """Where the lines of a key can begin: the last place whose first key is less, as a run of keys may span places."""
+    return max(0, bisect_left(firsts, key) - 1)
+
+
+class Directory:
+    """Search of the ranges' first keys and of their sparse directories, which are read when asked for and kept."""
+
+    def __init__(self, root: str, parts: list[tuple[str, str, int]]):
+        self.files, self.parts, self.firsts = _Ranges(root), parts, [p[0] for p in parts]
+        self.known: dict[str, tuple[list[str], list[tuple[int, int]]]] = {}
+
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """Part, offset and length of the blocks that can hold lines of the key."""
+        for first, part, length in self.parts[_at(self.firsts, key) :]:
+            if first > key:
+                break
+            if part not in self.known:
+                if len(self.known) > 16:
+                    self.known.pop(next(iter(self.known)))
+                lines = [x.split("\t") for x in self.files.read(f"{part}.idx", 0, length).decode().splitlines()]
+                self.known[part] = [x[0] for x in lines], [(int(x[1]), int(x[2])) for x in lines]
+            firsts, places = self.known[part]
+            for at in range(_at(firsts, key), len(firsts)):
+                if firsts[at] > key:
+                    break
+                yield part, *places[at]
+
+    def lines(self, part: str, offset: int, length: int) -> list[str]:
+        """The lines of a block."""
+        return zlib.decompress(self.files.read(f"{part}.cdx.gz", offset, length), 31).decode().splitlines()
+
+
+def entries(lines: list[str], key: str) -> Iterator[dict]:
+    """The entries of a key among a block's lines, by binary search."""
+    for line in lines[bisect_left(lines, key + " ") :]:
+        if not line.startswith(key + " "):
+            break
+        yield json.loads(line.partition(" ")[2])
+
+
+def look_up(archive: Archive, urls: DataFrame, url: str = "url") -> DataFrame:
+    """Every record of the URLs of a table, by way of the index: page, key, type, digest, payload_bytes, refers_to, payload."""
     root, names = archive.root, ["page", "key", "type", "digest", "payload_bytes", "refers_to", "payload"]
+    spark = urls.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = archive.ranges()
 
     def number(urn: str | None) -> int | None:
         value = (urn or "")[len("<urn:page:") : -1]
         return int(value) if value and value != "None" else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = _Ranges(root)
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({url_key(u) for u in batch.column(0).to_pylist()}), pa.string())], names=["key"])
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory = Directory(root, parts)
+        for batch in batches:
+            rows = [(*block, key) for key in batch.column(0).to_pylist() for block in directory.blocks(key)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["part", "offset", "length", "key"])
+
+    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory, at, lines = Directory(root, parts), None, []
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            for part, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows: list[tuple] = []
-                for line in zlib.decompress(files.read(f"{part}.cdx.gz", offset, length), 31).decode().splitlines():
-                    key, _, where = line.partition(" ")
-                    at = json.loads(where)
-                    warc, http, payload = parse(files.read(at["file"], at["offset"], at["length"]))
+            rows: list[tuple] = []
+            size = 0
+            for part, offset, length, key in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (part, offset) != at:
+                    at, lines = (part, offset), directory.lines(part, offset, length)
+                for e in entries(lines, key):
+                    warc, http, payload = parse(directory.files.read(e["file"], e["offset"], e["length"]))
                     response = warc["WARC-Type"] == "response"
                     rows.append((number(warc["WARC-Record-ID"]), key, warc["WARC-Type"], warc["WARC-Payload-Digest"].removeprefix("sha1:"), int(http["Content-Length"]), number(warc.get("WARC-Refers-To")), payload if response else None))
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    size += len(payload)
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        rows, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
 
-    blocks = archive.directory.filter("offset >= 0").select("part", "offset", "length")
-    spread = blocks.repartition(int(archive.directory.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return spread.mapInArrow(run, "page long, key string, type string, digest string, payload_bytes long, refers_to long, payload binary")
+    keys = urls.select(col(url)).mapInArrow(keyed, "key string").distinct()
+    # sorted keys ask for one directory after the other
+    places = keys.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(searched, "part string, offset long, length long, key string")
+    dealt = places.repartition(tasks, "part", "offset").sortWithinPartitions("part", "offset", "key")
+    return dealt.mapInArrow(fetched, "page long, key string, type string, digest string, payload_bytes long, refers_to long, payload binary")
 
 
 class Lookup:
     """Look-ups by URL. Holds the ranges' first keys alone; directories and blocks are read when asked for."""
 
     def __init__(self, archive: Archive):
-        self.files = _Ranges(archive.root)
-        self.parts = sorted((r["first"], r["part"], r["length"]) for r in archive.parts().collect())
+        self.directory = Directory(archive.root, archive.ranges())
         self.reads = 0
 
-    def _from(self, firsts: list[str], key: str) -> int:
-        return max(0, bisect_left(firsts, key) - 1)
-
     def find(self, url: str) -> list[dict]:
         """Index entries of the URL."""
         key, found = url_key(url), []
-        for first, part, length in self.parts[self._from([p[0] for p in self.parts], key) :]:
-            if first > key:
-                break
-            blocks = [x.split("\t") for x in self.files.read(f"{part}.idx", 0, length).decode().splitlines()]
-            for first_line, offset, size, _ in blocks[self._from([b[0] for b in blocks], key) :]:
-                if first_line > key:
-                    break
-                self.reads += 1
-                lines = gzip.GzipFile(fileobj=io.BytesIO(self.files.read(f"{part}.cdx.gz", int(offset), int(size)))).read().decode().splitlines()
-                for line in lines[bisect_left(lines, key + " ") :]:
-                    if not line.startswith(key + " "):
-                        break
-                    found.append(json.loads(line.partition(" ")[2]))
+        for block in self.directory.blocks(key):
+            self.reads += 1
+            found += entries(self.directory.lines(*block), key)
         return found
 
     def fetch(self, url: str) -> list[tuple[dict[str, str], dict[str, str], bytes]]:
         """The records of the URL."""
-        return [parse(self.files.read(e["file"], e["offset"], e["length"])) for e in self.find(url)]
+        return [parse(self.directory.files.read(e["file"], e["offset"], e["length"])) for e in self.find(url)]
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = read_archive(write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    back = look_up(write_archive(pages), pages)
     return back.select(F.col("page").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 

@@ -212,7 +212,7 @@ def test_warc_round_trip_and_look_up(spark):
     twice = pages.selectExpr("page_id + 1000 as page_id", "url", "html").filter("page_id < 1010")
     both = pages.select("page_id", "url", "html").unionAll(twice)
     archive = warc.write_archive(both)
-    given, back = both.collect(), {r["page"]: r for r in warc.read_archive(archive).collect()}
+    given, back = both.collect(), {r["page"]: r for r in warc.look_up(archive, both).collect()}
     first = {}
     for r in sorted(given, key=lambda r: r["page_id"]):
         first.setdefault(r["html"], r["page_id"])
@@ -230,9 +230,25 @@ def test_warc_round_trip_and_look_up(spark):
         by_key[warc.url_key(r["url"])].add(r["page_id"])
     for r in given:
         assert {e["page"] for e in look.find(r["url"])} == by_key[warc.url_key(r["url"])]
+    few = both.filter("page_id % 7 = 0").select("url")  # look-ups of some alone read the records of these alone
+    keys = {warc.url_key(r["url"]) for r in few.collect()}
+    assert sorted(r["page"] for r in warc.look_up(archive, few).collect()) == sorted(k for key in keys for k in by_key[key])
     assert look.find("http://nowhere.example/") == [] and look.fetch(given[0]["url"])
 
 
+def test_warc_query(spark):
+    """The registered query, against the payloads of all pages."""
+    rows = {r["page_id"]: (r["html"] or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    first = {}
+    for k in sorted(rows):
+        first.setdefault(rows[k], k)
+    got = {r["page_id"]: r for r in warc.op8_warc(spark, SF).collect()}
+    assert set(got) == set(rows)
+    for k, data in rows.items():
+        want = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first[data] == k else "revisit", None if first[data] == k else first[data])
+        assert (got[k]["payload_bytes"], got[k]["payload_digest"], got[k]["record_type"], got[k]["refers_to"]) == want
+
+
 def test_url_keys():
     assert warc.url_key("http://www.A.example.com/b?c=1") == "com,example,a)/b?c=1"
     assert warc.url_key("https://a.org:8080") == "org,a:8080)/" and warc.url_key(None) == "-"

@@ -99,6 +99,17 @@ def test_least_squares_meets_a_histogram():
     assert np.allclose(packing.least_squares(rows, hist), [5, 7, 3], atol=0.05)
 
 
+def test_solving_by_need_equals_solving_with_all_patterns():
+    """No pattern that was left out would lessen the error by more than the bound, on a histogram with very many of them."""
+    hist = np.bincount(np.random.default_rng(0).integers(1, 2049, 60_000), minlength=2049)
+    rows, x = packing.solve(hist)
+    pairs, triples = packing.patterns(hist)
+    assert len(triples) > 300_000 and len(rows) < len(triples)
+    known = {tuple(r) for r in rows.tolist()}
+    gain = -packing._error(rows, x, hist)[triples].sum(axis=1)
+    assert all(tuple(r) in known for r in triples[gain > packing.GAIN].tolist())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="aé ñ\n.'st漢́<|x1!", max_size=40))
 def test_words_encode_like_the_tokenizer(text):
@@ -123,6 +134,59 @@ def test_line_dedup(docs):
     assert got[5][0]["text"] == "one two" and got[6][0]["text"] == LONG
 
 
+@pytest.mark.parametrize("name", ["k", "m", "gone", "row", "key", "text2", "mark", "cut", "n", "__at", "h", "t", "first"])
+def test_line_dedup_whatever_the_columns_are_named(spark, name):
+    passage = "\n".join(f"line {i} of a passage that stands in two documents" for i in range(40))
+    df = spark.createDataFrame([(1, passage, 7), (2, f"above\n{passage}\nbelow", 8)], f"doc_id long, text string, `{name}` int")
+    rows = line_dedup.dedup_lines(df).orderBy("doc_id").collect()
+    assert [r[name] for r in rows] == [7, 8] and rows[0]["removed_lines"] == 0 and rows[1]["removed_lines"] > 20
+
+
+def test_long_lines_are_found_between_any_others(spark):
+    """Passages of over 50 words on a line of their own, planted between different lines: each later one goes."""
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passages = [words(int(rng.integers(50, 90))) for _ in range(20)]
+    rows = []
+    for k in range(200):
+        lines = [words(int(rng.integers(1, 30))) for _ in range(int(rng.integers(2, 12)))]
+        lines.insert(int(rng.integers(0, len(lines) + 1)), passages[k % 20])
+        rows.append((k, "\n".join(lines)))
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows:
+        want = [x for x in text.split("\n") if k < 20 or x not in passages]
+        assert got[k] == want
+
+
+def test_mix_takes_repeated_rows_as_planned(spark):
+    rows = [(7, "a b\nc  d\te f g\nh i j", "s")] * 5 + [(8, "one two three", "s"), (9, "x y z u v w", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ((1, 1, 1), (1, 2, 5), (5, 1, 1)):
+        plan = collections.Counter()
+        for r in mixing.plan_mix(df, weights=weights).collect():
+            plan[r["doc_id"]] += r["taken"]
+        got, texts = collections.Counter(), collections.defaultdict(list)
+        for r in mixing.mix(df, weights=weights).collect():
+            got[r["doc_id"]] += len(r["text"].split())
+            texts[r["doc_id"]].append(r["text"])
+        assert got == +plan
+        assert all(whole.startswith(t) for k, whole, _ in rows for t in texts[k])
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 4), st.integers(0, 9), st.sampled_from("ab")), min_size=1, max_size=14))
+def test_mix_writes_the_words_of_the_plan(spark, given_rows):
+    rows = [(k, "\n ".join(f"w{i}" for i in range(n)), s) for k, n, s in given_rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan, got = collections.Counter(), collections.Counter()
+    for r in mixing.plan_mix(df).collect():
+        plan[r["doc_id"], r["source"]] += r["taken"]
+    for r in mixing.mix(df).collect():
+        got[r["doc_id"], r["source"]] += len(r["text"].split())
+        assert any(r["text"] == t[: len(r["text"])] for k, t, s in rows if (k, s) == (r["doc_id"], r["source"]))
+    assert +got == +plan
+
+
 def test_sharding(spark, docs, tmp_path):
     out = sharding.write_shards(docs, f"file://{tmp_path}/shards", shards=3, bucket_bytes=1 << 16)
     rows = out.collect()
@@ -204,7 +268,39 @@ def test_html(html, want):
     assert html_extract.main_text(html) == want
 
 
+_PS = "".join(f"<p>Paragraph {i} of the article, with some points. It goes on, and on, for a while.</p>" for i in range(6))
+_TEXT = "\n".join(f"Paragraph {i} of the article, with some points. It goes on, and on, for a while." for i in range(6))
+_MENU = "<ul class='menu-main'><li><a href=/>Home</a><li><a href=/b>About</a></ul>"
+TEMPLATES = {
+    "form": f"<body><form id='aspnetForm'>{_MENU}<div id=c>{_PS}</div><input name=q><label>Search</label></form></body>",
+    "sidebar": f"<body>{_MENU}<div class='content has-sidebar'>{_PS}</div><div class=sidebar><p>Popular, now: this.</p></div></body>",
+    "comments": f"<body><div class='post comments-open'>{_PS}</div><section id=comments><p>Nice, really. Long, too, it is.</p></section></body>",
+    "no-header": f"<body><header><p>Site name, and more.</p></header><div id='no-header'><article>{_PS}</article></div></body>",
+    "table": f"<body><table><tr><td>{_MENU}</td><td><div>{_PS}</div></td></tr></table></body>",
+    "main": f"<body><nav>{_MENU}</nav><main>{_PS}</main><footer>Copyright, all of it.</footer></body>",
+    "cookie": f"<body><div class=cookie-banner><p>We use cookies, as all do. Accept, please.</p></div><div><div>{_PS}</div></div></body>",
+    "search": f"<body><article>{_PS}</article><form><p>Subscribe to our letter</p><button>Go</button></form></body>",
+    "divs": f"<body><div><div>{_MENU}</div><div><div>{_PS}</div><div class=related><a href=/1>One</a><a href=/2>Two</a></div></div></div></body>",
+}
+
+
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_html_templates(name):
+    assert html_extract.main_text(TEMPLATES[name]) == _TEXT
+
+
+def test_html_letters_that_grow_in_lower_case():
+    assert html_extract.main_text(f"<body><div>{'İ' * 60}<script>x</script>{_PS}</div></body>").endswith(_TEXT)
+
+
 def test_html_deep_and_long():
+    import time
+
+    began = time.process_time()
+    assert html_extract.main_text("<div>" * 100_000 + "x") == "x"
+    for html in ('<a "' * 250_000, '<a "' * 250_000 + ">", "<span>" * 30_000 + "<div>x</div>" * 30_000, "<div>" * 30_000 + "<li>x</li>" * 10_000, "<div>" * 30_000 + "</b></ul>" * 30_000, "<!x" * 200_000):
+        html_extract.main_text(html)
+    assert time.process_time() - began < 30
     assert html_extract.main_text("<div>" * 2000 + "x") == "x"
     assert len(html_extract.main_text("<article>" + "<p>some words, here.</p>" * 5000 + "</article>").split("\n")) == 5000
 
@@ -223,7 +319,7 @@ def test_fingerprints(spark, docs):
 def test_warc(spark):
     rows = [(1, None, None), (2, "http://a.b/c", ""), (3, "not a url at all \r\n", "<p>x</p>"), (4, "http://a.b/c", "<p>x</p>"), (4, "http://a.b/c", "<p>x</p>"), (None, "http://[bad", "<p>y</p>"), (None, "http://q", "<p>y</p>")]
     df = spark.createDataFrame([(*r, "e") for r in rows], "page_id long, url string, html string, digest string")
-    back = warc.read_archive(warc.write_archive(df)).collect()
+    back = warc.look_up(warc.write_archive(df), df).collect()
     assert len(back) == len(rows)
     assert sorted((r["page"] or 0, r["type"], r["refers_to"] or 0) for r in back) == [(0, "response", 0), (0, "response", 0), (1, "response", 0), (2, "revisit", 1), (3, "response", 0), (4, "revisit", 3), (4, "revisit", 3)]
 
@@ -258,7 +354,7 @@ def test_empty_tables(spark, nothing, tmp_path):
     assert language.identify(nothing, language.fit(nothing)).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extract(pages).count() == 0
-    assert warc.read_archive(warc.write_archive(pages)).count() == 0
+    assert warc.look_up(warc.write_archive(pages), pages).count() == 0
     none = audio.fingerprints(spark.createDataFrame([], "id long, pcm binary"), "id", "pcm")
     assert none.count() == 0 and audio.search(none, none).count() == 0
 
