@@ -113,14 +113,17 @@ class _Ranges:
 
 @dataclass
 class Archive:
-    """`root` holds the files; `directory` has a row for each index block: part, first, offset, length, lines."""
+    """`root` holds the files; `directory` has a row for each index block (part, first and last key, offset, length, lines)
+    and for each range, with offset -1 and the length of its directory file."""
 
     root: str
     directory: DataFrame
 
-    def ranges(self) -> list[tuple[str, str, int]]:
-        """First key, name and length of the directory of every range, sorted: one row for each task that wrote the index."""
-        return sorted((r["first"], r["part"], r["length"]) for r in self.directory.filter("offset < 0").select("part", "first", "length").collect())
+    def ranges(self) -> list[tuple[str, str, str, int]]:
+        """First and last key, name and length of the directory of every range: one row for each task that wrote the index.
+
+        Sorted, so that of ranges that begin with one key the one that goes on beyond it is the last."""
+        return sorted((r["first"], r["last"], r["part"], r["length"]) for r in self.directory.filter("offset < 0").select("part", "first", "last", "length").collect())
 
 
 def _write_records(root: str, names: list[str]):
@@ -158,7 +161,7 @@ def _write_index(root: str, names: list[str]):
             out = out or fs.open_output_stream(f"{base}/{part}.cdx.gz", compression=None)
             packed = gzip.compress(("\n".join(lines) + "\n").encode(), 6, mtime=0)
             out.write(packed)
-            rows.append((part, lines[0].split(" ", 1)[0], offset, len(packed), len(lines)))
+            rows.append((part, lines[0].split(" ", 1)[0], lines[-1].split(" ", 1)[0], offset, len(packed), len(lines)))
             offset += len(packed)
             lines = []
 
@@ -171,11 +174,11 @@ def _write_index(root: str, names: list[str]):
             block()
         if out:
             out.close()
-            text = "".join(f"{first}\t{at}\t{size}\t{n}\n" for _, first, at, size, n in rows).encode()
+            text = "".join(f"{first}\t{at}\t{size}\t{n}\n" for _, first, _, at, size, n in rows).encode()
             with fs.open_output_stream(f"{base}/{part}.idx") as idx:
                 idx.write(text)
-            rows.insert(0, (part, rows[0][1], -1, len(text), 0))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
+            rows.insert(0, (part, rows[0][1], rows[-1][2], -1, len(text), 0))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
 
     return run
 
@@ -197,7 +200,7 @@ def write_archive(df: DataFrame, root: str | None = None, page: str = "page_id",
     written = materialize(rows.select("page", "url", "html", F.col("first").alias("refers_to")).mapInArrow(_write_records(root, names), "key string, page long, file string, offset long, length long"), "warc-written")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = written.repartitionByRange(ranges, "key", "page", "file", "offset").sortWithinPartitions("key", "page", "file", "offset")
-    directory = ordered.mapInArrow(_write_index(root, ["part", "first", "offset", "length", "lines"]), "part string, first string, offset long, length long, lines long")
+    directory = ordered.mapInArrow(_write_index(root, ["part", "first", "last", "offset", "length", "lines"]), "part string, first string, last string, offset long, length long, lines long")
     return Archive(root, materialize(directory, "warc-directory"))
 
 
@@ -209,13 +212,13 @@ def _at(firsts: list[str], key: str) -> int:
 class Directory:
     """Search of the ranges' first keys and of their sparse directories, which are read when asked for and kept."""
 
-    def __init__(self, root: str, parts: list[tuple[str, str, int]]):
+    def __init__(self, root: str, parts: list[tuple[str, str, str, int]]):
         self.files, self.parts, self.firsts = _Ranges(root), parts, [p[0] for p in parts]
         self.known: dict[str, tuple[list[str], list[tuple[int, int]]]] = {}
 
     def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
         """Part, offset and length of the blocks that can hold lines of the key."""
-        for first, part, length in self.parts[_at(self.firsts, key) :]:
+        for first, _, part, length in self.parts[_at(self.firsts, key) :]:
             if first > key:
                 break
             if part not in self.known:

@@ -319,8 +319,9 @@ def test_fingerprints(spark, docs):
 def test_warc(spark):
     rows = [(1, None, None), (2, "http://a.b/c", ""), (3, "not a url at all \r\n", "<p>x</p>"), (4, "http://a.b/c", "<p>x</p>"), (4, "http://a.b/c", "<p>x</p>"), (None, "http://[bad", "<p>y</p>"), (None, "http://q", "<p>y</p>")]
     df = spark.createDataFrame([(*r, "e") for r in rows], "page_id long, url string, html string, digest string")
-    back = warc.look_up(warc.write_archive(df), df).collect()
-    assert len(back) == len(rows)
+    for _ in range(4):  # ranges that begin with one key are named anew each time
+        back = warc.look_up(warc.write_archive(df), df).collect()
+        assert len(back) == len(rows)
     assert sorted((r["page"] or 0, r["type"], r["refers_to"] or 0) for r in back) == [(0, "response", 0), (0, "response", 0), (1, "response", 0), (2, "revisit", 1), (3, "response", 0), (4, "revisit", 3), (4, "revisit", 3)]
 
 
