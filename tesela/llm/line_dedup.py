@@ -19,15 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import col, materialize, others, small, table, words_in
+from tesela.llm.common import SPACED_WORD, col, materialize, others, small, table
 
 WINDOW, DIVISOR, LONG_WORDS = 2, 4, 50
 MADE = ["n_lines", "removed_lines", "removed_chunks"]
 
 
 def _long(line: Column, long_words: int) -> Column:
-    """Whether a line has that many words; only lines that can have them are searched."""
-    return F.when(F.length(line) >= 2 * long_words - 1, words_in(line) >= long_words).otherwise(F.lit(False))
+    """Whether a line has that many words; no more of it is read than these, and short lines not at all."""
+    words = F.regexp_like(line, F.lit(rf"^(?:{SPACED_WORD}){{{long_words}}}".replace("]*", "]*+").replace("]+", "]++")))
+    return F.when(F.length(line) >= 2 * long_words - 1, words).otherwise(F.lit(False))
 
 
 def chunk_lines(text: Column, window: int = WINDOW, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> Column:
