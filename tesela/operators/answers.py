@@ -5,8 +5,12 @@ and entity labels, which any annotator may fill in; `guess_tags` is a stand-in t
 
 from __future__ import annotations
 
+import itertools
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -156,72 +160,83 @@ def nominal_spans(t: Tokens) -> list[tuple[int, int]]:
     return out
 
 
+#: What goes on a quantity, in letters of `_letters`; an adjective only near its start.
+_MORE, ADJECTIVES_UPTO = regex.compile(r"(?:[sn%pa]|(?<=s)d(?=.))*"), 3
+
+
+def _letters(t: Tokens) -> str:
+    """A letter for each token: scale word, noun or number, adjective, "por" of "por ciento", "de" or "por", sign, or none of these."""
+    low = [w.lower() for w in t.words]
+    out = []
+    for w, tag, after in zip(low, t.tags, [*low[1:], ""], strict=True):
+        kinds = {"s": w in SCALES, "n": tag in ("NOUN", "PROPN", "NUM"), "%": w == "%", "a": tag == "ADJ", "p": w == "por" and after == "ciento", "d": w in ("de", "por")}
+        out.append(next((k for k, holds in kinds.items() if holds), "."))
+    return "".join(out)
+
+
+def _is_number(t: Tokens, i: int) -> bool:
+    """Whether a token is a numeral; "un" before a noun that is no scale word is an article."""
+    w, after = t.words[i].lower(), i + 1 < len(t.words)
+    article = w in ("un", "una") and t.tags[i] in ("DET", "PRON") and after and t.tags[i + 1] == "NOUN" and t.words[i + 1].lower() not in SCALES
+    return not article and (w[:1].isdigit() or t.tags[i] == "NUM" or w in NUMBER_WORDS)
+
+
 def quantity_spans(t: Tokens) -> list[tuple[int, int]]:
     """A numeral with a modifier before it and the unit after it; "de" and "por" are crossed only behind a scale word."""
-    low, out, i, n = [w.lower() for w in t.words], [], 0, len(t.words)
-    while i < n:
-        digits = low[i][:1].isdigit()
-        numeral = digits or t.tags[i] == "NUM" or low[i] in NUMBER_WORDS
-        article = low[i] in ("un", "una") and t.tags[i] in ("DET", "PRON") and i + 1 < n and t.tags[i + 1] == "NOUN" and low[i + 1] not in SCALES
-        if not numeral or article:
-            i += 1
+    letters, out, done = _letters(t), [], 0
+    for i in range(len(t.words)):
+        if i < done or not _is_number(t, i):
             continue
-        start = i - 1 if i and low[i - 1] in BEFORE_NUMBER else i
-        end = i + 1
-        while end < n:
-            if low[end] in SCALES or t.tags[end] in ("NOUN", "PROPN", "NUM"):
-                end += 1
-            elif t.tags[end] == "ADJ" and end - start <= 3:
-                end += 1
-            elif low[end] in ("de", "por") and low[end - 1] in SCALES and end + 1 < n:
-                end += 1
-            elif low[end] == "%" or (low[end] == "por" and low[end + 1 : end + 2] == ["ciento"]):
-                end += 1
-            else:
-                break
-        out.append((start, end))
-        i = max(end, i + 1)
+        start = i - (i > 0 and t.words[i - 1].lower() in BEFORE_NUMBER)
+        done = _MORE.match(letters, i + 1).end()
+        far = letters.find("a", max(i + 1, start + ADJECTIVES_UPTO + 1), done)
+        done = far if far >= 0 else done
+        out.append((start, done))
     return out
 
 
+def _laid_out(t: Tokens) -> tuple[str, list[int]]:
+    """The words with one blank between, and where each starts."""
+    return " ".join(t.words), [0, *itertools.accumulate(len(w) + 1 for w in t.words)][: len(t.words)]
+
+
+def _touched(t: Tokens, starts: list[int], begin: int, end: int) -> tuple[int, int]:
+    """The tokens that a stretch of the laid out words touches."""
+    return bisect_right(starts, begin) - 1, bisect_left(starts, end)
+
+
 def date_spans(t: Tokens) -> list[tuple[int, int]]:
     """Tokens that matches of the date pattern touch."""
-    at, starts = 0, []
-    for w in t.words:
-        starts.append(at)
-        at += len(w) + 1
-    text = " ".join(t.words)
-    out = []
-    for m in regex.finditer(DATE, text, regex.IGNORECASE):
-        touched = [i for i, s in enumerate(starts) if s < m.end() and s + len(t.words[i]) > m.start()]
-        if touched:
-            out.append((touched[0], touched[-1] + 1))
-    return out
+    text, starts = _laid_out(t)
+    return [_touched(t, starts, m.start(), m.end()) for m in regex.finditer(DATE, text, regex.IGNORECASE) if m.end() > m.start()]
+
+
+def _either(words: Iterable[str]) -> str:
+    return "(?:" + "|".join(regex.escape(w) for w in words) + r")(?!\S)"
+
+
+#: Words up to a cut, two at least, behind each causal link; and the words since a sign, up to eight, before a causative verb.
+_BEHIND = {link: regex.compile(rf"(?<!\S){_either([link])} (\S+(?: (?!{_either(CAUSE_ENDS)})\S+)+)") for link in CAUSE_LINKS}
+_BEFORE = [regex.compile(rf" {_either([verb])}") for verb in CAUSE_VERBS]
+_SUBJECT = regex.compile(r"(?<!\S)(?:(?![,;.:] )\S+ )+$")
+_LEADING = regex.compile(rf"(?:{_either(LEADING)} )*")
+SUBJECT_WORDS = 8
 
 
 def cause_spans(t: Tokens) -> list[tuple[int, int]]:
     """What follows a causal link up to a cut, or the short subject before a causative verb; it must hold a noun."""
-    low, out, n = [w.lower() for w in t.words], [], len(t.words)
-    for link in CAUSE_LINKS:
-        parts = link.split()
-        for i in range(n - len(parts) + 1):
-            if low[i : i + len(parts)] == parts:
-                start = i + len(parts)
-                end = next((j for j in range(start + 1, n) if low[j] in CAUSE_ENDS), n)
-                if end - start >= 2:
-                    out.append((start, end))
-    for verb in CAUSE_VERBS:
-        if verb in low[1:]:
-            end = low.index(verb, 1)
-            start = max((j + 1 for j in range(end) if low[j] in (",", ";", ".", ":")), default=0)
-            if 1 <= end - start <= 8:
-                out.append((start, end))
-    trimmed = []
-    for start, end in out:
-        first = next((j for j in range(start, end) if low[j] not in LEADING), start)
-        if any(t.tags[j] in ("NOUN", "PROPN") for j in range(first, end)):
-            trimmed.append((first, end))
-    return trimmed
+    text, starts = _laid_out(t)
+    low = text.lower()
+    if len(low) != len(text):  # a letter that has a longer lower case: offsets would differ
+        low = text
+    found = [m.span(1) for rule in _BEHIND.values() for m in rule.finditer(low, overlapped=True)]
+    subjects = [_SUBJECT.search(low, 0, m.start() + 1) for rule in _BEFORE if (m := rule.search(low))]
+    found += [m.span() for m in subjects if m and m[0].count(" ") <= SUBJECT_WORDS]
+    spans = []
+    for begin, end in found:
+        after = _LEADING.match(low, begin, end).end()
+        spans.append(_touched(t, starts, after if after < end else begin, end))
+    return [(a, b) for a, b in spans if not {"NOUN", "PROPN"}.isdisjoint(t.tags[a:b])]
 
 
 def candidates(t: Tokens, kind: str) -> list[tuple[int, int]]:
@@ -234,23 +249,22 @@ def candidates(t: Tokens, kind: str) -> list[tuple[int, int]]:
 
 
 def choose(t: Tokens, spans: list[tuple[int, int]], asked: set[str], stop: frozenset[str]) -> tuple[tuple[int, int] | None, float]:
-    """The span nearest to the question's words, each counted by its nearest use, and how sure that is."""
+    """The span nearest to the question's words, each counted by its nearest use, and how sure that is.
+
+    Spans of words that the question has itself count only if there are no others."""
     if not spans:
         return None, 0.0
     low = [w.lower() for w in t.words]
     own = [{w for w in low[a:b] if len(w) > 1 and w not in stop and w[0].isalnum()} for a, b in spans]
-    fresh = [s for s, words in zip(spans, own, strict=True) if not (words and words <= asked)] or spans
-    places: dict[str, list[int]] = {}
-    for i, w in enumerate(low):
-        if w in asked:
-            places.setdefault(w, []).append(i)
-
-    def close(span: tuple[int, int]) -> float:
-        middle = (span[0] + span[1]) / 2
-        return sum(max(1 / (1 + abs(middle - i)) for i in where) for where in places.values())
-
-    best = max(fresh, key=close)
-    return best, min(1.0, 2 * close(best) / max(1, len(places)))
+    stale = np.array([bool(words) and words <= asked for words in own])
+    used = sorted(asked.intersection(low))
+    near = np.zeros(len(spans))
+    middle = np.array(spans, float).mean(axis=1)
+    for word in used:
+        places = np.array([i for i, w in enumerate(low) if w == word])
+        near += 1 / (1 + np.abs(middle[:, None] - places).min(axis=1))
+    best = int(np.where(stale & ~stale.all(), -1.0, near).argmax())
+    return spans[best], float(min(1.0, 2 * near[best] / max(1, len(used))))
 
 
 ANSWER = "answer string, type string, sent_id int, sentence string, retrieval double, extraction double, coverage double, confidence double, abstained boolean, reason string"
