@@ -50,7 +50,7 @@ SAMPLE, FREQUENT, FREQUENT_MOST = 4, 4, 500_000
 #: prefix is longer than one shared shingle needs.
 COMMON, EXTRA = 6, 5
 #: Sizes of what a task holds at a time: prefix shingles, documents that meet a pivot, documents of a cell, and of a leaf.
-BUCKET_TOKENS, REGION_ROWS, BLOCK_ROWS, LEAF = 1_000_000, 256, 2_000, 96
+BUCKET_TOKENS, REGION_ROWS, BLOCK_ROWS, LEAF = 1_000_000, 256, 500, 96
 
 
 def prefix_length(n: int, similarity: int = SIMILARITY) -> int:
