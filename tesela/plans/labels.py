@@ -182,7 +182,7 @@ def tolerant_accuracy(spark, sf_dir):
     return t.select("step", "name", rounded(F.col("alone")).alias("alone"), rounded(F.col("cumulative")).alias("cumulative"))
 
 
-@query("universal_tags", "SELECT tag, CASE WHEN tag LIKE 'F%' THEN 'PUNCT' ELSE coalesce(" + ", ".join(f"map {{{', '.join(f'{chr(39)}{p}{chr(39)}: {chr(39)}{u}{chr(39)}' for u, ps in Q.TAGS.items() for p in ps.split())}}}[substr(tag, 1, {n})]" for n in (2, 1, 3)) + ") END AS upos FROM (SELECT DISTINCT upper(substr(regexp_extract(text, '\\p{L}+'), 1, 3)) AS tag FROM documents) WHERE regexp_matches(tag, '^[A-Z]{1,3}$')")
+@query("universal_tags", "SELECT tag, CASE WHEN tag LIKE 'F%' THEN 'PUNCT' ELSE coalesce(" + ", ".join(f"map {{{', '.join(f'{chr(39)}{p}{chr(39)}: {chr(39)}{u}{chr(39)}' for p, u in Q.TAGS.items())}}}[substr(tag, 1, {n})]" for n in (2, 1, 3)) + ") END AS upos FROM (SELECT DISTINCT upper(substr(regexp_extract(text, '\\p{L}+'), 1, 3)) AS tag FROM documents) WHERE regexp_matches(tag, '^[A-Z]{1,3}$')")
 def universal_tags(spark, sf_dir):
     """Positional tags, here the first letters of documents, and their universal classes."""
     tag = F.upper(F.substring(F.regexp_extract("text", r"\p{L}+", 0), 1, 3))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.ml.feature import StringIndexer
@@ -253,9 +255,7 @@ def streamed_events(spark, sf_dir):
     """Hourly event counts from a stream that takes in the whole table."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir)
-    name = f"events_{uuid.uuid4().hex}"
-    ST.run_once(ST.event_counts(stream), name, _checkpoint(spark, name))
-    return spark.table(name).withColumn("total", F.round("total", 4))
+    return ST.run_once(ST.event_counts(stream), _folder(spark)).withColumn("total", F.round("total", 4))
 
 
 @query("streamed_vocabulary", f"WITH {TOK.replace('FROM documents', 'FROM (SELECT item_id AS doc_id, text FROM benchmark)')} SELECT term, count(*) AS c FROM word GROUP BY term")
@@ -263,16 +263,15 @@ def streamed_vocabulary(spark, sf_dir):
     """Word counts of the benchmark texts from a stream."""
     schema = table(spark, sf_dir, "benchmark").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "benchmark*").parquet(sf_dir)
-    name = f"words_{uuid.uuid4().hex}"
-    ST.run_once(ST.word_counts(stream), name, _checkpoint(spark, name))
-    return spark.table(name)
+    return ST.run_once(ST.word_counts(stream), _folder(spark))
 
 
-def _checkpoint(spark: SparkSession, name: str) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tesela-stream-')}"
-    return f"{base.rstrip('/')}/streams/{name}"
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, or, where that is unset on one machine, a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or f'file://{tempfile.mkdtemp(prefix="tesela-")}').rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
 QUERIES, ORACLES = query.queries, query.oracles

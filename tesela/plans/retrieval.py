@@ -84,8 +84,8 @@ def _queries(weights: DataFrame) -> DataFrame:
     return weights.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query"), "term", "weight")
 
 
-#: Terms in more than this share of documents are left out of retrieval, as a vocabulary crop does.
-MOST = 0.1
+#: Terms in more than this share of documents are left out of retrieval, as a vocabulary crop does; at 1 none are.
+MOST = 1.0
 
 RANK = """ranked AS (
   SELECT q.doc_id AS query, d.doc_id, coalesce(s.score, 0) AS score, row_number() OVER (PARTITION BY q.doc_id ORDER BY round(coalesce(s.score, 0), 9) DESC, d.doc_id) AS place

@@ -304,9 +304,10 @@ def padded_sequences(spark, sf_dir):
 @query("name_fusion", f"""WITH {TOK}, f AS (
   SELECT token, count(*) FILTER (WHERE pos > 0 AND regexp_matches(token, '^\\p{{Lu}}')) AS names, count(*) FILTER (WHERE NOT (pos > 0 AND regexp_matches(token, '^\\p{{Lu}}'))) AS commons
   FROM tok WHERE regexp_matches(token, '^\\p{{L}}') GROUP BY token),
-u AS (SELECT * FROM f WHERE regexp_matches(token, '^\\p{{Lu}}') AND names >= 3 AND names / (names + commons) >= 0.6),
-l AS (SELECT token AS common, commons AS common_uses FROM f WHERE token = lower(token) AND commons >= 3)
-SELECT token, names, common, common_uses FROM u JOIN l ON lower(token) = common""")
+g AS MATERIALIZED (SELECT *, lower(token) AS low FROM f),
+u AS MATERIALIZED (SELECT * FROM g WHERE regexp_matches(token, '^\\p{{Lu}}') AND names >= 3 AND names / (names + commons) >= 0.6),
+l AS MATERIALIZED (SELECT token AS common, commons AS common_uses FROM g WHERE token = low AND commons >= 3)
+SELECT token, names, common, common_uses FROM u JOIN l ON low = common""")
 def name_fusion(spark, sf_dir):
     """Names that lower case makes one with common words; here a capital inside the text marks a name."""
     rows = V.token_rows(_docs(spark, sf_dir), T.tokens(F.col("text"))).filter(F.col("token").rlike(r"^\p{L}"))

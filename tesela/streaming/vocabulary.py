@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from tesela.functions import text as T
 
@@ -25,8 +24,17 @@ def event_counts(stream: DataFrame, time: str = "ts", kind: str = "event_type",
     return counts.select(F.col("w.start").cast("timestamp_ntz").alias("start"), kind, "n", "total")
 
 
-def run_once(result: DataFrame, sink: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Takes in all there is, in as many batches as the source makes, into a table in memory, and stops."""
-    query = result.writeStream.format("memory").queryName(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+def run_once(result: DataFrame, folder: str) -> DataFrame:
+    """Takes in all there is, in as many batches as the source makes, and stops; the whole result as it then stands.
+
+    Every batch writes the result as Parquet to a folder of its own, so none of it passes through the driver."""
+    done: list[str] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/batches/{number}"
+        batch.write.mode("overwrite").parquet(path)
+        done.append(path)
+
+    result.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = result.sparkSession
+    return spark.read.schema(result.schema).parquet(done[-1]) if done else spark.createDataFrame([], result.schema)
