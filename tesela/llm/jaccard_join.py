@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesela.llm.common import col, drop_table, materialize, others, release, small, small_batches, table
-from tesela.llm.components import components
+from tesela.llm.components import stars
 from tesela.llm.shingles import WORDS, mix, shingle_sets, utf8
 
 #: Percent. Two documents link at 100 * intersection >= SIMILARITY * union.
@@ -347,7 +347,7 @@ def _cells(rows: DataFrame, measure, radius: float) -> DataFrame:
     parts = materialize(rows.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / REGION_ROWS).alias("parts")), "jaccard-sub-parts").withColumnRenamed("p", "r")
     members = rows.join(small(parts), F.col("p") == F.col("r")).select("p", F.pmod(F.xxhash64("x"), F.col("parts")).alias("part"), "x")
     heads = subs.join(small(parts), F.col("p") == F.col("r")).select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "x")
-    away = materialize(measure(members, heads, "jaccard-sub-met").select("p", "x", "q", "d", "far"), "jaccard-away")
+    away = materialize(measure(members, heads).select("p", "x", "q", "d", "far"), "jaccard-away")
     # a key of several texts visits all cells of its region, where all documents are then at home
     homes = away.groupBy(F.col("p").alias("hp"), F.col("x").alias("hx")).agg(F.min(F.struct("d", "q")).alias("home"), F.max(F.col("far") > F.col("d")).alias("wide"))
     homes = materialize(rows.join(homes, (F.col("p") == F.col("hp")) & (F.col("x") == F.col("hx"))).select("p", "x", "comp", "apart", "wide", "home.d", "home.q"), "jaccard-homes")
@@ -381,12 +381,15 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     made = materialize(_prefixes(df, key, text, words, similarity, buckets, frequent), "jaccard-prefixes")
     docs = made.filter("sig is not null").select("key", "n", "sig")
     # classes of equal sets: copies point to the smallest key
-    equal = materialize(docs.filter("n > 0 and key is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.max("key").alias("other")).filter("rep <> other").select(F.col("sig").alias("same"), "rep"), "jaccard-equal")
-    every_copy = materialize(docs.join(small(equal, 250_000), F.col("sig") == F.col("same")).filter("key <> rep").select("key", "rep").distinct(), "jaccard-every-copy")
+    equal = materialize(docs.filter("n > 0 and key is not null").groupBy("sig").agg(F.min("key").alias("first"), F.max("key").alias("other")).filter("first <> other").select(F.col("sig").alias("same"), "first"), "jaccard-equal")
+    named, same = docs.filter("key is not null"), small(equal, 250_000)
+    least = F.floor(F.ceil(F.col("n") * similarity / 100) * EXTRA / 100) + 1
+    by_key = named.join(same, F.col("sig") == F.col("same"), "left").groupBy(F.col("key").alias("k")).agg((F.min("sig") < F.max("sig")).alias("several"), F.min("first").alias("r"), F.min(F.when(F.col("n") > 0, least)).cast("long").alias("need"))
+    by_key = materialize(by_key, "jaccard-keys")
+    copies = by_key.filter("not several and r <> k").select("k", "r")
     # a key with several sets keeps its own pairs, of all its texts, and is linked with its representatives
-    several = materialize(docs.filter("key is not null").groupBy(F.col("key").alias("twice")).agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low <> high").select("twice"), "jaccard-several")
-    bridges = materialize(every_copy.join(small(several), F.col("key") == F.col("twice"), "left_semi"), "jaccard-bridges")
-    copies = materialize(every_copy.join(small(several), F.col("key") == F.col("twice"), "left_anti"), "jaccard-copies")
+    own = named.join(small(by_key.filter("several").select("k")), F.col("key") == F.col("k"), "left_semi")
+    bridges = own.join(same, F.col("sig") == F.col("same")).filter("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
     # step 1: who sees which pivot, by how many shingles
     rare = made.filter("bucket is not null").select("tokens", "keys", "sizes", "bucket").repartition(buckets, "bucket").select("tokens", "keys", "sizes").mapInArrow(_elected(similarity), "x long, p long, votes long")
     kind = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.01 / similarity))).cast("int")
@@ -395,15 +398,13 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     heads = materialize(heads.filter("low <> high").select(F.col("token").alias("t"), F.col("window").alias("w"), "m.p"), "jaccard-heads")
     often = hot.join(small(heads), (F.col("token") == F.col("t")) & (F.col("window") == F.col("w"))).select(F.col("key").alias("x"), "p", F.lit(1).cast("long").alias("votes"))
     seen = materialize(rare.unionAll(often).groupBy("x", "p").agg(F.sum("votes").alias("votes")), "jaccard-seen")
-    least = F.floor(F.ceil(F.col("n") * similarity / 100) * EXTRA / 100) + 1
-    needs = docs.filter("key is not null and n > 0").groupBy(F.col("key").alias("k")).agg(F.min(least).cast("long").alias("need"))
     votes = seen.groupBy(F.col("x").alias("voter")).agg(F.sum("votes").alias("all"))
-    alive = materialize(votes.join(needs, F.col("voter") == F.col("k")).filter(F.col("all") >= F.col("need")).select("k", "need"), "jaccard-alive")
+    alive = materialize(votes.join(small(by_key), F.col("voter") == F.col("k")).filter(F.col("all") >= F.col("need")).select("k", "need"), "jaccard-alive")
     by_votes = Window.partitionBy("x").orderBy("votes", "p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = seen.filter("x <> p").join(small(alive), F.col("x") == F.col("k")).withColumn("lost", F.sum("votes").over(by_votes)).filter("lost > (need - 1) div 2").select("x", "p")
     pairs = kept.join(small(alive.select(F.col("k").alias("a"))), F.col("p") == F.col("a"), "left").select("x", "p", F.col("a").isNotNull().alias("alive"))
     for c in ("x", "p"):
-        pairs = pairs.join(small(copies).withColumnRenamed("key", "k").withColumnRenamed("rep", "r"), F.col(c) == F.col("k"), "left").withColumn(c, F.coalesce("r", c)).drop("k", "r")
+        pairs = pairs.join(small(copies), F.col(c) == F.col("k"), "left").withColumn(c, F.coalesce("r", c)).drop("k", "r")
     pairs = materialize(pairs.filter("x <> p").groupBy("x", "p").agg(F.max("alive").alias("alive")), "jaccard-pairs")
     # step 2: a region has its pivot, if that may have links, and its documents; one alone has nothing to meet
     parts = pairs.groupBy(F.col("p").alias("q")).agg(F.ceil(F.count(F.lit(1)) / REGION_ROWS).alias("parts"), F.count(F.lit(1)).alias("all"), F.max("alive").alias("alive")).filter("alive or all > 1").select("q", "parts")
@@ -417,17 +418,17 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
         with_text = rows.join(texts, F.col("x") == F.col("id")).select("p", "part", "role", "x", "comp", "text")
         return with_text.repartition(tasks, "p", "part").sortWithinPartitions("p", "part", "role").mapInArrow(run, schema)
 
-    def measure(members: DataFrame, pivots: DataFrame, label: str) -> DataFrame:
+    def measure(members: DataFrame, pivots: DataFrame) -> DataFrame:
         """Rows p, part, x against the pivots p, part, x of the same region and part."""
         none = F.lit(None).cast("long").alias("comp")
         both = pivots.select("p", "part", F.lit(0).alias("role"), "x", none).unionAll(members.select("p", "part", F.lit(1).alias("role"), "x", none))
-        met = materialize(meet(both, _measured(words), "p long, x long, q long, common long, together long"), label)
+        met = meet(both, _measured(words), "p long, x long, q long, common long, together long")
         return met.groupBy("p", "x", "q").agg(F.min(1 - F.col("common") / F.col("together")).alias("d"), F.max(1 - F.col("common") / F.col("together")).alias("far"), F.max(F.col("common") * 100 >= F.col("together") * similarity).alias("near"))
 
     first_pivots = parts.select(F.col("q").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("q").alias("x"))
-    measured = materialize(measure(regions, first_pivots, "jaccard-met"), "jaccard-measured")
+    measured = materialize(measure(regions, first_pivots), "jaccard-measured")
     links = measured.filter("near").select(F.col("x").alias("a"), F.col("p").alias("b"))
-    linked = materialize(components(links.unionAll(bridges.select(F.col("key").alias("a"), F.col("rep").alias("b")))), "jaccard-linked")
+    linked = stars(links.unionAll(bridges))
 
     # what the pivots leave: documents not connected with their pivot, and those within the radius of them
     def comp_of(rows: DataFrame, column: str, name: str) -> DataFrame:
@@ -449,14 +450,12 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     late = materialize(meet(rest, _searched(words, similarity), "a long, b long"), "jaccard-late")
     # join the components found at first by the late links
     ends = comp_of(comp_of(late, "a", "a1"), "b", "b1").select(F.col("a1").alias("a"), F.col("b1").alias("b"))
-    merged = materialize(components(ends), "jaccard-merged").select(F.col("node").alias("m"), F.col("comp").alias("into"))
-    comps = linked.unionAll(late.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(linked.select("node"), "node", "left_anti").withColumn("comp", F.col("node")))
-    final = materialize(comps.join(small(merged), F.col("comp") == F.col("m"), "left").select("node", F.coalesce("into", "comp").alias("comp")), "jaccard-final")
-    for done in (equal, every_copy, several, bridges, heads, seen, alive, pairs, parts, regions, wanted, texts, measured, linked, known, open_regions, inside, late):
+    merged = stars(ends).select(F.col("node").alias("m"), F.col("comp").alias("into"))
+    out = docs.join(small(copies), F.col("key") == F.col("k"), "left").withColumn("node_of", F.coalesce("r", "key"))
+    out = comp_of(out, "node_of", "comp").join(small(merged), F.col("comp") == F.col("m"), "left")
+    for done in (equal, heads, seen, alive, pairs, parts, regions, wanted, texts, measured, known, open_regions, inside, late):
         drop_table(done)
-    out = docs.join(small(copies).withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").withColumn("node_of", F.coalesce("rep", "key"))
-    out = out.join(small(final), F.col("node_of") == F.col("node"), "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("comp", "node_of").alias("component_id"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("into", "comp").alias("component_id"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
