@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesela.llm.common import col, drop_table, materialize, others, release, small, small_batches, table
@@ -49,8 +49,9 @@ SAMPLE, FREQUENT, FREQUENT_MOST = 4, 4, 500_000
 #: A shingle that more than COMMON prefixes of the first round have goes last, too. Percent of a set's size by which its
 #: prefix is longer than one shared shingle needs.
 COMMON, EXTRA = 6, 5
-#: Sizes of what a task holds at a time: prefix shingles, documents that meet a pivot, documents of a cell, and of a leaf.
-BUCKET_TOKENS, REGION_ROWS, BLOCK_ROWS, LEAF = 1_000_000, 256, 500, 96
+#: Sizes of what a task holds at a time: prefix shingles, documents that meet a pivot, documents of a cell, and of a leaf;
+#: and about how many documents search a cell in one task.
+BUCKET_TOKENS, REGION_ROWS, BLOCK_ROWS, LEAF, SEARCH_ROWS = 1_000_000, 256, 500, 96, 1_000
 
 
 def prefix_length(n: int, similarity: int = SIMILARITY) -> int:
@@ -338,7 +339,8 @@ def _cells(rows: DataFrame, measure, radius: float) -> DataFrame:
     """Regions with too many documents apart from their pivot, as rows of their Voronoi cells: p, part, role, x, comp.
 
     Rows p, x, comp, apart, left. Sub-pivots are about two for each cell's worth of the documents apart, by a seeded hash.
-    A cell that is still too large is dealt into blocks, which all documents near the cell's border or in it search."""
+    A cell that is still too large is dealt into blocks, which all documents near the cell's border or in it search; a cell
+    that many search is laid out once for each slice of them, so that neither side of a task grows with the region."""
     hashed = F.xxhash64(F.lit("cell"), "p", "x")
     apart = rows.filter("apart")
     drawn = apart.filter(F.pmod(hashed, F.col("left")) < F.ceil(2 * F.col("left") / BLOCK_ROWS)).select("p", "x")
@@ -355,13 +357,24 @@ def _cells(rows: DataFrame, measure, radius: float) -> DataFrame:
     homes = homes.join(small(spread), F.col("p") == F.col("wp"), "left").withColumn("apart", F.col("apart") | F.col("wp").isNotNull())
     cells = homes.filter("apart").groupBy(F.col("p").alias("cp"), F.col("q").alias("cq")).agg((F.min("d") - radius).alias("low"), (F.max("d") + radius).alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
     cells = materialize(cells, "jaccard-cells")
-    block = lambda number: F.xxhash64("q", number)
-    own = homes.select(F.col("p").alias("op"), F.col("x").alias("ox"), "comp", "apart", "wide", F.col("d").alias("nearest"), F.col("q").alias("home"))
+    own = homes.select(F.col("p").alias("op"), F.col("x").alias("ox"), "comp", "wide", F.col("d").alias("nearest"))
     placed = away.join(own, (F.col("p") == F.col("op")) & (F.col("x") == F.col("ox"))).join(small(cells), (F.col("p") == F.col("cp")) & (F.col("q") == F.col("cq")))
-    at_home = placed.filter("apart and q = home").select("p", block(F.pmod(F.xxhash64("x"), F.col("blocks"))).alias("part"), F.lit(0).alias("role"), "x", "comp")
     visits = placed.filter(F.col("wide") | ((F.col("d") <= F.col("nearest") + 2 * radius) & (F.col("d") >= F.col("low")) & (F.col("d") <= F.col("high"))))
-    visits = visits.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return at_home.unionAll(visits.select("p", block(F.col("number")).alias("part"), F.lit(1).alias("role"), "x", "comp"))
+    visits = materialize(visits.select("p", "q", "blocks", "x", "comp"), "jaccard-visits")
+    # whoever is at home in a cell visits it, so every cell is in this table
+    slices = materialize(visits.groupBy(F.col("p").alias("sp"), F.col("q").alias("sq"), "blocks").agg(F.ceil(F.count(F.lit(1)) / SEARCH_ROWS).alias("slices")), "jaccard-slices")
+    place = (F.col("p") == F.col("sp")) & (F.col("q") == F.col("sq"))
+    part = F.xxhash64("q", "block", "slice").alias("part")
+    at_home = homes.filter("apart").select("p", "q", "x", "comp").join(small(slices), place).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")))
+    at_home = at_home.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    visits = visits.drop("blocks").join(small(slices), place).withColumn("slice", _slice())
+    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return at_home.select("p", part, F.lit(0).alias("role"), "x", "comp").unionAll(visits.select("p", part, F.lit(1).alias("role"), "x", "comp"))
+
+
+def _slice() -> Column:
+    """The one of `slices` in which a document x searches."""
+    return F.pmod(F.xxhash64(F.lit("slice"), "x"), F.col("slices"))
 
 
 def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -439,12 +452,13 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     radius = 1 - similarity / 100 + 1e-9
     apart = F.col("comp") != F.col("home")
     stats = known.groupBy(F.col("p").alias("q")).agg(F.count(F.when(apart, 1)).alias("left"), F.count(F.lit(1)).alias("all"), F.min(F.when(apart, F.col("d"))).alias("low"), F.max(F.when(apart, F.col("far"))).alias("high"))
-    open_regions = materialize(stats.filter("left > 0 and all > 1").select("q", "left", (F.col("low") - radius).alias("low"), (F.col("high") + radius).alias("high")), "jaccard-open")
-    inside = known.join(small(open_regions), F.col("p") == F.col("q")).filter("far >= low and d <= high").select("p", "x", "comp", apart.alias("apart"), "left")
+    open_regions = materialize(stats.filter("left > 0 and all > 1").select("q", "left", F.ceil(F.col("all") / SEARCH_ROWS).alias("slices"), (F.col("low") - radius).alias("low"), (F.col("high") + radius).alias("high")), "jaccard-open")
+    inside = known.join(small(open_regions), F.col("p") == F.col("q")).filter("far >= low and d <= high").select("p", "x", "comp", apart.alias("apart"), "left", "slices")
     inside = materialize(inside, "jaccard-inside")
-    one = inside.filter(F.col("left") <= BLOCK_ROWS).withColumn("part", F.lit(0).cast("long"))
-    rest = one.filter("apart").select("p", "part", F.lit(0).alias("role"), "x", "comp").unionAll(one.select("p", "part", F.lit(1).alias("role"), "x", "comp"))
-    large = inside.filter(F.col("left") > BLOCK_ROWS)
+    one = inside.filter(F.col("left") <= BLOCK_ROWS)
+    laid = one.filter("apart").select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("part"), F.lit(0).alias("role"), "x", "comp")
+    rest = laid.unionAll(one.select("p", _slice().alias("part"), F.lit(1).alias("role"), "x", "comp"))
+    large = inside.filter(F.col("left") > BLOCK_ROWS).drop("slices")
     if large.limit(1).count():
         rest = rest.unionAll(_cells(large, measure, radius))
     late = materialize(meet(rest, _searched(words, similarity), "a long, b long"), "jaccard-late")

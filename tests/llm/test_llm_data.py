@@ -128,6 +128,37 @@ def test_jaccard_join_equals_all_pairs(spark, docs, small, monkeypatch):
     assert left == set(want.values())
 
 
+@pytest.mark.parametrize("block", [12, 500])
+def test_searches_of_a_large_region_are_split(spark, block, monkeypatch):
+    """One region of near copies, with cells and without: no task is met by more than a few slices' worth of documents."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(jaccard_join, "SEARCH_ROWS", 8)
+    found, most = jaccard_join._searched, 8 * 4
+
+    def searched(words, similarity):
+        inner = found(words, similarity)
+
+        def run(batches):
+            held = list(batches)
+            met = collections.Counter((p, part) for b in held for p, part, role in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) if role == 1)
+            assert max(met.values(), default=0) <= most, met.most_common(3)
+            yield from inner(iter(held))
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "_searched", searched)
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{i}" for i in range(150)], {}
+    for k in range(240):
+        w = base.copy()
+        for at in rng.choice(150, rng.integers(0, 6), replace=False):
+            w[at] = f"x{rng.integers(4)}"
+        texts[k] = " ".join(w)
+    want, sizes = components(texts)
+    rows = jaccard_join.near_duplicate_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in rows} == {k: (want[k], sizes[k]) for k in texts}
+
+
 def test_elections_lose_no_link():
     """Two that link keep a pivot in common, whatever votes their smallest pivots lose."""
     rng = np.random.default_rng(11)
