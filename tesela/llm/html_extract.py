@@ -5,9 +5,13 @@ length, the number of blocks, punctuation and linked text are added up; length a
 the page's sequence of blocks, fused, and paths at or above a share of their deviation are content. The deepest element
 that holds nearly all content is the article; all its blocks belong to the text, short ones, linked ones and headings too.
 Elements that are never content by name, role or class (menus, page headers, footers, fields, adverts, comments) take no
-part. A class or id says so if it is made of such words and words of layout alone ("ad", "comment-list") and none beside it
-names content; the element of one that only holds such a word ("has-sidebar", "legal-analysis"), or a form, which may be
-wrapped around a page, goes if no path in it is content and no block in it has half the ratio that content has on average.
+part, nor do hidden ones. A class or id says so if it names reader comments ("post-comments"), or is made of such words and
+words of layout alone ("ad", "menu-list") and none beside it names content; the element of one that only holds such a word
+("has-sidebar", "legal-analysis"), or a form, which may be wrapped around a page, goes if no path in it is content and no
+block in it has half the ratio that content has on average.
+
+Where names leave nothing at all, only those of comments count. Of blocks that stand in the page itself, without an element
+around the article, those between the first content and the last stay, and headings above it; blocks of links go.
 
 Elements are rows of parent links, so a page takes memory and time in proportion to its length, however deep it is nested.
 
@@ -41,6 +45,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification alert popup overlay modal newsletter subscribe subscription signup login signin register menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc sidebar aside widget widgets related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond discussion footer foot masthead topbar toolbar search skip copyright legal disclaimer tags outbrain taboola paywall header".split()
 )
+#: Names with these words are reader comments whatever stands beside them, unless it says whether there are any; some need a second word.
+COMMENTS, COMMENTS_OF = frozenset("comment comments commentlist disqus respond".split()), {"discussion": frozenset("thread threads board forum".split()), "replies": frozenset("list thread".split())}
+STATES = frozenset("no not has have with without open opened close closed enable enabled disable disabled allow allowed on off".split())
 #: Words of classes and ids that say how an element is laid out, and those that name content.
 LAYOUT = frozenset("area bar box buttons container icons inner item items links list posts slot unit wrap wrapper".split())
 CONTENT = frozenset("article body content entry main page post story text".split())
@@ -59,23 +66,33 @@ ENDS = {
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A whole attribute, name and value together, so that nothing inside a value or a longer name is taken for one.
+_ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?…、。，！？¿¡]")
 _BLANK = re.compile(r"\s+")
 
 
-def _hinted(value: str, inside: bool) -> int:
-    """2 if a name of a class or id is made of hints alone and none names content, 1 if a hint is among its words, else 0."""
+def _comments(words: list[str]) -> bool:
+    """Whether a name stands for reader comments."""
+    return not STATES.intersection(words) and any(w in COMMENTS or COMMENTS_OF.get(w, STATES).intersection(words) for w in words)
+
+
+def _hinted(value: str, inside: bool, hints: bool) -> int:
+    """2 if a name of a class or id is one of reader comments, or made of hints alone and none names content; 1 if a hint is
+    among its words, else 0. Without `hints` only comments count."""
     names = [[w.lower() for w in _WORD.findall(_CAMEL.sub(" ", name))] for name in value.split()]
-    hint = lambda w: w in HINTS and not (inside and w == "header")
+    if any(map(_comments, names)):
+        return 2
+    hint = lambda w: hints and w in HINTS and not (inside and w == "header")
     if not any(hint(w) for ws in names for w in ws):
         return 0
     return 2 if any(any(map(hint, ws)) and all(hint(w) or w in LAYOUT for w in ws) for ws in names) and not any(w in CONTENT for ws in names for w in ws) else 1
 
 
-def _shunned(tag: str, attrs: str, inside: bool) -> int:
+def _shunned(tag: str, attrs: str, inside: bool, hints: bool = True) -> int:
     """2 for an element that is never content, 1 for one that may not be; `inside` an article, a header is its headline."""
     if tag in NEVER or (tag == "header" and not inside):
         return 2
@@ -83,12 +100,12 @@ def _shunned(tag: str, attrs: str, inside: bool) -> int:
     if attrs and tag not in ("html", "body", "article", "main", "h1"):
         for name, *values in _ATTR.findall(attrs):
             name, value = name.lower(), next((v for v in values if v), "")
-            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _UNSEEN.search(value)):
                 return 2
             if name == "role" and value.strip().lower() in ROLES:
                 return 2
             if name in ("class", "id"):
-                level = max(level, _hinted(value, inside))
+                level = max(level, _hinted(value, inside, hints))
     return level
 
 
@@ -108,7 +125,8 @@ class Block:
 class _Page:
     """Blocks of a page in order, and its block elements: parent (a smaller number), tag, and the doubtful one around each."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, hints: bool = True):
+        self.hints = hints
         self.blocks: list[Block] = []
         self.parent, self.tag, self.around = [0], [""], [0]
         self.paths: dict[tuple[int, str], int] = {}
@@ -185,7 +203,7 @@ class _Page:
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             return
         _, element, shunned, path, inside, doubtful, doubts = self.stack[-1]
-        level = _shunned(tag, attrs, inside)
+        level = _shunned(tag, attrs, inside, self.hints)
         place = len(self.stack)
         if tag in BLOCKS:
             path = self.paths.setdefault((path, tag), len(self.paths) + 1)
@@ -241,9 +259,17 @@ def content_paths(blocks: list[Block]) -> set[tuple[int, int]]:
 PIECES, WHOLE = HEADINGS | {"p", "li", "pre", "blockquote", "ul", "ol"}, frozenset({"body", "html", ""})
 
 
+#: Unlinked signs that may be an article although names around them are made of hints.
+ARTICLE_SIGNS = 140
+
+
 def main_text(html: str | None) -> str:
-    """The article of a page, its blocks joined by line feeds."""
+    """The article of a page, its blocks joined by line feeds. If names leave nothing, the page is read again without them."""
     page = _Page(html) if html else None
+    if page and not page.blocks:
+        page = _Page(html, hints=False)
+        if sum(len(b.text) - b.linked for b in page.blocks) < ARTICLE_SIGNS:
+            return ""
     if not page or not page.blocks:
         return ""
     parent, tag, blocks = page.parent, page.tag, page.blocks
@@ -281,7 +307,17 @@ def main_text(html: str | None) -> str:
     inside = [e == article for e in range(len(tag))]
     for e in range(article + 1, len(tag)):
         inside[e] = inside[parent[e]]
-    return "\n".join(b.text for b in blocks if inside[b.element] and (whole or (b.path, b.doubts) in paths))
+    if whole:
+        return "\n".join(b.text for b in blocks if inside[b.element])
+    # blocks that stand in the page itself: content, the headings above it, and what stands between and is no link
+    content = [i for i, b in enumerate(blocks) if inside[b.element] and (b.path, b.doubts) in paths]
+    if not content:
+        return ""
+    low = content[0]
+    while low and tag[blocks[low - 1].element] in HEADINGS:
+        low -= 1
+    kept = set(content).union(i for i in range(low, content[-1]) if 2 * blocks[i].linked < len(blocks[i].text))
+    return "\n".join(blocks[i].text for i in sorted(kept))
 
 
 def extract(df: DataFrame, html: str = "html", hand_on: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
