@@ -175,19 +175,26 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_links(distinct: DataFrame, limit: int = LIST) -> DataFrame:
     """Links `a`, `b` that join the distinct fingerprints `fp` into the classes of all pairs at BITS or fewer differing bits."""
     spark = distinct.sparkSession
-    rows, links = distinct.select("fp", F.lit(0).cast("long").alias("mask")), None
-    for step in levels():
-        # a table of at most some thousand rows, whatever the input
-        deal = spark.createDataFrame([(_signed(m), _signed(x)) for m, found in step.items() for x in found], "mask long, bits long")
-        listed = rows.join(F.broadcast(deal), "mask").select("fp", F.col("bits").alias("mask"), F.col("fp").bitwiseAND(F.col("bits")).alias("shared"))
-        listed = listed if links is None else materialize(listed.distinct(), "simhash-lists")  # lists of several long ones
-        long = materialize(listed.groupBy("mask", "shared").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("mask", "shared"), "simhash-long")
-        short = listed.join(small(long), ["mask", "shared"], "left_anti")
-        found = materialize(short.select("mask", "fp", "shared").repartition("mask", "shared").sortWithinPartitions("mask", "shared").select("mask", "fp").mapInArrow(_links, "a long, b long"), "simhash-links")
+    *steps, end = levels()
+    rows, links = None, None
+    for step in [*steps, end]:
+        if rows is None:
+            lists = F.array(*[F.lit(_signed(m)) for m in step[0]])
+            listed = distinct.select("fp", F.explode(lists).alias("mask"))
+        else:
+            # a table of at most some thousand rows, whatever the input
+            deal = spark.createDataFrame([(_signed(m), _signed(x)) for m, found in step.items() for x in found], "mask long, bits long")
+            listed = rows.join(F.broadcast(deal), "mask").select("fp", F.col("bits").alias("mask")).distinct()  # lists of several long ones
+        listed = listed.withColumn("shared", F.col("fp").bitwiseAND(F.col("mask")))
+        short, long = listed, None
+        if step is not end:  # there a list has 2^12 members at most
+            long = materialize(listed.groupBy("mask", "shared").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("mask", "shared"), "simhash-long")
+            short = listed.join(small(long), ["mask", "shared"], "left_anti")
+        found = materialize(short.repartition("mask", "shared").sortWithinPartitions("mask", "shared").select("mask", "fp").mapInArrow(_links, "a long, b long"), "simhash-links")
         links = found if links is None else links.unionAll(found)
-        if not long.limit(1).count():
+        if long is None or not long.limit(1).count():
             break
-        rows = listed.join(small(long), ["mask", "shared"], "left_semi").select("fp", "mask")
+        rows = materialize(listed.join(small(long), ["mask", "shared"], "left_semi").select("fp", "mask"), "simhash-rows")
     return links
 
 
