@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.functions import text as T
+from tesela.operators.ranges import following
+from tesela.sources.shared import small, written
 
 FIRST, LAST = "<inicio>", "<fin>"
 
@@ -21,27 +26,71 @@ def content_grams(counts: DataFrame, stop: list[str], least: int = 3) -> DataFra
     return counts.filter(F.forall("gram", lambda w: (F.char_length(w) >= least) & ~w.isin(*stop)))
 
 
-def collocations(docs: DataFrame, stop: list[str], min_count: int = 10, words: str = "words") -> DataFrame:
+def flat_documents(docs: DataFrame, n: int, order: list[str], words: str = "words") -> DataFrame:
+    """Documents as pieces of one flat list of words: each with the n - 1 words that follow it, so that grams cross documents."""
+    return following(docs, order, words, n - 1).select(F.col(words).alias("words"), F.concat(words, "next").alias("run"))
+
+
+def _pair_runs(docs: DataFrame, words: str, runs: str) -> DataFrame:
+    """`run`: the words and one more at most, so that each pair begins in its own document."""
+    return docs.select(F.slice(runs, 1, F.size(words) + 1).alias("run"))
+
+
+def collocations(docs: DataFrame, stop: list[str], min_count: int = 10, words: str = "words", runs: str | None = None) -> DataFrame:
     """Pairs with pointwise mutual information and log-likelihood (Dunning 1993): w1, w2, c, pmi, llr.
 
-    Unigram totals stay unfiltered; filters touch pairs alone. N is the number of all tokens."""
+    Unigram totals stay unfiltered; filters touch pairs alone. N is the number of all tokens. Pairs stay in their document
+    unless `runs` names a column of words that goes on into the next one."""
     unigrams = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     total = unigrams.agg(F.sum("n").alias("total"))
-    pairs = ngram_counts(docs, 2, words).filter(F.col("c") >= min_count)
+    pairs = ngram_counts(_pair_runs(docs, words, runs or words), 2, "run").filter(F.col("c") >= min_count)
     pairs = content_grams(pairs, stop).select(F.col("gram")[0].alias("w1"), F.col("gram")[1].alias("w2"), "c")
     one = unigrams.select(F.col("w").alias("w1"), F.col("n").alias("n1"))
     two = unigrams.select(F.col("w").alias("w2"), F.col("n").alias("n2"))
     rows = pairs.join(one, "w1").join(two, "w2").crossJoin(F.broadcast(total))
     c, n1, n2, n = (F.col(x).cast("double") for x in ("c", "n1", "n2", "total"))
     cells = ((c, n1 * n2 / n), (n1 - c, n1 * (n - n2) / n), (n2 - c, (n - n1) * n2 / n), (n - n1 - n2 + c, (n - n1) * (n - n2) / n))
-    llr = sum((F.when(o > 0, o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0)) * 2
-    return rows.select("w1", "w2", "c", F.log2(c * n / (n1 * n2)).alias("pmi"), llr.alias("llr"))
+    return rows.select("w1", "w2", "c", F.log2(c * n / (n1 * n2)).alias("pmi"), _likelihood(cells).alias("llr"))
+
 
+def _likelihood(cells) -> Column:
+    """Twice the sum of observed times the log of observed to expected."""
+    return 2 * sum((F.when(o > 0, o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
 
-def global_pairs(tokens: DataFrame, order: list[str], word: str = "term") -> DataFrame:
-    """Pairs over one flat order of all tokens, across documents too. One task sorts the whole order: for small corpora."""
-    follows = F.lead(word).over(Window.orderBy(*order))
-    return tokens.select(F.col(word).alias("w1"), follows.alias("w2")).filter("w2 is not null").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"))
+
+def trigram_collocations(docs: DataFrame, stop: list[str], min_count: int = 5, words: str = "words", runs: str | None = None) -> DataFrame:
+    """Triples with pointwise mutual information and log-likelihood over their 2 x 2 x 2 table: w1, w2, w3, c, pmi, llr.
+
+    The table needs how often each two of the three stand in their places, whatever the third; expectations are those of
+    three independent words. Filters touch triples alone. `runs` as for pairs."""
+    runs = runs or words
+    triples = written(ngram_counts(docs, 3, runs), "trigrams").select(*[F.col("gram")[i].alias(f"w{i + 1}") for i in range(3)], "c")
+    pairs = ngram_counts(_pair_runs(docs, words, runs), 2, "run").select(F.col("gram")[0].alias("a"), F.col("gram")[1].alias("b"), "c")
+    unigrams = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    total = unigrams.agg(F.sum("n").cast("double").alias("n"))
+    content = [(F.char_length(w) >= 3) & ~F.col(w).isin(*stop) for w in ("w1", "w2", "w3")]
+    asked = written(triples.filter(F.col("c") >= min_count).filter(content[0] & content[1] & content[2]), "trigrams-asked")
+    # only what is asked for is counted and shuffled: pairs and words that stand in a triple that stays
+    near = asked.select(F.col("w1").alias("a"), F.col("w2").alias("b")).unionAll(asked.select("w2", "w3")).distinct()
+    pairs = written(pairs.join(near, ["a", "b"], "left_semi"), "trigrams-pairs")
+    apart = triples.join(asked.select("w1", "w3").distinct(), ["w1", "w3"], "left_semi").groupBy("w1", "w3").agg(F.sum("c").alias("n13"))
+    known = asked.select(F.explode(F.array("w1", "w2", "w3")).alias("w")).distinct()
+    unigrams = written(unigrams.join(known, "w", "left_semi"), "trigrams-words")
+    rows = asked.join(apart, ["w1", "w3"])
+    for first, second, name in (("w1", "w2", "n12"), ("w2", "w3", "n23")):
+        rows = rows.join(small(pairs).select(F.col("a").alias(first), F.col("b").alias(second), F.col("c").alias(name)), [first, second])
+    for i in (1, 2, 3):
+        rows = rows.join(small(unigrams).select(F.col("w").alias(f"w{i}"), F.col("n").alias(f"n{i}")), f"w{i}")
+    rows = rows.crossJoin(F.broadcast(total))
+    c, n1, n2, n3, n12, n13, n23, n = (F.col(x).cast("double") for x in ("c", "n1", "n2", "n3", "n12", "n13", "n23", "n"))
+    seen = {
+        (1, 1, 1): c, (1, 1, 0): n12 - c, (1, 0, 1): n13 - c, (0, 1, 1): n23 - c,
+        (1, 0, 0): n1 - n12 - n13 + c, (0, 1, 0): n2 - n12 - n23 + c, (0, 0, 1): n3 - n13 - n23 + c,
+        (0, 0, 0): n - n1 - n2 - n3 + n12 + n13 + n23 - c,
+    }
+    expected = lambda here: n * math.prod((x if there else n - x) / n for there, x in zip(here, (n1, n2, n3), strict=True))
+    llr = _likelihood([(o, expected(here)) for here, o in seen.items()])
+    return rows.select("w1", "w2", "w3", "c", F.log2(c * n * n / (n1 * n2 * n3)).alias("pmi"), llr.alias("llr"))
 
 
 # ---- smoothed models
@@ -132,6 +181,53 @@ def sample_continuations(continuations: DataFrame, temperature: float = 1.0, top
     return rows.groupBy("context").agg(F.max_by("word", F.struct(score.alias("s"), "word")).alias("word"))
 
 
+@dataclass(frozen=True)
+class Strategy:
+    """How the next word is chosen: the likeliest, or drawn at a temperature, among the first `top_k` if given."""
+
+    name: str
+    greedy: bool = False
+    temperature: float = 1.0
+    top_k: int | None = None
+
+
+def uniform(*parts: Column) -> Column:
+    """A number between 0 and 1 that hangs on the parts alone."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
+
+
+def generate(model: Model, seeds: DataFrame, strategies: list[Strategy], steps: int = 10, k: float = 0.1, seed: int = 0) -> DataFrame:
+    """Extends seeds (`id`, `words`) under every strategy at once: strategy, id, `words`, `done`.
+
+    A step joins the unfinished texts to the continuations of their last words and keeps the one of least key: the negative
+    share, or that of log share over temperature plus noise (Gumbel) from a digest of strategy, text, step and word. So a
+    rerun, or another partitioning, draws alike. An unseen context starts over; the end of a text finishes it. Texts are
+    written at each step, finished ones once; of the model only the contexts that are asked for are read."""
+    opening = F.array_repeat(F.lit(FIRST), model.n - 1)
+    rows = model.continuations(k, ["<oov>"])
+    place = F.row_number().over(Window.partitionBy("context").orderBy(F.desc(F.round("p", 12)), "word"))
+    table = written(rows.withColumn("place", place), "continuations")
+    how = F.array(*[F.struct(F.lit(s.name).alias("strategy"), F.lit(s.greedy).alias("greedy"), F.lit(float(s.temperature)).alias("temperature"), F.lit(s.top_k).cast("int").alias("top_k")) for s in strategies])
+    now = written(seeds.select(F.explode(how).alias("how"), "id", "words").select("how.*", "id", "words"), "texts")
+    finished, known = None, small(written(table.filter("place = 1").select("context", F.lit(True).alias("known")), "contexts"))
+    for step in range(steps):
+        context = F.slice(F.concat(opening, "words"), -(model.n - 1), model.n - 1)
+        asked = now.withColumn("context", context).join(known, "context", "left").withColumn("context", F.when(F.col("known"), F.col("context")).otherwise(opening))
+        asked = written(asked.drop("known"), "texts-asked")
+        few = table.join(small(written(asked.select("context").distinct(), "texts-contexts")), "context", "left_semi")
+        met = few.join(small(asked.select("strategy", "greedy", "temperature", "top_k", "id", "context")), "context").filter(F.col("top_k").isNull() | (F.col("place") <= F.col("top_k")))
+        noise = -F.log(-F.log(uniform(F.lit(seed), F.col("strategy"), F.col("id"), F.lit(step), F.col("word"))))
+        key = F.when(F.col("greedy"), F.col("place").cast("double")).otherwise(-(F.log(F.greatest("p", F.lit(1e-12))) / F.greatest("temperature", F.lit(1e-6)) + noise))
+        drawn = met.groupBy("strategy", "id").agg(F.min_by("word", F.struct(key.alias("key"), "word")).alias("next"))
+        moved = written(asked.drop("context").join(drawn, ["strategy", "id"], "left"), "texts-moved")
+        stop = F.col("next").isNull() | (F.col("next") == LAST)
+        ended = moved.filter(stop).select("strategy", "id", "words", F.lit(True).alias("done"))
+        finished = ended if finished is None else finished.unionAll(ended)
+        now = moved.filter(~stop).withColumn("words", F.concat("words", F.array("next"))).drop("next")
+    rest = now.select("strategy", "id", "words", F.lit(False).alias("done"))
+    return rest if finished is None else finished.unionAll(rest)
+
+
 # ---- diversity
 
 

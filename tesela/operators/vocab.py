@@ -1,7 +1,7 @@
 """Vocabulary: tokens as rows, counts, summaries, ranks and groups.
 
-Rows carry their order (`doc_id`, `pos`); ties go to the alphabetically first term. Corpus-wide ranks are taken over the
-aggregated vocabulary, never over tokens."""
+Rows carry their order (`doc_id`, `pos`); ties go to the alphabetically first term. Corpus-wide ranks are taken over ranges
+of the aggregated vocabulary, never over tokens or in one task."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.functions import text as T
+from tesela.operators.ranges import running
 
 
 def token_rows(df: DataFrame, split: Column, key: str = "doc_id", name: str = "token") -> DataFrame:
@@ -60,20 +61,20 @@ def collisions(counts: DataFrame, form: Callable[[Column], Column]) -> DataFrame
 
 
 def frequency_ranks(counts: DataFrame) -> DataFrame:
-    """Adds `rank` from 1 by falling frequency. The window runs over the vocabulary, not over tokens."""
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("c"), "term")).cast("long"))
+    """Adds `rank` from 1 by falling frequency, over ranges of the vocabulary."""
+    return running(counts, [F.desc("c"), "term"])
 
 
 def coverage(counts: DataFrame) -> DataFrame:
-    """Adds the share of all tokens that the terms up to each rank cover."""
-    upto = Window.orderBy(F.desc("c"), "term").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.orderBy(F.desc("c"), "term").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return frequency_ranks(counts).withColumn("covered", F.sum("c").over(upto) / F.sum("c").over(everything))
+    """Adds `rank` and the share of all tokens that the terms up to each rank cover."""
+    ranked = running(counts, [F.desc("c"), "term"], {"upto": F.col("c")})
+    total = counts.agg(F.sum("c").alias("total"))
+    return ranked.crossJoin(F.broadcast(total)).withColumn("covered", F.col("upto") / F.col("total")).drop("upto", "total")
 
 
 def zipf(counts: DataFrame, ranks: int = 5000) -> DataFrame:
     """Slope and intercept of log10 frequency over log10 rank among the first ranks."""
-    top = frequency_ranks(counts.orderBy(F.desc("c"), "term").limit(ranks))
+    top = counts.orderBy(F.desc("c"), "term").limit(ranks).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("c"), "term")))
     return top.agg(F.regr_slope(F.log10("c"), F.log10("rank")).alias("slope"), F.regr_intercept(F.log10("c"), F.log10("rank")).alias("intercept"), F.count(F.lit(1)).alias("ranks"))
 
 

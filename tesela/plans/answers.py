@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from tesela.functions import text as T
 from tesela.operators import answers as A
 from tesela.operators import vocab as V
-from tesela.plans.fragments import COMMON, SENT, quoted
+from tesela.plans.fragments import COMMON, FORM, SENT, quoted
 from tesela.plans.registry import Registry, rounded, table
 
 query = Registry()
 _WN = r"\p{L}+|\p{Nd}+(?:[.,]\p{Nd}+)*"
-_FORM = "array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({0}, '')), '[!\"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{{|}}~¿¡«»…—–]', ' ', 'g'), '[\\s\\p{{Z}}]+'), lambda x: x <> '' AND x NOT IN (" + quoted(T.ARTICLES) + ")), ' ')"
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +31,12 @@ def question_types(spark, sf_dir):
     return asked.groupBy(A.question_type(F.col("text")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("answer_forms", f"SELECT conv_id, turn, {_FORM.format('text')} AS form FROM conversations")
+@query("answer_forms", f"SELECT conv_id, turn, {FORM.format('text')} AS form FROM conversations")
 def answer_forms(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.answer_form(F.col("text")).alias("form"))
 
 
-_PAIR = "p AS (SELECT a.conv_id, a.turn, " + _FORM.format("a.text") + " AS a, " + _FORM.format("b.text") + " AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+_PAIR = "p AS (SELECT a.conv_id, a.turn, " + FORM.format("a.text") + " AS a, " + FORM.format("b.text") + " AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 
 
 @query("answer_scores", f"""WITH {_PAIR}, x AS (SELECT conv_id, turn, unnest(string_split(a, ' ')) AS w FROM p WHERE a <> ''), y AS (SELECT conv_id, turn, unnest(string_split(b, ' ')) AS w FROM p WHERE b <> ''),

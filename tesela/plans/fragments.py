@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.ml.feature import StopWordsRemover
 
+from tesela.functions import text as T
+
 _WORD = r"\p{L}+(?:[-'']\p{L}+)*"
 _TOKEN = r"<[A-Z]+>|\p{L}+(?:[-'']\p{L}+)*|\p{Nd}+(?:[.,:]\p{Nd}+)*|[^\s\p{Z}\p{L}\p{N}_]"
 
@@ -40,3 +42,6 @@ def quoted(words: list[str] | tuple[str, ...]) -> str:
 
 # Short stop word lists for the queries whose oracle names them.
 COMMON = ("a", "and", "au", "das", "de", "der", "des", "die", "du", "e", "el", "en", "et", "for", "in", "is", "it", "la", "las", "le", "les", "los", "of", "or", "que", "qui", "the", "to", "un", "una", "und", "une", "with", "y", "zu")
+
+#: The normal form of a text: lower case, without signs, articles and doubled blanks.
+FORM = "array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({0}, '')), '[!\"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{{|}}~¿¡«»…—–]', ' ', 'g'), '[\\s\\p{{Z}}]+'), lambda x: x <> '' AND x NOT IN (" + quoted(T.ARTICLES) + ")), ' ')"

@@ -10,6 +10,7 @@ from tesela.operators import language_model as L
 from tesela.operators import vocab as V
 from tesela.plans.fragments import COMMON, COUNTS, TOK, quoted
 from tesela.plans.registry import Registry, rounded, table
+from tesela.sources.shared import written
 
 query = Registry()
 
@@ -71,6 +72,57 @@ def collocation_leaders(spark, sf_dir):
     return tops[0].unionByName(tops[1])
 
 
+#: The words of all documents as one list, by id and place.
+FLAT = TOK + """,
+flat AS (SELECT term AS w1, lead(term) OVER o AS w2, lead(term, 2) OVER o AS w3 FROM word WINDOW o AS (ORDER BY doc_id, pos))"""
+
+_CONTENT = "length({0}) >= 3 AND {0} NOT IN (" + quoted(COMMON) + ")"
+
+
+def _flat(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    return L.flat_documents(_words(spark, sf_dir), n, ["doc_id"])
+
+
+@query("flat_collocations", f"""WITH {FLAT}, u AS (SELECT term, count(*)::DOUBLE AS n FROM word GROUP BY term), t AS (SELECT sum(n) AS n FROM u),
+p AS (SELECT w1, w2, count(*) AS c FROM flat WHERE w2 IS NOT NULL AND {_CONTENT.format('w1')} AND {_CONTENT.format('w2')} GROUP BY ALL HAVING count(*) >= 10),
+x AS (SELECT w1, w2, c, a.n AS n1, b.n AS n2, t.n FROM p JOIN u a ON w1 = a.term JOIN u b ON w2 = b.term, t),
+cells AS (SELECT w1, w2, c, n1, n2, n, unnest([c::DOUBLE, n1 - c, n2 - c, n - n1 - n2 + c]) AS o, unnest([n1 * n2 / n, n1 * (n - n2) / n, (n - n1) * n2 / n, (n - n1) * (n - n2) / n]) AS e FROM x)
+SELECT w1, w2, c, round(log2(c * n / (n1 * n2)), 6) AS pmi, round(2 * sum({_X}), 4) AS llr FROM cells GROUP BY w1, w2, c, n, n1, n2""")
+def flat_collocations(spark, sf_dir):
+    """Pairs over all documents as one list of words, those across two documents too."""
+    docs = _flat(spark, sf_dir, 2)
+    return L.collocations(docs, list(COMMON), runs="run").select("w1", "w2", "c", rounded(F.col("pmi")).alias("pmi"), F.round("llr", 4).alias("llr"))
+
+
+_TRIGRAMS = FLAT + f""", u AS (SELECT term, count(*)::DOUBLE AS n FROM word GROUP BY term), t AS (SELECT sum(n) AS n FROM u),
+g2 AS (SELECT w1 AS a, w2 AS b, count(*)::DOUBLE AS n FROM flat WHERE w2 IS NOT NULL GROUP BY ALL), g13 AS (SELECT w1 AS a, w3 AS b, count(*)::DOUBLE AS n FROM flat WHERE w3 IS NOT NULL GROUP BY ALL),
+p AS (SELECT w1, w2, w3, count(*) AS c FROM flat WHERE w3 IS NOT NULL AND {' AND '.join(_CONTENT.format(w) for w in ('w1', 'w2', 'w3'))} GROUP BY ALL HAVING count(*) >= 5),
+x AS (SELECT p.*, x1.n AS n1, x2.n AS n2, x3.n AS n3, a.n AS n12, b.n AS n23, d.n AS n13, t.n FROM p JOIN u x1 ON w1 = x1.term JOIN u x2 ON w2 = x2.term JOIN u x3 ON w3 = x3.term
+  JOIN g2 a ON a.a = w1 AND a.b = w2 JOIN g2 b ON b.a = w2 AND b.b = w3 JOIN g13 d ON d.a = w1 AND d.b = w3, t),
+cells AS (SELECT x.*, unnest([c, n12 - c, n13 - c, n23 - c, n1 - n12 - n13 + c, n2 - n12 - n23 + c, n3 - n13 - n23 + c, n - n1 - n2 - n3 + n12 + n13 + n23 - c]) AS o,
+  unnest([n1 * n2 * n3, n1 * n2 * (n - n3), n1 * (n - n2) * n3, (n - n1) * n2 * n3, n1 * (n - n2) * (n - n3), (n - n1) * n2 * (n - n3), (n - n1) * (n - n2) * n3, (n - n1) * (n - n2) * (n - n3)]) / (n * n) AS e FROM (SELECT * REPLACE (c::DOUBLE AS c) FROM x) x),
+tri AS (SELECT w1, w2, w3, c::BIGINT AS c, round(log2(c * n * n / (n1 * n2 * n3)), 6) AS pmi, round(2 * sum({_X}), 4) AS llr FROM cells GROUP BY w1, w2, w3, c, n, n1, n2, n3)"""
+
+
+def _trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = L.trigram_collocations(_flat(spark, sf_dir, 3), list(COMMON), runs="run")
+    return t.select("w1", "w2", "w3", "c", rounded(F.col("pmi")).alias("pmi"), F.round("llr", 4).alias("llr"))
+
+
+@query("trigram_collocations", f"WITH {_TRIGRAMS} SELECT * FROM tri")
+def trigram_collocations(spark, sf_dir):
+    """Triples of content words seen five times over all documents as one list, with both measures."""
+    return _trigrams(spark, sf_dir)
+
+
+@query("trigram_leaders", f"WITH {_TRIGRAMS} " + " UNION ALL ".join(f"(SELECT '{name}' AS criterion, * FROM tri ORDER BY {by} DESC, w1, w2, w3 LIMIT 8)" for name, by in (("frequency", "c"), ("pmi", "pmi"), ("likelihood", "llr"))))
+def trigram_leaders(spark, sf_dir):
+    """The eight first triples by frequency, by mutual information and by likelihood."""
+    x = written(_trigrams(spark, sf_dir), "trigram-scores")
+    tops = [x.orderBy(F.desc(by), "w1", "w2", "w3").limit(8).select(F.lit(name).alias("criterion"), "*") for name, by in (("frequency", "c"), ("pmi", "pmi"), ("likelihood", "llr"))]
+    return tops[0].unionAll(tops[1]).unionAll(tops[2])
+
+
 #: A tenth of the documents validates; the draw is a digest of the id.
 VALID = "('0x' || substr(md5('split:' || doc_id), 1, 4))::INT % 10 = 0"
 
@@ -140,6 +192,31 @@ def sampled_continuations(spark, sf_dir):
     return L.sample_continuations(L.Model(train, 2).continuations(0.1, ["<oov>"]), 0.8, 10, seed=42)
 
 
+#: The grid of strategies, and how many words each adds.
+STRATEGIES = [L.Strategy("greedy", greedy=True), L.Strategy("temperature 0.5", temperature=0.5), L.Strategy("temperature 1.0"), L.Strategy("temperature 1.5", temperature=1.5), L.Strategy("top 10", temperature=0.8, top_k=10), L.Strategy("top 50", top_k=50)]
+STEPS = 12
+
+
+def _strategy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = _split(_words(spark, sf_dir))
+    seeds = _words(spark, sf_dir, "benchmark", "item_id").filter(F.size("words") > 0).select(F.col("item_id").alias("id"), F.slice("words", 1, 1).alias("words"))
+    return L.generate(L.Model(train, 2), seeds, STRATEGIES, STEPS, seed=42)
+
+
+@query("strategy_texts")
+def strategy_texts(spark, sf_dir):
+    """Texts from the first word of every benchmark item, by strategy."""
+    return _strategy_texts(spark, sf_dir).select("strategy", "id", F.array_join("words", " ").alias("text"), "done")
+
+
+@query("strategy_diversity")
+def strategy_diversity(spark, sf_dir):
+    """Diversity, repetition and finished texts of each strategy."""
+    texts = written(_strategy_texts(spark, sf_dir), "strategy-texts")
+    d = L.diversity(texts, ["strategy"]).join(texts.groupBy("strategy").agg(F.count(F.lit(1)).alias("texts"), F.count_if("done").alias("finished")), "strategy")
+    return d.select("strategy", *[rounded(F.col(c)).alias(c) for c in ("distinct_1", "distinct_2", "repeated_3", "mean_length")], "texts", "finished")
+
+
 @query("oov_coverage", f"""WITH {COUNTS}, v AS (SELECT term FROM counts ORDER BY c DESC, term LIMIT 5000),
 a AS (SELECT item_id, lower(unnest(regexp_extract_all(text, '\\p{{L}}+(?:[-'']\\p{{L}}+)*'))) AS term FROM benchmark)
 SELECT item_id, count(*) AS words, count(*) FILTER (WHERE v.term IS NULL) AS oov, round(count(*) FILTER (WHERE v.term IS NULL) / count(*), 6) AS share FROM a LEFT JOIN v USING (term) GROUP BY item_id""")

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesela.functions import text as T
+from tesela.operators import groups as G
+from tesela.operators import latent as LA
 from tesela.operators import mining as M
 from tesela.operators import stats as S
 from tesela.operators import translate as R
-from tesela.plans.fragments import TOK
+from tesela.operators import vocab as V
+from tesela.operators.ranges import running
+from tesela.plans.fragments import TF, TOK
 from tesela.plans.registry import Registry, rounded, table
 from tesela.sources import corpus as C
+from tesela.sources.shared import folder, written
 from tesela.streaming import vocabulary as ST
 
 query = Registry()
@@ -144,21 +145,64 @@ def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", words.alias("words"))
 
 
+#: Latent dimensions, numbers of clusters and starts of the grid.
+DIMENSIONS, SIZES, STARTS = 100, [5, 6, 7, 8], 10
+
+
+def _latent(spark: SparkSession, sf_dir: str, k: int = DIMENSIONS) -> LA.Latent:
+    """Latent dimensions of TF-IDF rows over the whole vocabulary."""
+    from tesela.plans.retrieval import Index
+
+    return LA.analysis(Index(spark, sf_dir).weighed().select("doc_id", "term", "weight"), k)
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> tuple[LA.Latent, G.Grid, DataFrame]:
+    """Documents of length one in the latent space, written, with the cluster of the best start for each size (k5, k6, ...)."""
+    found = _latent(spark, sf_dir)
+    rows = written(LA.unit(found.documents), "latent-units")
+    grid = G.k_means(rows, SIZES, STARTS)
+    best = {f"k{k}": grid.centres[k, s] for k, s in grid.best().items()}
+    return found, grid, written(G.assigned(rows, best), "latent-clusters")
+
+
 @query("text_clusters")
 def text_clusters(spark, sf_dir):
-    """k-means on TF-IDF: size, purity, silhouette and adjusted mutual information against languages."""
-    df, cost = M.clusters(M.term_features(_bags(spark, sf_dir), 500).cache(), 4)
-    table_ = M.contingency(df, "lang", "cluster")
-    ami = M.adjusted_mutual_information([tuple(r) for r in table_.collect()])  # languages by clusters: a few cells
-    return M.purity(table_, "cluster").select(rounded(F.col("purity")).alias("purity"), F.lit(round(ami, 6)).alias("ami"), F.lit(round(M.silhouette(df), 6)).alias("silhouette"), F.lit(round(cost, 3)).alias("cost"))
+    """k-means in the latent space for each size: cost of the best of ten starts, purity and adjusted mutual information
+    against languages, the silhouette of the documents whose id is divisible by 20, and the largest cluster."""
+    _, grid, rows = _clustered(spark, sf_dir)
+    names = [f"k{k}" for k in SIZES]
+    labelled = written(rows.drop("v").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").unpivot(["doc_id", "lang"], names, "k", "cluster"), "cluster-labels")
+    cells = labelled.groupBy("k", "lang", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    ami = [(name, float(M.adjusted_mutual_information([(r["lang"], r["cluster"], r["n"]) for r in found]))) for name in names if (found := cells.filter(F.col("k") == name).collect())]  # languages by clusters
+    made = spark.createDataFrame([(name, k, x, grid.cost[k, grid.best()[k]]) for (name, x), k in zip(ami, SIZES)], "k string, clusters int, ami double, cost double")
+    pure = cells.groupBy("k", "cluster").agg(F.max("n").alias("m"), F.sum("n").alias("n")).groupBy("k").agg((F.sum("m") / F.sum("n")).alias("purity"), F.max("n").alias("largest"))
+    scores = G.silhouettes(rows, names, F.col("doc_id") % 20 == 0).groupBy(F.col("labelling").alias("k")).agg(F.avg("silhouette").alias("silhouette"))
+    return made.join(pure, "k").join(scores, "k", "left").select("clusters", F.round("purity", 4).alias("purity"), F.round("ami", 4).alias("ami"), F.round("silhouette", 4).alias("silhouette"), F.round("cost", 3).alias("cost"), "largest")
 
 
 @query("cluster_terms")
 def cluster_terms(spark, sf_dir):
-    """Terms most of a cluster's own, with the clusters' sizes."""
-    df, _ = M.clusters(M.term_features(_bags(spark, sf_dir), 500).cache(), 4, starts=1)
-    sizes = df.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    return M.ranked_terms(df, "cluster").join(sizes, "cluster")
+    """The ten heaviest terms of every cluster's centre, brought back to terms by the right singular vectors, with its size
+    and commonest language."""
+    found, grid, rows = _clustered(spark, sf_dir)
+    out = None
+    for k, start in grid.best().items():
+        centres = spark.createDataFrame([(i, c) for i, c in enumerate(grid.centres[k, start].tolist())], "cluster int, v array<double>")
+        by = rows.select("doc_id", F.col(f"k{k}").alias("cluster")).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").groupBy("cluster", "lang").agg(F.count(F.lit(1)).alias("n"))
+        sizes = by.groupBy("cluster").agg(F.sum("n").alias("size"), F.max_by("lang", F.struct("n", "lang")).alias("lang"))
+        part = LA.term_scores(centres, found.terms).join(sizes, "cluster").select(F.lit(k).alias("clusters"), "cluster", "size", "lang", "place", "term", F.round("weight", 6).alias("weight"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query("euclidean_silhouettes", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+d AS (SELECT a.vec_id, a.label AS own, b.label, sum(list_distance(a.v, b.v)) AS far, count(*) AS n FROM e a, e b WHERE a.vec_id % 20 = 0 AND a.label IS NOT NULL AND b.label IS NOT NULL GROUP BY ALL),
+s AS (SELECT vec_id, own, max(far) FILTER (WHERE label = own) AS far, max(n) FILTER (WHERE label = own) AS n, min(far / n) FILTER (WHERE label <> own) AS outside FROM d GROUP BY ALL)
+SELECT vec_id, own::VARCHAR AS own, round(far / (n - 1), 6) AS inside, round(outside, 6) AS outside, round(CASE WHEN n = 1 THEN 0 ELSE (outside - far / (n - 1)) / greatest(outside, far / (n - 1)) END, 6) AS silhouette FROM s""")
+def euclidean_silhouettes(spark, sf_dir):
+    """Exact silhouettes of the vectors whose id is divisible by 20 against all vectors, by label."""
+    s = G.silhouettes(table(spark, sf_dir, "embeddings"), ["label"], F.col("vec_id") % 20 == 0, "vec_id", "embedding")
+    return s.select("vec_id", "own", *[rounded(F.col(c)).alias(c) for c in ("inside", "outside", "silhouette")])
 
 
 @query("topics")
@@ -172,14 +216,25 @@ def topics(spark, sf_dir):
 
 @query("latent_neighbours")
 def latent_neighbours(spark, sf_dir):
-    """Documents nearest in twenty latent dimensions to those whose id is divisible by 20."""
+    """Documents nearest in a hundred latent dimensions to those whose id is divisible by 20."""
     from tesela.operators import vectors as X
 
-    coords, _ = M.latent(M.term_features(_bags(spark, sf_dir), 500).filter(F.size("words") > 0), 20)
-    rows = coords.select("doc_id", F.col("latent").alias("v"))
+    rows = written(_latent(spark, sf_dir).documents, "latent-documents")
     return X.nearest(rows.filter("doc_id % 20 = 0"), rows, 3, "doc_id", "v").withColumn("cosine", F.round("cosine", 4))
 
 
+@query("latent_spectrum")
+def latent_spectrum(spark, sf_dir):
+    """The first 150 singular values, and the share of all squares that the dimensions up to each hold."""
+    from tesela.plans.retrieval import Index
+
+    weights = written(Index(spark, sf_dir).weighed().select("doc_id", "term", "weight"), "latent-weights")
+    total = weights.agg(F.sum(F.col("weight") * F.col("weight"))).first()[0] or 1.0
+    values = LA.analysis(weights, 150).values
+    held = (values * values).cumsum() / total
+    return spark.createDataFrame([(i + 1, float(v), float(h)) for i, (v, h) in enumerate(zip(values, held, strict=True))], "dimension int, value double, held double").select("dimension", F.round("value", 4).alias("value"), F.round("held", 4).alias("held"))
+
+
 @query("word_vector_neighbours")
 def word_vector_neighbours(spark, sf_dir):
     """The five words nearest by cosine, in a skip-gram model of the documents, to every twentieth word in alphabetical order."""
@@ -188,7 +243,7 @@ def word_vector_neighbours(spark, sf_dir):
     from tesela.operators import vectors as X
 
     v = M.word_vectors(_bags(spark, sf_dir)).select("word", vector_to_array("vector").alias("v"))
-    v = v.withColumn("word_id", F.row_number().over(Window.orderBy("word")).cast("long") - 1).cache()
+    v = written(running(v, ["word"], rank="place").select("word", "v", (F.col("place") - 1).alias("word_id")), "word-vectors")
     near = X.nearest(v.filter("word_id % 20 = 0"), v, 5, "word_id", "v")
     names = v.select("word_id", F.col("word").alias("neighbour"))
     asked = v.select(F.col("word_id").alias("query"), "word")
@@ -206,6 +261,43 @@ def language_classifiers(spark, sf_dir):
     return out
 
 
+_BAYES = TF + """,
+t AS (SELECT tf.*, lang FROM tf JOIN documents USING (doc_id) WHERE lang IS NOT NULL),
+ct AS (SELECT term, lang, sum(tf) AS n FROM t GROUP BY ALL), dft AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+c AS (SELECT d.lang AS label, count(*) AS docs, coalesce(max(total), 0) AS total FROM documents d LEFT JOIN (SELECT lang, sum(n) AS total FROM ct GROUP BY lang) USING (lang) WHERE d.lang IS NOT NULL GROUP BY d.lang),
+l AS (SELECT doc_id, sum(tf) AS length, coalesce(sum(tf) FILTER (WHERE df > 1), 0) AS told, count(*) FILTER (WHERE df = 1) AS lone FROM t JOIN dft USING (term) GROUP BY doc_id),
+b AS (SELECT d.doc_id, d.lang, label, docs - (label = d.lang)::INT AS docs, coalesce(length, 0) AS length, coalesce(told, 0) AS told, total - CASE WHEN label = d.lang THEN coalesce(length, 0) ELSE 0 END AS total, (SELECT count(*) FROM dft) - coalesce(lone, 0) AS v
+  FROM documents d CROSS JOIN c LEFT JOIN l USING (doc_id) WHERE d.lang IS NOT NULL),
+w AS (SELECT b.doc_id, b.label, sum(t.tf * ln((coalesce(ct.n, 0) - CASE WHEN b.label = b.lang THEN t.tf ELSE 0 END + 0.1) / (b.total + 0.1 * b.v))) AS words
+  FROM b JOIN t ON t.doc_id = b.doc_id JOIN dft ON dft.term = t.term AND df > 1 LEFT JOIN ct ON ct.term = t.term AND ct.lang = b.label GROUP BY ALL),
+s AS (SELECT b.doc_id, b.lang, b.label, round(ln(docs / ((SELECT count(*) FROM documents WHERE lang IS NOT NULL) - 1)) + coalesce(words, 0), 6) AS score FROM b LEFT JOIN w ON w.doc_id = b.doc_id AND w.label = b.label WHERE docs > 0),
+p AS (SELECT doc_id, lang, label AS predicted, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1)"""
+
+
+def _left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return M.leave_one_out_bayes(V.term_frequencies(V.word_rows(docs)), docs.select("doc_id", "lang"), 0.1, label="lang")
+
+
+@query("left_out_languages", f"WITH {_BAYES} SELECT doc_id, lang, predicted, round(score, 4) AS score FROM p")
+def left_out_languages(spark, sf_dir):
+    """Every document's language by a naive Bayes model of all the others."""
+    return _left_out(spark, sf_dir).withColumn("score", F.round("score", 4))
+
+
+@query("left_out_scores", f"""WITH {_BAYES}, k AS (SELECT lang AS c, 1 AS g, (lang = predicted)::INT AS h, 0 AS p FROM p UNION ALL SELECT predicted, 0, 0, 1 FROM p), f AS (SELECT c, sum(g) AS g, sum(h) AS h, sum(p) AS p FROM k GROUP BY c)
+SELECT round(sum(h) / sum(g), 6) AS accuracy, round(avg(CASE WHEN g + p > 0 THEN 2 * h / (g + p) ELSE 0 END), 6) AS macro_f1 FROM f""")
+def left_out_scores(spark, sf_dir):
+    """Accuracy and macro F1 over all documents left out one by one."""
+    return M.classification_scores(_left_out(spark, sf_dir), "lang", "predicted").select(*[rounded(F.col(c)).alias(c) for c in ("accuracy", "macro_f1")])
+
+
+@query("left_out_errors", f"WITH {_BAYES} SELECT lang, predicted, count(*) AS n, min(doc_id) AS first FROM p GROUP BY ALL")
+def left_out_errors(spark, sf_dir):
+    """The confusion table of the documents left out, with the first document of each cell."""
+    return _left_out(spark, sf_dir).groupBy("lang", "predicted").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+
+
 #: Training documents of each language, and how many samples of each size.
 CURVE, REPEATS = (1, 2, 4, 8, 10), 30
 
@@ -255,7 +347,7 @@ def streamed_events(spark, sf_dir):
     """Hourly event counts from a stream that takes in the whole table."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir)
-    return ST.run_once(ST.event_counts(stream), _folder(spark)).withColumn("total", F.round("total", 4))
+    return ST.run_once(ST.event_counts(stream), folder(spark, "streams")).withColumn("total", F.round("total", 4))
 
 
 @query("streamed_vocabulary", f"WITH {TOK.replace('FROM documents', 'FROM (SELECT item_id AS doc_id, text FROM benchmark)')} SELECT term, count(*) AS c FROM word GROUP BY term")
@@ -263,15 +355,7 @@ def streamed_vocabulary(spark, sf_dir):
     """Word counts of the benchmark texts from a stream."""
     schema = table(spark, sf_dir, "benchmark").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "benchmark*").parquet(sf_dir)
-    return ST.run_once(ST.word_counts(stream), _folder(spark))
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: in spark.checkpoint.dir, or, where that is unset on one machine, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or f'file://{tempfile.mkdtemp(prefix="tesela-")}').rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return ST.run_once(ST.word_counts(stream), folder(spark, "streams"))
 
 
 QUERIES, ORACLES = query.queries, query.oracles

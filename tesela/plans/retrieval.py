@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesela.functions import text as T
+from tesela.operators import gold as GO
 from tesela.operators import vocab as V
 from tesela.operators import weights as W
-from tesela.plans.fragments import COMMON, TF, quoted
+from tesela.plans.fragments import COMMON, FORM, TF, quoted
 from tesela.plans.registry import Registry, rounded, table
+from tesela.sources.shared import small, written
 
 query = Registry()
 
@@ -186,6 +188,81 @@ def free_text_search(spark, sf_dir):
     return scored.withColumn("place", place.cast("long")).filter("place <= 3").select(F.col("query").alias("item_id"), "doc_id", rounded(F.col("score")).alias("score"), "place")
 
 
+#: Questions and answers out of the benchmark texts: the first half of the words asks; the second half, or its last eight words, answers.
+ITEMS = """it0 AS (SELECT item_id, list_filter(regexp_split_to_array(replace(text, '|', ' '), '[\\s\\p{Z}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+items AS (SELECT item_id, array_to_string(w[1:(len(w) + 1) // 2], ' ') AS question, array_to_string(w[(len(w) + 1) // 2 + 1:], ' ') AS a1, array_to_string(w[greatest((len(w) + 1) // 2, len(w) - 8) + 1:], ' ') AS a2 FROM it0)"""
+
+_HELD = ITEMS + ", forms AS (SELECT DISTINCT item_id, f FROM (SELECT item_id, " + FORM.format("unnest([a1, a2])") + " AS f FROM items) WHERE f <> ''), texts AS (SELECT doc_id, ' ' || " + FORM.format("text") + " || ' ' AS t FROM documents), held AS (SELECT DISTINCT item_id, doc_id FROM forms JOIN texts ON contains(t, ' ' || f || ' '))"
+
+_ASKED = f"""qt AS (SELECT item_id, lower(unnest(regexp_extract_all(question, '\\p{{L}}+(?:[-'']\\p{{L}}+)*'))) AS term FROM items), q0 AS (SELECT item_id, term, count(*) AS tf FROM qt WHERE term NOT IN ({quoted(COMMON)}) GROUP BY ALL),
+qw AS (SELECT item_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS weight FROM q0 JOIN df USING (term), nd)"""
+
+_FOUND = f"""WITH {BM25}, {WEIGHTS.removeprefix(TF).lstrip(',')}, {_HELD}, {_ASKED},
+sc AS (SELECT 'tfidf' AS method, item_id, doc_id, sum(q.weight * w.weight) AS score FROM qw q JOIN w USING (term) GROUP BY ALL UNION ALL SELECT 'bm25', item_id, doc_id, sum(bm.weight) FROM q0 JOIN bm USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY method, item_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM sc QUALIFY place <= 5)"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, question, answers (two forms parted by a bar)."""
+    words = T.blank_tokens(F.regexp_replace("text", r"\|", " "))
+    half = F.ceil(F.size("w") / 2).cast("int")
+    part = lambda low, n: F.array_join(F.slice("w", low + 1, n), " ")
+    rows = table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", words.alias("w")).withColumn("half", half)
+    last = F.greatest(F.col("half"), F.size("w") - 8)
+    return rows.select("item_id", part(F.lit(0), F.col("half")).alias("question"), F.concat_ws("|", part(F.col("half"), F.size("w")), part(last, F.size("w"))).alias("answers"))
+
+
+def _held(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = _items(spark, sf_dir)
+    return items, GO.holders(items, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items, the documents that hold their answers, and the first five by each method, written."""
+    items, held = _held(spark, sf_dir)
+    index = Index(spark, sf_dir)
+    n = index.n.first()["n"]
+    terms = items.select("item_id", F.explode(T.found(F.col("question"), T.WORD)).alias("t")).select("item_id", F.lower("t").alias("term"))
+    asked = V.without(terms, list(COMMON)).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf")).join(index.df, "term")
+    asked = written(asked.select(F.col("item_id").alias("query"), "term", (F.col("tf") * W.smooth_idf(F.col("df"), F.lit(n))).alias("weight")), "gold-asked")
+    wanted = small(asked.select("term").distinct())
+    out = None
+    for name, weights, binary in (("tfidf", index.weighed(), False), ("bm25", index.bm25(), True)):
+        scored = W.scores(small(asked), weights.join(wanted, "term", "left_semi"), binary=binary).withColumnRenamed("query", "item_id")
+        first = GO.first_documents(scored.select(F.lit(name).alias("method"), "item_id", "doc_id", "score"), 5, ["method"])
+        out = first if out is None else out.unionAll(first)
+    return items, held, written(out, "gold-ranked")
+
+
+@query("answer_holders", f"WITH {_HELD} SELECT * FROM held")
+def answer_holders(spark, sf_dir):
+    """Which documents hold which answer, in either of its forms."""
+    return _held(spark, sf_dir)[1]
+
+
+@query("orphan_items", f"WITH {_HELD} SELECT item_id, question FROM items ANTI JOIN held USING (item_id)")
+def orphan_items(spark, sf_dir):
+    """Items whose answer no document holds."""
+    items, held = _held(spark, sf_dir)
+    return GO.orphans(items, held).select("item_id", "question")
+
+
+@query("answer_hits", _FOUND + """, x AS (SELECT method, item_id, min(place) AS place FROM ranked JOIN held USING (item_id, doc_id) GROUP BY ALL)
+SELECT method, k, round(avg(coalesce((place <= k)::INT, 0)), 6) AS hit, count(*) AS items FROM (SELECT DISTINCT item_id FROM held) CROSS JOIN (SELECT unnest(['tfidf', 'bm25']) AS method) CROSS JOIN (SELECT unnest([1, 2, 3, 5]) AS k) LEFT JOIN x USING (method, item_id) GROUP BY ALL""")
+def answer_hits(spark, sf_dir):
+    """How often a document that holds the answer is among the first 1, 2, 3 and 5, by method."""
+    _, held, ranked = _found(spark, sf_dir)
+    return GO.hit_rates(ranked, held, [1, 2, 3, 5], ["method"]).withColumn("hit", rounded(F.col("hit")))
+
+
+@query("best_scores_by_answer", _FOUND + """, m AS (SELECT method, item_id, max(score) AS score FROM ranked GROUP BY ALL)
+SELECT method, item_id IN (SELECT item_id FROM held) AS answerable, round(avg(coalesce(score, 0)), 6) AS score, count(*) AS items FROM items CROSS JOIN (SELECT unnest(['tfidf', 'bm25']) AS method) LEFT JOIN m USING (method, item_id) GROUP BY ALL""")
+def best_scores_by_answer(spark, sf_dir):
+    """Mean best score of items with and without an answer in the documents, by method."""
+    items, held, ranked = _found(spark, sf_dir)
+    return GO.best_scores(ranked, held, items, ["method"]).withColumn("score", rounded(F.col("score")))
+
+
 @query("length_bias", f"""WITH {TF}, dl AS (SELECT doc_id, sum(tf) AS length FROM tf GROUP BY doc_id),
 t AS (SELECT term FROM df WHERE term NOT IN ({quoted(COMMON)}) ORDER BY df DESC, term LIMIT 3),
 s AS (SELECT doc_id, length, sum(tf) AS raw, sum(tf / length) AS rel FROM tf JOIN dl USING (doc_id) WHERE term IN (SELECT term FROM t) GROUP BY ALL)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesela.functions import text as T
+from tesela.operators.ranges import running
+from tesela.sources.shared import written
 
 TOKENS = "doc_id long, sent_id int, tok_id int, word string, pos string, iob string"
 ANNOTATED = "doc_id long, sent_id int, tok_id int, word string, lemma string, upos string, head_id int, dep string, entity string"
@@ -33,22 +35,25 @@ def is_header(words: Column) -> Column:
 def read_conll(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Token table of files with `word pos iob` lines and empty lines between sentences, cut into documents at headers.
 
-    Files count in the given order. Sentence and document numbers are running sums inside a file, over lines in order:
-    a corpus of this kind is one ordered file, so each file is one task."""
+    Files count in the given order, and a file is read in as many splits as Spark makes of it: lines are ordered by file,
+    split and place. Sentences and documents are numbered by running sums over ranges of lines and of sentences."""
     rows = None
     for part, path in enumerate(paths):
-        lines = spark.read.text(path, wholetext=True).select(F.lit(part).alias("part"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+        place = [F.lit(part).alias("part"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+        lines = spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("line"), "value")
         rows = lines if rows is None else rows.unionAll(lines)
-    by = Window.partitionBy("part").orderBy("line")
-    blank = F.trim("text") == ""
-    rows = rows.withColumn("sent", F.sum(blank.cast("int")).over(by)).filter(~blank)
-    words = rows.select("part", "sent", "line", F.split("text", r"\s+").alias("f")).select("part", "sent", "line", F.col("f")[0].alias("word"), F.col("f")[1].alias("pos"), F.element_at("f", -1).alias("iob"))
-    sents = words.groupBy("part", "sent").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "word", "pos", "iob"))), lambda x: F.struct(x["word"].alias("word"), x["pos"].alias("pos"), x["iob"].alias("iob"))).alias("tokens"))
-    order = Window.orderBy("part", "sent")
-    opens = is_header(F.transform("tokens", lambda x: x["word"])) | (F.row_number().over(order) == 1)
-    docs = sents.withColumn("doc_id", (F.sum(opens.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1))
-    numbered = docs.withColumn("sent_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "sent")) - 1)
-    return numbered.select("doc_id", "sent_id", F.posexplode("tokens").alias("tok_id", "t")).select("doc_id", "sent_id", "tok_id", "t.word", "t.pos", "t.iob")
+    order = ["part", "file", "block", "line"]
+    blank = F.trim("value") == ""
+    rows = running(rows.withColumn("blank", blank), order, {"sent": F.col("blank").cast("int")}, rank="line_no").filter("not blank")
+    words = rows.select("part", "file", "sent", "line_no", F.split(F.trim("value"), r"\s+").alias("f")).select("part", "file", "sent", F.struct("line_no", F.col("f")[0].alias("word"), F.col("f")[1].alias("pos"), F.element_at("f", -1).alias("iob")).alias("t"))
+    tokens = F.transform(F.array_sort(F.collect_list("t")), lambda x: F.struct(x["word"].alias("word"), x["pos"].alias("pos"), x["iob"].alias("iob")))
+    sents = words.groupBy("part", "file", "sent").agg(tokens.alias("tokens")).withColumn("opens", is_header(F.transform("tokens", lambda x: x["word"])))
+    by = ["part", "file", "sent"]
+    numbered = written(running(sents, by, {"opened": F.col("opens").cast("long")}), "sentences")
+    first = numbered.filter("rank = 1").select(F.col("opens").cast("long").alias("first"))  # one row: whether a header opens the first document
+    docs = numbered.crossJoin(F.broadcast(first)).withColumn("doc_id", F.col("opened") - F.col("first"))
+    docs = docs.withColumn("sent_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("rank")) - 1)
+    return docs.select("doc_id", "sent_id", F.posexplode("tokens").alias("tok_id", "t")).select("doc_id", "sent_id", "tok_id", "t.word", "t.pos", "t.iob")
 
 
 def document_table(tokens: DataFrame) -> DataFrame:
