@@ -105,28 +105,46 @@ def transitions(docs: DataFrame, n: int, words: str = "words") -> DataFrame:
     return docs.select(*keep, grams).select(*keep, F.slice("g", 1, n - 1).alias("context"), F.element_at("g", -1).alias("word"))
 
 
+def _key() -> Column:
+    """A context as one string; words hold no blanks."""
+    return F.array_join("context", " ")
+
+
+def _smoothed(k: Column) -> Column:
+    return (F.coalesce("c", F.lit(0)) + k) / (F.coalesce("total", F.lit(0)) + k * F.col("v"))
+
+
 class Model:
-    """Tables of an n-gram model with add-k smoothing: `counts` (context, word, c), `contexts` (context, total), V."""
+    """Tables of an n-gram model with add-k smoothing: `counts` (key, context, word, c), `contexts` (key, total), V.
+
+    A context's key is its words with blanks between. Counts are written once, and totals are sums of them."""
 
     def __init__(self, docs: DataFrame, n: int, words: str = "words"):
         self.n = n
-        self.counts = transitions(docs.select(words), n, words).groupBy("context", "word").agg(F.count(F.lit(1)).alias("c"))
-        self.contexts = self.counts.groupBy("context").agg(F.sum("c").alias("total"))
+        seen = transitions(docs.select(words), n, words).groupBy(_key().alias("key"), "word").agg(F.count(F.lit(1)).alias("c"))
+        self.counts = written(seen.select("key", F.split("key", " ").alias("context"), "word", "c"), "ngram-counts")
+        self.contexts = self.counts.groupBy("key").agg(F.sum("c").alias("total"))
         # distinct training words and the end marker
         self.size = docs.select(F.explode(words).alias("w")).agg((F.count_distinct("w") + 1).alias("v"))
 
     def probability(self, asked: DataFrame, k: float | Column) -> DataFrame:
         """Adds `p` to rows of (context, word)."""
-        rows = asked.join(self.counts, ["context", "word"], "left").join(self.contexts, "context", "left").crossJoin(F.broadcast(self.size))
-        k = k if isinstance(k, Column) else F.lit(k)
-        return rows.withColumn("p", (F.coalesce("c", F.lit(0)) + k) / (F.coalesce("total", F.lit(0)) + k * F.col("v")))
-
-    def perplexity(self, docs: DataFrame, ks: list[float], words: str = "words") -> DataFrame:
-        """`k`, `perplexity`, `predictions` of the documents, for every smoothing at once."""
-        asked = transitions(docs.select(words), self.n, words).groupBy("context", "word").agg(F.count(F.lit(1)).alias("times"))
-        grid = asked.select("*", F.explode(F.array(*[F.lit(float(k)) for k in ks])).alias("k"))
-        p = self.probability(grid, F.col("k"))
-        return p.groupBy("k").agg(F.pow(F.lit(2.0), -F.sum(F.col("times") * F.log2("p")) / F.sum("times")).alias("perplexity"), F.sum("times").alias("predictions"))
+        rows = self._met(asked.withColumn("key", _key())).drop("key")
+        return rows.withColumn("p", _smoothed(k if isinstance(k, Column) else F.lit(k)))
+
+    def _met(self, asked: DataFrame) -> DataFrame:
+        """Rows of (key, word) with `c`, `total` and `v`."""
+        rows = asked.join(self.counts.select("key", "word", "c"), ["key", "word"], "left").join(self.contexts, "key", "left")
+        return rows.crossJoin(F.broadcast(self.size))
+
+    def perplexity(self, docs: DataFrame, ks: list[float], words: str = "words", by: list[str] | None = None) -> DataFrame:
+        """`k`, `perplexity`, `predictions` of the documents (of each group in `by`), for every smoothing at once.
+
+        Equal predictions are counted before they are joined, and the smoothings come after."""
+        by = by or []
+        asked = transitions(docs.select(*by, words), self.n, words).groupBy(*by, _key().alias("key"), "word").agg(F.count(F.lit(1)).alias("times"))
+        rows = self._met(asked).select("*", F.explode(F.array(*[F.lit(float(k)) for k in ks])).alias("k")).withColumn("p", _smoothed(F.col("k")))
+        return rows.groupBy(*by, "k").agg(F.pow(F.lit(2.0), -F.sum(F.col("times") * F.log2("p")) / F.sum("times")).alias("perplexity"), F.sum("times").alias("predictions"))
 
     def continuations(self, k: float, forbidden: list[str] | None = None) -> DataFrame:
         """Seen continuations of every context with their smoothed shares, forbidden words left out: context, word, p."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesela.functions import text as T
@@ -127,9 +127,12 @@ def trigram_leaders(spark, sf_dir):
 VALID = "('0x' || substr(md5('split:' || doc_id), 1, 4))::INT % 10 = 0"
 
 
+def _validates(key: str = "doc_id") -> Column:
+    return F.conv(F.substring(F.md5(F.concat(F.lit("split:"), F.col(key).cast("string"))), 1, 4), 16, 10).cast("int") % 10 == 0
+
+
 def _split(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    valid = F.conv(F.substring(F.md5(F.concat(F.lit("split:"), F.col(key).cast("string"))), 1, 4), 16, 10).cast("int") % 10 == 0
-    return docs.filter(~valid), docs.filter(valid)
+    return docs.filter(~_validates(key)), docs.filter(_validates(key))
 
 
 def _lm_sql(n: int) -> str:
@@ -144,13 +147,13 @@ c{n} AS (SELECT ctx, w, count(*) AS c FROM g{n} WHERE NOT valid GROUP BY ALL), t
        + " UNION ALL ".join(f"SELECT {n} AS n, part, k, round(pow(2, -sum(log2((coalesce(c, 0) + k) / (coalesce(t, 0) + k * v))) / count(*)), 4) AS perplexity, count(*) AS predictions FROM (SELECT CASE WHEN valid THEN 'validation' ELSE 'training' END AS part, ctx, w FROM g{n}) LEFT JOIN c{n} USING (ctx, w) LEFT JOIN t{n} USING (ctx), v, grid GROUP BY part, k" for n in (2, 3)))
 def ngram_perplexity(spark, sf_dir):
     """Perplexity of bigram and trigram models at three smoothings, on training and validation documents."""
-    train, valid = _split(_words(spark, sf_dir))
+    docs = _words(spark, sf_dir)
+    train, _ = _split(docs)
+    parted = docs.select(F.when(_validates(), "validation").otherwise("training").alias("part"), "words")
     out = None
     for n in (2, 3):
-        model = L.Model(train, n)
-        for part, docs in (("training", train), ("validation", valid)):
-            p = model.perplexity(docs, [0.01, 0.1, 1.0]).select(F.lit(n).alias("n"), F.lit(part).alias("part"), "k", F.round("perplexity", 4).alias("perplexity"), "predictions")
-            out = p if out is None else out.unionAll(p)
+        p = L.Model(train, n).perplexity(parted, [0.01, 0.1, 1.0], by=["part"]).select(F.lit(n).alias("n"), "part", "k", F.round("perplexity", 4).alias("perplexity"), "predictions")
+        out = p if out is None else out.unionAll(p)
     return out
 
 
@@ -163,12 +166,12 @@ def context_histogram(spark, sf_dir):
 
 
 @query("continuations", f"WITH {SEQ}, v AS (SELECT count(DISTINCT term) + 1 AS v FROM seq WHERE NOT ({VALID})), {_lm_sql(2)}, " + f"""p AS (SELECT ctx AS context, w AS word, (c + 0.1) / (t + 0.1 * v) AS p FROM c2 JOIN t2 USING (ctx), v WHERE w <> '<oov>')
-SELECT context, word, round(p / sum(p) OVER (PARTITION BY context), 6) AS p FROM p WHERE context IN ({quoted(COMMON)})""")
+SELECT context, word, round(p / sum(p) OVER (PARTITION BY context), 6) AS p FROM p""")
 def continuations(spark, sf_dir):
-    """Smoothed shares of the seen continuations of common words."""
+    """Smoothed shares of the seen continuations of every word."""
     train, _ = _split(_words(spark, sf_dir))
     c = L.Model(train, 2).continuations(0.1, ["<oov>"])
-    return c.select(F.col("context")[0].alias("context"), "word", rounded(F.col("p")).alias("p")).filter(F.col("context").isin(*COMMON))
+    return c.select(F.col("context")[0].alias("context"), "word", rounded(F.col("p")).alias("p"))
 
 
 @query("greedy_texts", f"WITH RECURSIVE {SEQ}, {_lm_sql(2)}, best AS (SELECT ctx, w FROM (SELECT ctx, w, row_number() OVER (PARTITION BY ctx ORDER BY c DESC, w) AS place FROM c2 WHERE w <> '<oov>') WHERE place = 1)," + """
@@ -203,13 +206,36 @@ def _strategy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.generate(L.Model(train, 2), seeds, STRATEGIES, STEPS, seed=42)
 
 
-@query("strategy_texts")
+_GRID = ", ".join(f"('{x.name}', {str(x.greedy).lower()}, {float(x.temperature)}::DOUBLE, {x.top_k or 'NULL'}::INT)" for x in STRATEGIES)
+
+_TEXTS = f"""WITH RECURSIVE {SEQ}, v AS (SELECT count(DISTINCT term) + 1 AS v FROM seq WHERE NOT ({VALID})), {_lm_sql(2)},
+p0 AS (SELECT ctx, w, (c + 0.1) / (t + 0.1 * v) AS p FROM c2 JOIN t2 USING (ctx), v WHERE w <> '<oov>'), p1 AS (SELECT ctx, w, p / sum(p) OVER (PARTITION BY ctx) AS p FROM p0),
+cont AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY round(p, 12) DESC, w) AS place FROM p1), known AS (SELECT DISTINCT ctx AS k FROM cont),
+b AS (SELECT item_id, regexp_extract_all(text, '\\p{{L}}+(?:[-'']\\p{{L}}+)*|<[A-Z]+>') AS l FROM benchmark), seeds AS (SELECT item_id AS id, lower(l[1]) AS w FROM b WHERE len(l) > 0),
+grid(strategy, greedy, temperature, top_k) AS (VALUES {_GRID}),
+gen AS (
+  SELECT strategy, greedy, temperature, top_k, id, w AS last, w AS words, false AS done, 0 AS step FROM seeds, grid
+  UNION ALL
+  SELECT strategy, greedy, temperature, top_k, id, nxt, CASE WHEN done OR coalesce(nxt, '<fin>') = '<fin>' THEN words ELSE words || ' ' || nxt END, done OR coalesce(nxt, '<fin>') = '<fin>', step + 1
+  FROM (SELECT g.strategy, g.greedy, g.temperature, g.top_k, g.id, g.words, g.done, g.step, arg_min(c.w, {{'k': CASE WHEN g.greedy THEN c.place ELSE -(ln(greatest(c.p, 1e-12)) / greatest(g.temperature, 1e-6)
+      - ln(-ln((('0x' || substr(md5('42:' || g.strategy || ':' || g.id || ':' || g.step || ':' || c.w), 1, 8))::BIGINT + 0.5) / 4294967296.0))) END, 'w': c.w}}) AS nxt
+    FROM (SELECT gen.*, coalesce(k, '<inicio>') AS ctx FROM gen LEFT JOIN known ON k = last WHERE step < {STEPS}) g LEFT JOIN cont c ON c.ctx = g.ctx AND (g.top_k IS NULL OR c.place <= g.top_k) AND NOT g.done
+    GROUP BY g.strategy, g.greedy, g.temperature, g.top_k, g.id, g.words, g.done, g.step)),
+texts AS (SELECT strategy, id, words, done FROM gen WHERE step = {STEPS})"""
+
+
+@query("strategy_texts", _TEXTS + " SELECT strategy, id, words AS text, done FROM texts")
 def strategy_texts(spark, sf_dir):
     """Texts from the first word of every benchmark item, by strategy."""
     return _strategy_texts(spark, sf_dir).select("strategy", "id", F.array_join("words", " ").alias("text"), "done")
 
 
-@query("strategy_diversity")
+@query("strategy_diversity", _TEXTS + """, l AS (SELECT strategy, id, done, string_split(words, ' ') AS l FROM texts),
+u1 AS (SELECT strategy, unnest(l) AS g FROM l), u2 AS (SELECT strategy, l[i] || ' ' || l[i + 1] AS g FROM (SELECT strategy, l, unnest(range(1, len(l))) AS i FROM l)),
+u3 AS (SELECT strategy, id, l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] AS g FROM (SELECT strategy, id, l, unnest(range(1, len(l) - 1)) AS i FROM l)),
+r AS (SELECT strategy, sum(n - d) / sum(n) AS r FROM (SELECT strategy, id, count(*) AS n, count(DISTINCT g) AS d FROM u3 GROUP BY ALL) GROUP BY strategy)
+SELECT strategy, (SELECT round(count(DISTINCT g) / count(*), 6) FROM u1 WHERE u1.strategy = l.strategy) AS distinct_1, (SELECT round(count(DISTINCT g) / count(*), 6) FROM u2 WHERE u2.strategy = l.strategy) AS distinct_2,
+  round(coalesce(max(r), 0), 6) AS repeated_3, round(avg(len(l)), 6) AS mean_length, count(*) AS texts, count(*) FILTER (WHERE done) AS finished FROM l LEFT JOIN r USING (strategy) GROUP BY strategy""")
 def strategy_diversity(spark, sf_dir):
     """Diversity, repetition and finished texts of each strategy."""
     texts = written(_strategy_texts(spark, sf_dir), "strategy-texts")

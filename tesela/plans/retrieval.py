@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +19,21 @@ query = Registry()
 
 
 class Index:
-    """tf, df and corpus scalars of `documents`."""
+    """tf, df and corpus scalars of `documents`.
+
+    Texts are dealt by document before they are cut into words, so that counts by (document, term) and everything that is
+    done by document needs no further shuffle; document frequencies are written once and, within bounds, broadcast, so that
+    the commonest terms, which are in every document, meet in no task."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.docs = table(spark, sf_dir, "documents")
-        self.tf = V.term_frequencies(V.word_rows(self.docs))
-        self.df = V.document_frequencies(self.tf)
+        self.tf = V.term_frequencies(V.word_rows(self.docs.select("doc_id", "text").repartition("doc_id")))
         self.n = self.docs.agg(F.count(F.lit(1)).alias("n"))
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return small(written(V.document_frequencies(self.tf), "document-frequencies"))
+
     def weighed(self, **how) -> DataFrame:
         n = self.n.first()["n"]
         return W.tfidf(self.tf, self.df, F.lit(n), **how)
@@ -182,7 +191,7 @@ def free_text_search(spark, sf_dir):
     n = index.n.first()["n"]
     items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.found(F.col("text"), T.WORD)).alias("t")).select("item_id", F.lower("t").alias("term"))
     asked = V.without(items, list(COMMON)).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf")).join(index.df, "term")
-    asked = asked.select(F.col("item_id").alias("query"), "term", (F.col("tf") * W.smooth_idf(F.col("df"), F.lit(n))).alias("weight"))
+    asked = small(written(asked.select(F.col("item_id").alias("query"), "term", (F.col("tf") * W.smooth_idf(F.col("df"), F.lit(n))).alias("weight")), "search-queries"))
     scored = W.scores(asked, index.weighed())
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     return scored.withColumn("place", place.cast("long")).filter("place <= 3").select(F.col("query").alias("item_id"), "doc_id", rounded(F.col("score")).alias("score"), "place")
