@@ -34,7 +34,7 @@ def _span_sql(column: str, name: str) -> str:
 SPANS = LABELED + ", " + _span_sql("gold", "gs") + ", " + _span_sql("pred", "ps")
 
 
-def _labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.sentence_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
     w = s.select("doc_id", "sent_id", F.posexplode(T.found(F.col("sentence"), r"\p{L}+")).alias("tok_id", "word"))
     word, n = F.col("word"), F.char_length("word")
@@ -48,13 +48,13 @@ def _labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = _labeled(spark, sf_dir)
+    rows = labeled(spark, sf_dir)
     return Q.spans(rows, "gold"), Q.spans(rows, "pred")
 
 
 @query("iob_spans", f"WITH {SPANS} SELECT doc_id, sent_id::INT AS sent_id, type, s::INT AS start, e::INT AS \"end\" FROM gs")
 def iob_spans(spark, sf_dir):
-    return Q.spans(_labeled(spark, sf_dir), "gold").select("doc_id", "sent_id", "type", F.col("start").cast("int"), F.col("end").cast("int"))
+    return Q.spans(labeled(spark, sf_dir), "gold").select("doc_id", "sent_id", "type", F.col("start").cast("int"), F.col("end").cast("int"))
 
 
 _MATCH = "m AS (SELECT coalesce(a.type, b.type) AS type, a.type IS NOT NULL AS g, b.type IS NOT NULL AS f FROM (SELECT DISTINCT * FROM gs) a FULL JOIN (SELECT DISTINCT * FROM ps) b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND a.s = b.s AND a.e = b.e AND a.type = b.type)"
@@ -107,7 +107,7 @@ def recall_by_length(spark, sf_dir):
 SELECT error, r.doc_id, r.sent_id::INT AS sent_id, s::INT AS start, (SELECT string_agg(word, ' ' ORDER BY tok_id) FROM w0 WHERE w0.doc_id = r.doc_id AND w0.sent_id = r.sent_id AND tok_id BETWEEN r.s - 4 AND r.s + 4) AS around FROM r WHERE nth <= 5""")
 def error_samples(spark, sf_dir):
     """Five misses of each class with the words around them."""
-    rows = _labeled(spark, sf_dir)
+    rows = labeled(spark, sf_dir)
     e = Q.error_classes(Q.spans(rows, "gold"), Q.spans(rows, "pred"))
     nth = F.row_number().over(Window.partitionBy("error").orderBy("doc_id", "sent_id", "start"))
     first = e.withColumn("nth", nth).filter("nth <= 5").select("error", "doc_id", "sent_id", "start")
@@ -117,7 +117,7 @@ def error_samples(spark, sf_dir):
 
 @query("label_histogram", f"WITH {LABELED} SELECT gold AS tag, count(*) AS n FROM lab GROUP BY gold")
 def label_histogram(spark, sf_dir):
-    return _labeled(spark, sf_dir).groupBy(F.col("gold").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    return labeled(spark, sf_dir).groupBy(F.col("gold").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # Tagger: learns on odd documents, is tested on even ones, where the gold class of every fifth-letter word is shifted.
@@ -130,7 +130,7 @@ tagged AS (SELECT tok.*, coalesce(best.t, backup.t) AS predicted, best.t IS NOT
 
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _labeled(spark, sf_dir)
+    rows = labeled(spark, sf_dir)
     shifted = (F.col("doc_id") % 2 == 0) & ((F.col("doc_id") + F.col("tok_id")) % 5 == 0)
     rows = rows.withColumn("gold_pos", F.when(shifted, "ADJ").otherwise(F.col("upos")))
     tagger = Q.Tagger(rows.filter("doc_id % 2 = 1"), "word", "gold_pos")
@@ -192,7 +192,7 @@ def universal_tags(spark, sf_dir):
 @query("tag_mapping", f"WITH {LABELED}, m AS (SELECT upos, upper(substr(word, 1, 1)) AS tag, count(*) AS n FROM lab WHERE regexp_matches(word, '^[A-Za-z]') GROUP BY ALL) SELECT upos, count(*) AS tags, sum(n)::BIGINT AS tokens, string_agg(tag, ', ' ORDER BY tag) AS list FROM m GROUP BY upos")
 def tag_mapping(spark, sf_dir):
     """Which fine tags each class gathers, with counts."""
-    m = _labeled(spark, sf_dir).filter(F.col("word").rlike("^[A-Za-z]")).groupBy("upos", F.upper(F.substring("word", 1, 1)).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    m = labeled(spark, sf_dir).filter(F.col("word").rlike("^[A-Za-z]")).groupBy("upos", F.upper(F.substring("word", 1, 1)).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
     return m.groupBy("upos").agg(F.count(F.lit(1)).alias("tags"), F.sum("n").alias("tokens"), F.array_join(F.sort_array(F.collect_set("tag")), ", ").alias("list"))
 
 
@@ -204,7 +204,7 @@ ed AS (SELECT doc_id, sent_id, tok_id, word, upos, CASE WHEN tok_id = 0 THEN 0 E
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("tok_id")
-    return _labeled(spark, sf_dir).select("doc_id", "sent_id", "tok_id", "word", "upos", F.when(i == 0, 0).otherwise(F.floor((i - 1) / 2)).cast("int").alias("head_id"), F.when(i == 0, "root").when(i % 2 == 1, "nsubj").otherwise("obj").alias("dep"))
+    return labeled(spark, sf_dir).select("doc_id", "sent_id", "tok_id", "word", "upos", F.when(i == 0, 0).otherwise(F.floor((i - 1) / 2)).cast("int").alias("head_id"), F.when(i == 0, "root").when(i % 2 == 1, "nsubj").otherwise("obj").alias("dep"))
 
 
 @query("tree_depths", f"WITH {TREES} SELECT doc_id, sent_id::INT AS sent_id, max(floor(log2(tok_id + 1)))::INT AS depth, count(*) AS tokens FROM ed GROUP BY ALL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["vocabulary", "retrieval", "language", "documents", "labels", "answers", "models"]
+MODULES = ["vocabulary", "retrieval", "language", "documents", "labels", "answers", "models", "annotated"]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
