@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesela.functions import text as T
+from tesela.operators import pairs as P
 from tesela.operators import summary as S
 from tesela.operators import vectors as X
 from tesela.operators import vocab as V
 from tesela.operators import weights as W
-from tesela.plans.fragments import COMMON, COUNTS, SENT, quoted
+from tesela.plans.fragments import COMMON, COUNTS, SENT, TF, TOK, quoted
 from tesela.plans.registry import Registry, rounded, table
+from tesela.sources.shared import written
 
 query = Registry()
 STOP = frozenset(COMMON)
@@ -231,4 +233,84 @@ def sparse_pair_cosine(spark, sf_dir):
     return X.sparse_cosine(first, second, "doc_id").withColumn("cosine", rounded(F.col("cosine")))
 
 
+# ---- pairs: turns and the next ones, by who speaks; the gold score is the share of words that both have
+
+_SIDES = "(SELECT p.conv_id || ':' || p.turn || '/' || s.side AS doc_id, s.text FROM (SELECT a.conv_id, a.turn, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) p, LATERAL (SELECT unnest(['a', 'b']) AS side, unnest([p.a, p.b]) AS text) s)"
+
+PAIRS = TF + f""",
+s{TOK.replace('FROM documents', f'FROM {_SIDES}').replace('FROM tok', 'FROM stok').replace('word AS (', 'sword AS (', 1)},
+sw1 AS (SELECT split_part(doc_id, '/', 1) AS pair, split_part(doc_id, '/', 2) AS side, term, count(*) AS tf FROM sword GROUP BY ALL),
+pr AS (SELECT a.conv_id || ':' || a.turn AS pair, a.role AS category FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+gl AS (SELECT pr.pair, category, CASE WHEN n = 0 OR n IS NULL THEN 0 ELSE h / n END AS gold FROM pr LEFT JOIN (SELECT pair, count(*) AS n, count(*) FILTER (WHERE k = 2) AS h FROM (SELECT pair, term, count(DISTINCT side) AS k FROM sw1 GROUP BY ALL) GROUP BY pair) x USING (pair)),
+mdf AS (SELECT term, sum(df) AS df FROM (SELECT term, df FROM df UNION ALL SELECT term, count(*) FROM sw1 GROUP BY term) GROUP BY term),
+nn AS (SELECT (SELECT count(DISTINCT doc_id) FROM tf) + 2 * (SELECT count(*) FROM pr) AS n),
+wt AS (SELECT pair, side, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM sw1 JOIN mdf USING (term), nn),
+nr AS (SELECT pair, side, sqrt(sum(w * w)) AS l FROM wt GROUP BY ALL),
+s1 AS (SELECT pair, coalesce(d / (x.l * y.l), 0) AS similarity FROM pr LEFT JOIN (SELECT a.pair, sum(a.w * b.w) AS d FROM wt a JOIN wt b ON a.pair = b.pair AND a.term = b.term AND a.side = 'a' AND b.side = 'b' GROUP BY a.pair) d USING (pair) LEFT JOIN (SELECT * FROM nr WHERE side = 'a') x USING (pair) LEFT JOIN (SELECT * FROM nr WHERE side = 'b') y USING (pair)),
+cc AS (SELECT term, sum(tf) AS c FROM tf GROUP BY term), wv2 AS (SELECT term, embedding::DOUBLE[] AS v FROM (SELECT term, row_number() OVER (ORDER BY c DESC, term) - 1 AS r FROM cc) JOIN embeddings ON r = vec_id),
+xx AS (SELECT pair, side, tf AS m, tf * 0.001 / (0.001 + c / (SELECT sum(c) FROM cc)) AS f, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM sw1 JOIN wv2 USING (term) JOIN cc USING (term)),
+vv AS (SELECT pair, side, i, sum(m * x) / sum(m) AS m, sum(f * x) / sum(f) AS f FROM xx GROUP BY ALL),
+s2 AS (SELECT a.pair, sum(a.m * b.m) / (sqrt(sum(a.m * a.m)) * sqrt(sum(b.m * b.m))) AS mean, sum(a.f * b.f) / (sqrt(sum(a.f * a.f)) * sqrt(sum(b.f * b.f))) AS sif FROM vv a JOIN vv b ON a.pair = b.pair AND a.i = b.i AND a.side = 'a' AND b.side = 'b' GROUP BY a.pair),
+sims AS (SELECT pair, 'tfidf' AS method, similarity FROM s1 UNION ALL SELECT pair, 'mean', coalesce(mean, 0) FROM pr LEFT JOIN s2 USING (pair) UNION ALL SELECT pair, 'sif', coalesce(sif, 0) FROM pr LEFT JOIN s2 USING (pair)),
+er AS (SELECT pair, category, method, similarity, (similarity - min(similarity) OVER (PARTITION BY method)) / (max(similarity) OVER (PARTITION BY method) - min(similarity) OVER (PARTITION BY method)) AS scaled,
+  (gold - min(gold) OVER ()) / (max(gold) OVER () - min(gold) OVER ()) AS gold FROM sims JOIN gl USING (pair))"""
+
+#: Representations that SQL can say, too.
+PLAIN = ("tfidf", "mean", "sif")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations")
+    nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    p = t.select("conv_id", "turn", F.col("role").alias("category"), F.col("text").alias("a")).join(nxt, ["conv_id", "turn"])
+    words = lambda c: F.array_distinct(F.transform(F.filter(T.tokens(F.coalesce(c, F.lit(""))), T.is_word), F.lower))
+    share = F.try_divide(F.size(F.array_intersect(words(F.col("a")), words(F.col("b")))), F.size(F.array_union(words(F.col("a")), words(F.col("b")))))
+    return written(p.select(F.concat_ws(":", "conv_id", "turn").alias("pair"), "category", F.coalesce(share, F.lit(0.0)).alias("gold"), "a", "b"), "pairs")
+
+
+def _compared(spark: SparkSession, sf_dir: str, latent: bool) -> tuple[DataFrame, DataFrame]:
+    from tesela.plans.models import latent as latent_space
+
+    pairs = _pairs(spark, sf_dir)
+    corpus = written(V.term_frequencies(V.word_rows(_docs(spark, sf_dir).repartition("doc_id"))), "pair-corpus")
+    vectors = written(_word_vectors(spark, sf_dir, corpus.groupBy("term").agg(F.sum("tf").alias("c"))), "pair-vectors")
+    terms = latent_space(spark, sf_dir, 150).terms if latent else None
+    return pairs, P.compared(pairs, corpus, vectors, 64, terms, 150)
+
+
+@query("pair_similarities", f"WITH {PAIRS} SELECT pair, category, method, round(similarity, 6) AS similarity, round(gold, 6) AS gold FROM er")
+def pair_similarities(spark, sf_dir):
+    """Similarity of every pair under the three plain representations."""
+    pairs, found = _compared(spark, sf_dir, False)
+    e = P.errors(pairs, found.filter(F.col("method").isin(*PLAIN)))
+    return e.select("pair", "category", "method", rounded(F.col("similarity")).alias("similarity"), rounded(F.col("gold")).alias("gold"))
+
+
+@query("pair_profile", f"WITH {PAIRS} SELECT category, method, count(*) AS n, round(avg(scaled), 6) AS scaled, round(avg(gold), 6) AS gold, round(avg(scaled - gold), 6) AS error FROM er GROUP BY ALL")
+def pair_profile(spark, sf_dir):
+    """Means of similarity, gold score and signed error by category and method."""
+    pairs, found = _compared(spark, sf_dir, False)
+    p = P.profile(P.errors(pairs, found.filter(F.col("method").isin(*PLAIN))))
+    return p.select("category", "method", "n", *[rounded(F.col(c)).alias(c) for c in ("scaled", "gold", "error")])
+
+
+@query("worst_pairs", f"WITH {PAIRS}, w AS (SELECT category, pair, avg(scaled - gold) AS error, any_value(gold) AS gold FROM er GROUP BY ALL) SELECT category, row_number() OVER (PARTITION BY category ORDER BY round(error, 9) DESC, pair) AS place, pair, round(gold, 6) AS gold, round(error, 6) AS error FROM w QUALIFY place <= 5")
+def worst_pairs(spark, sf_dir):
+    """The five pairs of every category that the methods overrate most."""
+    pairs, found = _compared(spark, sf_dir, False)
+    w = P.worst(P.errors(pairs, found.filter(F.col("method").isin(*PLAIN))))
+    return w.select("category", "place", "pair", rounded(F.col("gold")).alias("gold"), rounded(F.col("error")).alias("error"))
+
+
+@query("pair_comparison")
+def pair_comparison(spark, sf_dir):
+    """All five representations: rank correlation with the gold score, and mean error."""
+    from tesela.operators import stats as ST
+
+    pairs, found = _compared(spark, sf_dir, True)
+    e = written(P.errors(pairs, found), "pair-errors")
+    rho = ST.spearman(e.select("method", "scaled", "gold"), "scaled", "gold", ["method"])
+    return rho.join(e.groupBy("method").agg(F.avg("error").alias("error")), "method").select("method", F.round("rho", 4).alias("rho"), F.round("error", 4).alias("error"), "n")
+
+
 QUERIES, ORACLES = query.queries, query.oracles

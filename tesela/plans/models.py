@@ -149,16 +149,16 @@ def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIMENSIONS, SIZES, STARTS = 100, [5, 6, 7, 8], 10
 
 
-def _latent(spark: SparkSession, sf_dir: str, k: int = DIMENSIONS) -> LA.Latent:
+def latent(spark: SparkSession, sf_dir: str, k: int | None = None) -> LA.Latent:
     """Latent dimensions of TF-IDF rows over the whole vocabulary."""
     from tesela.plans.retrieval import Index
 
-    return LA.analysis(Index(spark, sf_dir).weighed().select("doc_id", "term", "weight"), k)
+    return LA.analysis(Index(spark, sf_dir).weighed().select("doc_id", "term", "weight"), k or DIMENSIONS)
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> tuple[LA.Latent, G.Grid, DataFrame]:
     """Documents of length one in the latent space, written, with the cluster of the best start for each size (k5, k6, ...)."""
-    found = _latent(spark, sf_dir)
+    found = latent(spark, sf_dir)
     rows = written(LA.unit(found.documents), "latent-units")
     grid = G.k_means(rows, SIZES, STARTS)
     best = {f"k{k}": grid.centres[k, s] for k, s in grid.best().items()}
@@ -219,7 +219,7 @@ def latent_neighbours(spark, sf_dir):
     """Documents nearest in a hundred latent dimensions to those whose id is divisible by 20."""
     from tesela.operators import vectors as X
 
-    rows = written(_latent(spark, sf_dir).documents, "latent-documents")
+    rows = written(latent(spark, sf_dir).documents, "latent-documents")
     return X.nearest(rows.filter("doc_id % 20 = 0"), rows, 3, "doc_id", "v").withColumn("cosine", F.round("cosine", 4))
 
 
