@@ -64,21 +64,27 @@ def trigram_collocations(docs: DataFrame, stop: list[str], min_count: int = 5, w
     The table needs how often each two of the three stand in their places, whatever the third; expectations are those of
     three independent words. Filters touch triples alone. `runs` as for pairs."""
     runs = runs or words
-    triples = written(ngram_counts(docs, 3, runs), "trigrams").select(*[F.col("gram")[i].alias(f"w{i + 1}") for i in range(3)], "c")
-    pairs = ngram_counts(_pair_runs(docs, words, runs), 2, "run").select(F.col("gram")[0].alias("a"), F.col("gram")[1].alias("b"), "c")
-    unigrams = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    total = unigrams.agg(F.sum("n").cast("double").alias("n"))
-    content = [(F.char_length(w) >= 3) & ~F.col(w).isin(*stop) for w in ("w1", "w2", "w3")]
-    asked = written(triples.filter(F.col("c") >= min_count).filter(content[0] & content[1] & content[2]), "trigrams-asked")
-    # only what is asked for is counted and shuffled: pairs and words that stand in a triple that stays
-    near = asked.select(F.col("w1").alias("a"), F.col("w2").alias("b")).unionAll(asked.select("w2", "w3")).distinct()
-    pairs = written(pairs.join(near, ["a", "b"], "left_semi"), "trigrams-pairs")
-    apart = triples.join(asked.select("w1", "w3").distinct(), ["w1", "w3"], "left_semi").groupBy("w1", "w3").agg(F.sum("c").alias("n13"))
-    known = asked.select(F.explode(F.array("w1", "w2", "w3")).alias("w")).distinct()
-    unigrams = written(unigrams.join(known, "w", "left_semi"), "trigrams-words")
+    content = lambda w: (F.char_length(w) >= 3) & ~w.isin(*stop)
+    # triples that the filters leave out are gone before any are counted or shuffled
+    grams = docs.select(F.explode(F.filter(T.ngrams(F.col(runs), 3), lambda g: F.forall(g, content))).alias("g"))
+    names = ["w1", "w2", "w3"]
+    asked = grams.select(*[F.col("g")[i].alias(w) for i, w in enumerate(names)]).groupBy(*names).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_count)
+    asked = written(asked, "trigrams-asked")
+
+    def seen(rows: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
+        """Counts of the rows that are asked for; the others go before the count."""
+        wanted = small(written(wanted.distinct(), f"{label}-wanted"))
+        return written(rows.join(wanted, wanted.columns, "left_semi").groupBy(*wanted.columns).agg(F.count(F.lit(1)).alias("n")), label)
+
+    two = docs.select(F.explode(T.ngrams(F.slice(runs, 1, F.size(words) + 1), 2)).alias("g")).select(F.col("g")[0].alias("a"), F.col("g")[1].alias("b"))
+    pairs = seen(two, asked.select(F.col("w1").alias("a"), F.col("w2").alias("b")).unionAll(asked.select("w2", "w3")), "trigram-pairs")
+    three = docs.select(F.explode(T.ngrams(F.col(runs), 3)).alias("g")).select(F.col("g")[0].alias("w1"), F.col("g")[2].alias("w3"))
+    apart = seen(three, asked.select("w1", "w3"), "trigram-apart").withColumnRenamed("n", "n13")
+    unigrams = seen(docs.select(F.explode(words).alias("w")), asked.select(F.explode(F.array(*names)).alias("w")), "trigram-words")
+    total = docs.agg(F.sum(F.size(words)).cast("double").alias("n"))
     rows = asked.join(apart, ["w1", "w3"])
     for first, second, name in (("w1", "w2", "n12"), ("w2", "w3", "n23")):
-        rows = rows.join(small(pairs).select(F.col("a").alias(first), F.col("b").alias(second), F.col("c").alias(name)), [first, second])
+        rows = rows.join(small(pairs).select(F.col("a").alias(first), F.col("b").alias(second), F.col("n").alias(name)), [first, second])
     for i in (1, 2, 3):
         rows = rows.join(small(unigrams).select(F.col("w").alias(f"w{i}"), F.col("n").alias(f"n{i}")), f"w{i}")
     rows = rows.crossJoin(F.broadcast(total))

@@ -39,9 +39,13 @@ def tfidf(tf: DataFrame, frequencies: DataFrame, documents: Column, sublinear: b
 
 def bm25(tf: DataFrame, frequencies: DataFrame, documents: Column, mean_length: Column, k1: float = 1.5, b: float = 0.75, key: str = "doc_id") -> DataFrame:
     """key, term, tf, weight. `mean_length` is over all documents."""
-    rows = tf.withColumn("length", F.sum("tf").over(Window.partitionBy(key))).join(frequencies, "term")
+    return bm25_of_lengths(tf.withColumn("length", F.sum("tf").over(Window.partitionBy(key))), frequencies, documents, mean_length, k1, b, key)
+
+
+def bm25_of_lengths(tf: DataFrame, frequencies: DataFrame, documents: Column, mean_length: Column, k1: float = 1.5, b: float = 0.75, key: str = "doc_id") -> DataFrame:
+    """The same from rows that have their document's `length`, which may be of some terms only."""
     weight = bm25_idf(F.col("df"), documents) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_length))
-    return rows.select(key, "term", "tf", "length", weight.alias("weight"))
+    return tf.join(frequencies, "term").select(key, "term", "tf", "length", weight.alias("weight"))
 
 
 def unit_length(weights: DataFrame, key: str = "doc_id") -> DataFrame:

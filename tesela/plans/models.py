@@ -12,7 +12,6 @@ from tesela.operators import latent as LA
 from tesela.operators import mining as M
 from tesela.operators import stats as S
 from tesela.operators import translate as R
-from tesela.operators import vocab as V
 from tesela.operators.ranges import running
 from tesela.plans.fragments import TF, TOK
 from tesela.plans.registry import Registry, rounded, table
@@ -275,8 +274,7 @@ p AS (SELECT doc_id, lang, label AS predicted, score FROM s QUALIFY row_number()
 
 
 def _left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return M.leave_one_out_bayes(V.term_frequencies(V.word_rows(docs)), docs.select("doc_id", "lang"), 0.1, label="lang")
+    return M.leave_one_out_bayes(_bags(spark, sf_dir), 0.1, label="lang")
 
 
 @query("left_out_languages", f"WITH {_BAYES} SELECT doc_id, lang, predicted, round(score, 4) AS score FROM p")

@@ -38,10 +38,18 @@ class Index:
         n = self.n.first()["n"]
         return W.tfidf(self.tf, self.df, F.lit(n), **how)
 
-    def bm25(self, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    def bm25(self, k1: float = 1.5, b: float = 0.75, wanted: DataFrame | None = None) -> DataFrame:
+        """BM25 weights of all terms, or of those in `wanted` alone: a document's length needs no counts of its terms, so the
+        others go before anything is counted."""
         n = self.n.first()["n"]
-        total = self.tf.agg(F.sum("tf")).first()[0] or 0
-        return W.bm25(self.tf, self.df, F.lit(n), F.lit(total / max(1, n)), k1, b)
+        if wanted is None:
+            total = self.tf.agg(F.sum("tf")).first()[0] or 0
+            return W.bm25(self.tf, self.df, F.lit(n), F.lit(total / max(1, n)), k1, b)
+        words = F.transform(F.filter(T.tokens(F.col("text")), T.is_word), F.lower)
+        bags = self.docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").cast("long").alias("length"), "words")
+        total = bags.agg(F.sum("length")).first()[0] or 0
+        tf = bags.select("doc_id", "length", F.explode("words").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+        return W.bm25_of_lengths(tf, self.df.join(wanted, "term", "left_semi"), F.lit(n), F.lit(total / max(1, n)), k1, b)
 
 
 WEIGHTS = TF + """,
@@ -236,8 +244,8 @@ def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     asked = written(asked.select(F.col("item_id").alias("query"), "term", (F.col("tf") * W.smooth_idf(F.col("df"), F.lit(n))).alias("weight")), "gold-asked")
     wanted = small(asked.select("term").distinct())
     out = None
-    for name, weights, binary in (("tfidf", index.weighed(), False), ("bm25", index.bm25(), True)):
-        scored = W.scores(small(asked), weights.join(wanted, "term", "left_semi"), binary=binary).withColumnRenamed("query", "item_id")
+    for name, weights, binary in (("tfidf", index.weighed().join(wanted, "term", "left_semi"), False), ("bm25", index.bm25(wanted=wanted), True)):
+        scored = W.scores(small(asked), weights, binary=binary).withColumnRenamed("query", "item_id")
         first = GO.first_documents(scored.select(F.lit(name).alias("method"), "item_id", "doc_id", "score"), 5, ["method"])
         out = first if out is None else out.unionAll(first)
     return items, held, written(out, "gold-ranked")
