@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesela.functions import text as T
+from tesela.operators import bags as B
 from tesela.operators import gold as GO
 from tesela.operators import vocab as V
 from tesela.operators import weights as W
@@ -67,8 +68,12 @@ bm AS (SELECT doc_id, term, tf, length, ln(1 + (n - df + 0.5) / (df + 0.5)) * (t
 SELECT doc_id, term, tf, df, round(weight, 6) AS weight, place FROM r WHERE place <= 5""")
 def tfidf_top_terms(spark, sf_dir):
     """The five heaviest terms of every document under smoothed TF-IDF."""
-    w = Index(spark, sf_dir).weighed().withColumn("r", F.round("weight", 9))
-    return W.top_terms(w, 5, by="r").select("doc_id", "term", "tf", "df", rounded(F.col("weight")).alias("weight"), "place")
+    words = F.transform(F.filter(T.tokens(F.col("text")), T.is_word), F.lower)
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
+    bags = B.blocks(docs)
+    # a document without words counts in the number of documents
+    top = B.top_terms(bags, small(written(B.document_frequencies(bags), "bag-frequencies")), docs.count(), 5)
+    return top.select("doc_id", "term", "tf", "df", rounded(F.col("weight")).alias("weight"), "place")
 
 
 @query("tf_variants", f"""WITH {TF}

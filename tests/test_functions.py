@@ -226,3 +226,85 @@ def test_encoding_round_trip(spark):
     ids = V.encode(words, vocabulary, size=3)
     assert {r["doc_id"]: r["ids"] for r in ids.collect()} == {1: [2, 3, 2], 2: [1]}
     assert {r["text"] for r in V.decode(ids, vocabulary).collect()} == {"b a b", "<oov>"}
+
+
+def test_greedy_strategy_is_greedy_generation(spark):
+    docs = spark.createDataFrame([(1, "a b a b c a b d".split()), (2, "b c a".split()), (3, "d".split())], "doc_id int, words array<string>")
+    seeds = spark.createDataFrame([(1, ["a"]), (2, ["zzz"]), (3, ["d"])], "id int, words array<string>")
+    model = L.Model(docs, 2)
+    grid = [L.Strategy("greedy", greedy=True), L.Strategy("hot", temperature=1.5), L.Strategy("first", top_k=1)]
+    got = {(r["strategy"], r["id"]): (r["words"], r["done"]) for r in L.generate(model, seeds, grid, 6, seed=3).collect()}
+    again = {(r["strategy"], r["id"]): (r["words"], r["done"]) for r in L.generate(model, seeds.repartition(2), grid, 6, seed=3).collect()}
+    assert got == again and len(got) == 9
+    greedy = {r["id"]: (r["words"], r["done"]) for r in L.generate_greedy(model, seeds, 6).collect()}
+    assert {i: got["greedy", i] for i in greedy} == greedy == {i: got["first", i] for i in greedy}
+
+
+def test_stemming_indices_and_probes(spark):
+    from tesela.operators import lemmas as LM
+
+    rows = [("a", "w1", "x"), ("a", "w2", "x"), ("a", "w3", "y"), ("b", "w4", "x"), ("b", "w5", "z"), ("b", "w5", "z")]
+    words = spark.createDataFrame(rows, "group string, word string, stem string")
+    pairs = [(p, q) for i, p in enumerate(sorted(set(rows))) for q in sorted(set(rows))[:i]]
+    same = [(p, q) for p, q in pairs if p[0] == q[0]]
+    r = LM.stemming_indices(words).first()
+    assert r["words"] == 5 and r["under"] == pytest.approx(sum(p[2] != q[2] for p, q in same) / len(same))
+    other = [(p, q) for p, q in pairs if p[0] != q[0]]
+    assert r["over"] == pytest.approx(sum(p[2] == q[2] for p, q in other) / len(other))
+    assert sorted(tuple(r) for r in LM.stemming_probes(words).collect()) == [("a", 3, 2, 1), ("b", 2, 2, 1)]
+    assert LM.stemming_indices(words.filter("false")).first()["words"] == 0
+
+
+def test_attachments_up_a_chain(spark):
+    from tesela.operators import lemmas as LM
+
+    # detuvo <- sospechoso <- orden <- judicial; "con" marks orden
+    rows = [(1, 0, 0, "detuvo", 0, "root"), (1, 0, 1, "sospechoso", 0, "obj"), (1, 0, 2, "con", 3, "case"), (1, 0, 3, "orden", 1, "nmod"), (1, 0, 4, "judicial", 3, "amod"), (2, 0, 0, "Vio", 0, "root"), (2, 0, 1, "con", 2, "case"), (2, 0, 2, "telescopio", 0, "obl")]
+    edges = spark.createDataFrame(rows, "doc_id int, sent_id int, tok_id int, word string, head_id int, dep string")
+    expected = spark.createDataFrame([(1, 0, 3, "detuvo"), (2, 0, 2, None)], "doc_id int, sent_id int, tok_id int, expected string")
+    got = sorted((r["doc_id"], r["preposition"], r["word"], r["head_word"], r["right"], r["distance"]) for r in LM.attachments(edges, expected).collect())
+    assert got == [(1, "con", "orden", "sospechoso", False, 2), (2, "con", "telescopio", "Vio", None, None)]
+    chain = [(1, 0, i, f"w{i}", max(0, i - 1), "x") for i in range(100)]
+    found = LM.ancestors(spark.createDataFrame(chain, "doc_id int, sent_id int, tok_id int, word string, head_id int, dep string"))
+    assert sorted((r["tok_id"], r["above"], r["distance"]) for r in found.collect()) == sorted((i, j, i - j) for i in range(100) for j in range(i))
+
+
+def test_pairs_against_gold(spark):
+    from tesela.operators import pairs as P
+
+    pairs = spark.createDataFrame([("p", "c", 0.0, "red house", "blue sky"), ("q", "c", 5.0, "red house", "red house"), ("r", "d", 2.5, "", None)], "pair string, category string, gold double, a string, b string")
+    corpus = spark.createDataFrame([(1, "red", 2), (1, "sky", 1), (2, "house", 1)], "doc_id int, term string, tf long")
+    vectors = spark.createDataFrame([("red", [1.0, 0.0]), ("sky", [0.0, 1.0])], "term string, vector array<double>")
+    terms = spark.createDataFrame([("red", [1.0, 0.0]), ("house", [0.5, 0.5]), ("sky", [0.0, 1.0]), ("blue", [0.1, 1.0])], "term string, v array<double>")
+    e = P.errors(pairs, P.compared(pairs, corpus, vectors, 2, terms, 2)).collect()
+    by = {(r["method"], r["pair"]): r for r in e}
+    assert len(by) == len(e) == 15 and {m for m, _ in by} == {"tfidf", "mean", "sif", "sif without direction", "latent"}
+    assert by["tfidf", "q"]["similarity"] == pytest.approx(1) and by["tfidf", "p"]["similarity"] == by["tfidf", "r"]["similarity"] == 0
+    assert by["mean", "p"]["similarity"] == pytest.approx(0) and by["latent", "p"]["similarity"] > 0.3 and by["latent", "q"]["similarity"] == pytest.approx(1)
+    assert (by["tfidf", "r"]["gold"], by["tfidf", "r"]["error"]) == (0.5, -0.5)
+    # idf counts the corpus and the six sentences: N = 2 + 6; red stands in one document and three sentences
+    idf = {r["term"]: r["idf"] for r in P.merged_idf(corpus.groupBy("term").agg(F.count(F.lit(1)).alias("df")), F.lit(2), P.sentence_words(pairs), F.lit(6)).collect()}
+    assert idf["red"] == pytest.approx(math.log(9 / 5) + 1) and idf["blue"] == pytest.approx(math.log(9 / 2) + 1)
+    worst = P.worst(P.errors(pairs, P.compared(pairs, corpus, vectors, 2)), 1).collect()
+    assert sorted((r["category"], r["pair"], r["place"]) for r in worst) == [("c", max(("p", "q"), key=lambda x: sum(by[m, x]["error"] for m, y in by if y == x and m != "latent")), 1), ("d", "r", 1)]
+
+
+def test_sentence_rules(spark):
+    from tesela.operators import lemmas as LM
+
+    def sent(i, words, tags):
+        return [(1, i, k, w, w.lower(), "X", t) for k, (w, t) in enumerate(zip(words, tags, strict=True))]
+
+    long = [f"palabra{i}" for i in range(11)]
+    rows = sent(0, ["EFE", *long], ["NC"] * 11 + ["VMI"]) + sent(1, long, ["NC"] * 10 + ["VMI"]) + sent(2, long, ["NC"] * 9 + ["VMI", "Fz"]) + sent(3, long, ["NC"] * 11) + sent(4, ["Hola", "ya"], ["I", "R"])
+    tokens = spark.createDataFrame(rows, "doc_id int, sent_id int, tok_id int, word string, lemma string, upos string, tag string")
+    s = LM.sentences(tokens)
+    assert [r["sent_id"] for r in LM.prose(s).collect()] == [1]
+    assert sorted(r["sent_id"] for r in LM.of_length(s).collect()) == [0, 1, 2, 3]
+    got = {r["beginning"]: (r["sent_id"], r["found"]) for r in LM.examples(s, LM.prose(s), ["Hola", "Nada"]).collect()}
+    assert got == {"Hola": (4, True), "Nada": (1, False)}
+    lines = LM.generation_lines(s, 8, 2, 3).orderBy("place").collect()
+    assert [r["line"] for r in lines] == ["EFE palabra0 palabra1", "palabra0 palabra1 palabra2"]
+    lemmas = spark.createDataFrame([(1, 0, 0, "Presentarse", "presentar él", "VERB", "V"), (1, 0, 1, "la", "el", "DET", "D"), (1, 0, 2, ",", ",", "PUNCT", "F"), (2, 0, 0, "la", "el", "DET", "D")], "doc_id int, sent_id int, tok_id int, word string, lemma string, upos string, tag string")
+    assert [r["term"] for r in LM.lemma_terms(lemmas, ["la", "él"]).collect()] == ["presentar"]
+    assert {r["doc_id"]: r["lemmas"] for r in LM.content_lemmas(lemmas, ["la"]).collect()} == {1: ["presentar él"], 2: []}
