@@ -58,27 +58,42 @@ def chrf_by_role(spark, sf_dir):
     return c.select("role", rounded(F.col("chrf")).alias("chrf"))
 
 
-def _demo(spark: SparkSession) -> DataFrame:
-    tok = lambda text, lemma, upos, head=-1, **feats: (text, lemma, upos, feats, head)
-    rows = [
-        (1, [tok("La", "el", "DET"), tok("casas", "casa", "NOUN", Number="Plur"), tok("blancas", "blanco", "ADJ", 1, Number="Plur"), tok("cayeron", "caer", "VERB", Tense="Past"), tok(".", ".", "PUNCT")]),
-        (2, [tok("Sin", "sin", "ADP"), tok("embargo", "embargo", "NOUN"), tok(",", ",", "PUNCT"), tok("Madrid", "Madrid", "PROPN"), tok("ha", "haber", "AUX", Tense="Pres", Person="3", Number="Sing"), tok("ganado", "ganar", "VERB", VerbForm="Part", Tense="Past")]),
-        (3, [tok("1.000", "1.000", "NUM"), tok("personas", "persona", "NOUN", Number="Plur"), tok("corren", "correr", "VERB", Tense="Pres"), tok("un", "uno", "DET"), tok("edificio", "edificio", "NOUN")]),
-    ]
-    return spark.createDataFrame(rows, f"id int, tokens {R.TOKENS}")
+#: Some words of the documents and what they are translated to.
+DICTIONARY = {"de": "of", "la": "the", "el": "the", "los": "the", "las": "the", "y": "and", "en": "in", "un": "a", "una": "a", "que": "that", "et": "and", "les": "the", "des": "of", "der": "the", "die": "the", "und": "and", "zu": "to", "casa": "house", "blanco": "white"}
+OWN_WORDS = 500
+ABLATIONS = {"full": {}, "no order": {"reorder": False}, "no phrases": {"phrases": {}}, "no morphology": {"morphology": False}}
 
 
-_DICTIONARY = {"la": "the", "el": "the", "casa": "house", "blanco": "white", "caer": "fall", "haber": "have", "ganar": "win", "persona": "person", "correr": "run", "un": "a", "edificio": "office"}
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as annotated sentences, with lemmas and classes from word shapes."""
+    words = T.found(F.col("text"), r"\p{L}+|[.,;:!?]")
 
+    def token(w):
+        n = F.char_length(w)
+        kind = F.when(w.rlike(r"^[.,;:!?]"), "PUNCT").when(n <= 3, "DET").when(w.rlike(r"^\p{Lu}"), "PROPN").when(n % 3 == 0, "ADJ").when(n % 2 == 0, "NOUN").otherwise("VERB")
+        feats = F.when(w.endswith("s"), F.create_map(F.lit("Number"), F.lit("Plur"))).otherwise(F.create_map(F.lit("Tense"), F.lit("Past")))
+        return F.struct(w.alias("text"), F.lower(F.regexp_replace(w, "s$", "")).alias("lemma"), kind.alias("upos"), feats.alias("feats"), F.lit(-1).alias("head"))
 
-@query("translations", "SELECT * FROM (VALUES (1, 'full', 'The white houses fell.'), (2, 'full', 'However, Madrid has won'), (3, 'full', '1000 people run an office'), (1, 'no order', 'The houses white fell.'), (2, 'no phrases', 'Sin embargo, Madrid has won'), (3, 'no morphology', '1000 person run an office')) t(id, system, translation)")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(words, token).alias("tokens")).filter(F.size("tokens") > 0)
+
+
+@query("translations")
 def translations(spark, sf_dir):
-    """Annotated sentences translated by the whole system and without one of its parts."""
-    rows = _demo(spark)
-    out = R.translated(rows, _DICTIONARY).select("id", F.lit("full").alias("system"), "translation")
-    for i, name, how in ((1, "no order", {"reorder": False}), (2, "no phrases", {"phrases": {}}), (3, "no morphology", {"morphology": False})):
-        out = out.unionAll(R.translated(rows.filter(f"id = {i}"), _DICTIONARY, **how).select("id", F.lit(name), "translation"))
-    return out
+    """Turns translated by the whole system and without one of its parts: BLEU of each against the whole system, untranslated words, and turns that differ."""
+    rows = _shaped(spark, sf_dir)
+    lemmas = rows.select(F.explode("tokens.lemma").alias("w")).filter(F.char_length("w") > 3).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    # a dictionary of a fixed size: the commonest lemmas stand for themselves, so that their inflection shows
+    known = {r["w"]: r["w"] for r in lemmas.orderBy(F.desc("c"), "w").limit(OWN_WORDS).collect()} | DICTIONARY
+    out = None
+    for name, how in ABLATIONS.items():
+        part = R.translated(rows, known, **how).select(F.lit(name).alias("system"), "conv_id", "turn", F.col("translation").alias("hypothesis"), F.size("missing").alias("missing"))
+        out = part if out is None else out.unionAll(part)
+    out = written(out, "translations")
+    whole = out.filter("system = 'full'").select("conv_id", "turn", F.col("hypothesis").alias("reference"))
+    pairs = out.join(whole, ["conv_id", "turn"])
+    scores = R.bleu(pairs, ["system"]).select("system", rounded(F.col("bleu")).alias("bleu"))
+    counts = pairs.groupBy("system").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("hypothesis") != F.col("reference")).alias("changed"), F.sum("missing").alias("missing"))
+    return scores.join(counts, "system")
 
 
 @query("bootstrap_interval")

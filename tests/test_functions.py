@@ -308,3 +308,25 @@ def test_sentence_rules(spark):
     lemmas = spark.createDataFrame([(1, 0, 0, "Presentarse", "presentar él", "VERB", "V"), (1, 0, 1, "la", "el", "DET", "D"), (1, 0, 2, ",", ",", "PUNCT", "F"), (2, 0, 0, "la", "el", "DET", "D")], "doc_id int, sent_id int, tok_id int, word string, lemma string, upos string, tag string")
     assert [r["term"] for r in LM.lemma_terms(lemmas, ["la", "él"]).collect()] == ["presentar"]
     assert {r["doc_id"]: r["lemmas"] for r in LM.content_lemmas(lemmas, ["la"]).collect()} == {1: ["presentar él"], 2: []}
+
+
+def test_annotated_sentences_are_translated(spark):
+    tok = lambda text, lemma, upos, head=-1, **feats: (text, lemma, upos, feats, head)
+    rows = [
+        (1, [tok("La", "el", "DET"), tok("casas", "casa", "NOUN", Number="Plur"), tok("blancas", "blanco", "ADJ", 1, Number="Plur"), tok("cayeron", "caer", "VERB", Tense="Past"), tok(".", ".", "PUNCT")]),
+        (2, [tok("Sin", "sin", "ADP"), tok("embargo", "embargo", "NOUN"), tok(",", ",", "PUNCT"), tok("Madrid", "Madrid", "PROPN"), tok("ha", "haber", "AUX", Tense="Pres", Person="3", Number="Sing"), tok("ganado", "ganar", "VERB", VerbForm="Part", Tense="Past")]),
+        (3, [tok("1.000", "1.000", "NUM"), tok("personas", "persona", "NOUN", Number="Plur"), tok("corren", "correr", "VERB", Tense="Pres"), tok("un", "uno", "DET"), tok("edificio", "edificio", "NOUN")]),
+    ]
+    words = {"la": "the", "el": "the", "casa": "house", "blanco": "white", "caer": "fall", "haber": "have", "ganar": "win", "persona": "person", "correr": "run", "un": "a", "edificio": "office"}
+    df = spark.createDataFrame(rows, f"id int, tokens {R.TOKENS}")
+    said = lambda **how: {r["id"]: r["translation"] for r in R.translated(df, words, **how).collect()}
+    assert said() == {1: "The white houses fell.", 2: "However, Madrid has won", 3: "1000 people run an office"}
+    assert said(reorder=False)[1] == "The houses white fell." and said(phrases={})[2] == "Sin embargo, Madrid has won" and said(morphology=False)[3] == "1000 person run an office"
+
+
+def test_ablated_translations_of_all_turns(spark):
+    from tesela.plans import models as P
+
+    rows = {r["system"]: r for r in P.translations(spark, "/root/testdata/sf0.001").collect()}
+    assert set(rows) == set(P.ABLATIONS) and rows["full"]["bleu"] == 100.0 and rows["full"]["changed"] == 0
+    assert len({r["turns"] for r in rows.values()}) == 1 and rows["no morphology"]["changed"] > 0 and rows["no morphology"]["bleu"] < 100
