@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,18 +40,35 @@ class Index:
         n = self.n.first()["n"]
         return W.tfidf(self.tf, self.df, F.lit(n), **how)
 
-    def bm25(self, k1: float = 1.5, b: float = 0.75, wanted: DataFrame | None = None) -> DataFrame:
-        """BM25 weights of all terms, or of those in `wanted` alone: a document's length needs no counts of its terms, so the
-        others go before anything is counted."""
+    def bm25(self, k1: float = 1.5, b: float = 0.75) -> DataFrame:
         n = self.n.first()["n"]
-        if wanted is None:
-            total = self.tf.agg(F.sum("tf")).first()[0] or 0
-            return W.bm25(self.tf, self.df, F.lit(n), F.lit(total / max(1, n)), k1, b)
+        total = self.tf.agg(F.sum("tf")).first()[0] or 0
+        return W.bm25(self.tf, self.df, F.lit(n), F.lit(total / max(1, n)), k1, b)
+
+
+class Bags:
+    """`documents` as blocks of term counts, with document frequencies and the numbers of documents and words."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
         words = F.transform(F.filter(T.tokens(F.col("text")), T.is_word), F.lower)
-        bags = self.docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").cast("long").alias("length"), "words")
-        total = bags.agg(F.sum("length")).first()[0] or 0
-        tf = bags.select("doc_id", "length", F.explode("words").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-        return W.bm25_of_lengths(tf, self.df.join(wanted, "term", "left_semi"), F.lit(n), F.lit(total / max(1, n)), k1, b)
+        docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
+        self.blocks = B.blocks(docs)
+        self.df = small(written(B.document_frequencies(self.blocks), "bag-frequencies"))
+        self.n = docs.count()  # a document without words counts, too
+
+    @property
+    def words(self) -> int:
+        lengths = B.each(self.blocks, lambda block: pa.table({"n": pa.array([int(B.entries(block)[2].sum())], pa.int64())}), "n long")
+        return lengths.agg(F.sum("n")).first()[0] or 0
+
+    def asked(self, items: DataFrame, key: str, text: str) -> DataFrame:
+        """query, term, weight (count times idf) of texts, without the commonest words; written."""
+        terms = items.select(key, F.explode(T.found(F.col(text), T.WORD)).alias("t")).select(key, F.lower("t").alias("term"))
+        counts = V.without(terms, list(COMMON)).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).join(self.df, "term")
+        return written(counts.select(F.col(key).alias("query"), "term", (F.col("tf") * W.smooth_idf(F.col("df"), F.lit(self.n))).alias("weight")), "asked")
+
+    def search(self, asked: DataFrame, k: int) -> DataFrame:
+        return B.search(self.blocks, self.df, self.n, self.words, asked, k)
 
 
 WEIGHTS = TF + """,
@@ -68,12 +86,8 @@ bm AS (SELECT doc_id, term, tf, length, ln(1 + (n - df + 0.5) / (df + 0.5)) * (t
 SELECT doc_id, term, tf, df, round(weight, 6) AS weight, place FROM r WHERE place <= 5""")
 def tfidf_top_terms(spark, sf_dir):
     """The five heaviest terms of every document under smoothed TF-IDF."""
-    words = F.transform(F.filter(T.tokens(F.col("text")), T.is_word), F.lower)
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
-    bags = B.blocks(docs)
-    # a document without words counts in the number of documents
-    top = B.top_terms(bags, small(written(B.document_frequencies(bags), "bag-frequencies")), docs.count(), 5)
-    return top.select("doc_id", "term", "tf", "df", rounded(F.col("weight")).alias("weight"), "place")
+    bags = Bags(spark, sf_dir)
+    return B.top_terms(bags.blocks, bags.df, bags.n, 5).select("doc_id", "term", "tf", "df", rounded(F.col("weight")).alias("weight"), "place")
 
 
 @query("tf_variants", f"""WITH {TF}
@@ -200,14 +214,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9)
 SELECT item_id, doc_id, round(score, 6) AS score, place FROM r WHERE place <= 3""")
 def free_text_search(spark, sf_dir):
     """Every benchmark text as a query: its three best documents by TF-IDF."""
-    index = Index(spark, sf_dir)
-    n = index.n.first()["n"]
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.found(F.col("text"), T.WORD)).alias("t")).select("item_id", F.lower("t").alias("term"))
-    asked = V.without(items, list(COMMON)).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf")).join(index.df, "term")
-    asked = small(written(asked.select(F.col("item_id").alias("query"), "term", (F.col("tf") * W.smooth_idf(F.col("df"), F.lit(n))).alias("weight")), "search-queries"))
-    scored = W.scores(asked, index.weighed())
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc_id"))
-    return scored.withColumn("place", place.cast("long")).filter("place <= 3").select(F.col("query").alias("item_id"), "doc_id", rounded(F.col("score")).alias("score"), "place")
+    bags = Bags(spark, sf_dir)
+    found = bags.search(bags.asked(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "text"), 3)
+    return found.filter("method = 'tfidf'").select(F.col("query").alias("item_id"), "doc_id", rounded(F.col("score")).alias("score"), "place")
 
 
 #: Questions and answers out of the benchmark texts: the first half of the words asks; the second half, or its last eight words, answers.
@@ -242,18 +251,8 @@ def _held(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Items, the documents that hold their answers, and the first five by each method, written."""
     items, held = _held(spark, sf_dir)
-    index = Index(spark, sf_dir)
-    n = index.n.first()["n"]
-    terms = items.select("item_id", F.explode(T.found(F.col("question"), T.WORD)).alias("t")).select("item_id", F.lower("t").alias("term"))
-    asked = V.without(terms, list(COMMON)).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf")).join(index.df, "term")
-    asked = written(asked.select(F.col("item_id").alias("query"), "term", (F.col("tf") * W.smooth_idf(F.col("df"), F.lit(n))).alias("weight")), "gold-asked")
-    wanted = small(asked.select("term").distinct())
-    out = None
-    for name, weights, binary in (("tfidf", index.weighed().join(wanted, "term", "left_semi"), False), ("bm25", index.bm25(wanted=wanted), True)):
-        scored = W.scores(small(asked), weights, binary=binary).withColumnRenamed("query", "item_id")
-        first = GO.first_documents(scored.select(F.lit(name).alias("method"), "item_id", "doc_id", "score"), 5, ["method"])
-        out = first if out is None else out.unionAll(first)
-    return items, held, written(out, "gold-ranked")
+    bags = Bags(spark, sf_dir)
+    return items, held, written(bags.search(bags.asked(items, "item_id", "question"), 5).withColumnRenamed("query", "item_id"), "gold-ranked")
 
 
 @query("answer_holders", f"WITH {_HELD} SELECT * FROM held")
