@@ -6,7 +6,11 @@
 4. mix_sources: whole and partial repetitions bring the sources to their target weights; a repetition is a row.
 5. pack: pieces of sequences of at most 2048 tokens.
 
-All stages but the last return the columns of `documents`; `n_chars` follows the text."""
+All stages but the last return the columns of `documents`; `n_chars` follows the text.
+
+Defined results: a null text, and one without letters, goes in the first stage; a null language, source or id is kept; rows that
+are equal in id and text are treated alike in every stage; of texts that tie as near duplicates the smallest id stays; a very
+long text is read whole; an empty table makes no rows in any stage; extra columns are handed on up to the last stage."""
 
 from __future__ import annotations
 
