@@ -9,7 +9,7 @@ reruns and any partitioning give the same cuts.
 Defined results: a null text counts as empty, and an empty text is `plain` with an empty output; a null key is hashed as
 an empty string; texts that hold a marker are plain; rows that are equal in key and text give equal rows; an empty table
 makes no rows; input columns named like an output column are replaced by it. Texts are taken in slices of half a MB; a longer
-one is a slice of its own, and needs some twenty times its bytes.
+one is a slice of its own, and needs some forty times its bytes (36 measured).
 """
 
 from __future__ import annotations
