@@ -62,3 +62,21 @@ def small(df: DataFrame) -> DataFrame:
     size = sum((_bytes(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
     found = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
     return F.broadcast(df) if found.n <= BROADCAST_ROWS and (found.b or 0) <= BROADCAST_BYTES else df
+
+
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Bounds what goes to a Python worker at a time: texts can be long, and the default is 10,000 rows a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
+def release() -> None:
+    """Hands a worker's freed memory back to the system; workers are used again by later stages, beside the executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
