@@ -3,9 +3,14 @@ word groups, and where prepositional phrases attach."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesela.operators.trees import head_places, in_rows, lists
 from tesela.sources.shared import drop, written
 
 SENT = ["doc_id", "sent_id"]
@@ -130,14 +135,46 @@ def attachments(edges: DataFrame, expected: DataFrame, most: int = 128, by: list
     A phrase is a token with a dependent of relation `case`, the first of which is its preposition. `expected` has by,
     tok_id, `expected` (a word; null where the sentence is ambiguous). `right` compares the head; `distance` tells how far up
     the chain of heads the expected word stands (null: not above the phrase at all)."""
-    firsts = edges.filter("dep = 'case'").groupBy(*by, F.col("head_id").alias("tok_id")).agg(F.min_by("word", "tok_id").alias("preposition"))
-    words = edges.select(*by, F.col("tok_id").alias("above"), F.col("word").alias("above_word"))
-    phrases = edges.select(*by, "tok_id", "word", "head_id").join(firsts, [*by, "tok_id"]).join(expected, [*by, "tok_id"])
-    heads = phrases.join(words.withColumnsRenamed({"above": "head_id", "above_word": "head_word"}), [*by, "head_id"])
-    near_by = edges.join(phrases.select(*by).distinct(), by, "left_semi")  # sentences that have such phrases
-    chains = ancestors(near_by, most, by).join(phrases.select(*by, "tok_id", "expected").filter("expected is not null"), [*by, "tok_id"])
-    near = chains.join(words, [*by, "above"]).filter(F.col("above_word") == F.col("expected")).groupBy(*by, "tok_id").agg(F.min("distance").alias("distance"))
-    return heads.join(near, [*by, "tok_id"], "left").select(*by, "tok_id", "preposition", "word", "head_word", "expected", (F.col("head_word") == F.col("expected")).alias("right"), "distance")
+    rows = edges.select(*by, "tok_id", "word", "head_id", "dep").join(expected.select(*by, "tok_id", "expected", F.lit(True).alias("asked")), [*by, "tok_id"], "left")
+    return sentence_attachments(in_rows(rows, ["word", "head_id", "dep", "expected", "asked"], by), most, by)
+
+
+def sentence_attachments(rows: DataFrame, most: int = 128, by: list[str] = SENT) -> DataFrame:
+    """`attachments` of sentences in rows, without a shuffle: by and the arrays `tok_id` (rising), `word`, `head_id`, `dep`,
+    `expected`, `asked` (true where there is an expected word, be it null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, toks = lists(batch.column("tok_id"))
+            head, words, wanted = (batch.column(c).flatten() for c in ("head_id", "word", "expected"))
+            up = head_places(row, toks.to_numpy().astype(np.int64), head.to_numpy().astype(np.int64))
+            codes = pa.concat_arrays([words, wanted]).dictionary_encode().indices.fill_null(-1).to_numpy()
+            word, sought = codes[: len(row)], codes[len(row) :]
+            case = np.flatnonzero(batch.column("dep").flatten().to_numpy(zero_copy_only=False) == "case")
+            case = case[up[case] >= 0]
+            phrase, first = np.unique(up[case], return_index=True)  # tokens are in order: the first dependent of each
+            asked = batch.column("asked").flatten().fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            kept = asked[phrase] & (up[phrase] >= 0)
+            phrase, preposition = phrase[kept], case[first[kept]]
+            distance, above, step = np.zeros(len(phrase), np.int64), phrase.copy(), 0
+            open_ = np.flatnonzero(sought[phrase] >= 0)
+            while len(open_) and step < most:
+                step += 1
+                nxt = up[above[open_]]
+                open_, nxt = open_[(nxt >= 0) & (nxt != above[open_])], nxt[(nxt >= 0) & (nxt != above[open_])]
+                above[open_] = nxt
+                met = word[nxt] == sought[phrase[open_]]
+                distance[open_[met]] = step
+                open_ = open_[~met]
+            take = lambda values, at: values.take(pa.array(at))
+            heads = up[phrase]
+            right = pa.array(word[heads] == sought[phrase], mask=(word[heads] < 0) | (sought[phrase] < 0))
+            columns = [take(toks, phrase), take(words, preposition), take(words, phrase), take(words, heads), take(wanted, phrase), right, pa.array(distance.astype(np.int32), mask=distance == 0)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row[phrase])) for c in by], *columns], [*by, "tok_id", "preposition", "word", "head_word", "expected", "right", "distance"])
+
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in by) + f", tok_id {kinds['tok_id'].elementType.simpleString()}, preposition string, word string, head_word string, expected string, right boolean, distance int"
+    return rows.select(*by, "tok_id", "word", "head_id", "dep", "expected", "asked").mapInArrow(run, schema)
 
 
 # ---- lines for language models

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesela.functions import text as T
+
 SENT = ["doc_id", "sent_id"]
 # Prefixes of positional Spanish tags and their universal classes.
 TAGS = {
@@ -129,6 +133,21 @@ def lemma_check(gold: DataFrame, tokens: DataFrame) -> DataFrame:
     return rows.withColumn("right", F.coalesce(F.col("found") == F.col("lemma"), F.lit(False)))
 
 
+def first_uses(tokens: Column) -> Column:
+    """Of an array of structs that begin with `word` and a place: the first of each word, by word."""
+    return T.once(F.array_sort(tokens), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["word"] != x["word"])))
+
+
+def sentence_lemma_check(sentences: DataFrame, gold: Callable[[Column], Column], by: list[str] = SENT) -> DataFrame:
+    """`lemma_check` of sentences in rows, without a shuffle: by, `word`, `lemma`, the other fields of `gold`, `found`, `right`.
+
+    `tokens` is an array of structs that begin with `word` (lower case) and `tok_id` and have a `lemma`; `gold` makes the
+    gold struct (`word`, `lemma`, ...) of a word's first use."""
+    rows = sentences.select(*by, F.explode(first_uses(F.col("tokens"))).alias("use"))
+    found = F.lower("use.lemma")
+    return rows.select(*by, gold(F.col("use")).alias("g"), found.alias("found")).select(*by, "g.*", "found", F.coalesce(F.col("found") == F.col("g.lemma"), F.lit(False)).alias("right"))
+
+
 def require_found(checked: DataFrame) -> DataFrame:
     return checked.withColumn("found", F.when(F.col("found").isNull(), F.raise_error(F.concat(F.lit("not in its sentence: "), "word")).cast("string")).otherwise(F.col("found")))
 
