@@ -33,3 +33,53 @@ def test_trees_of_edge_tables(spark):
     assert got == {(1, i): min(i, 100) for i in range(150)} | {(2, 5): 1, (2, 7): 2, (3, 0): 100, (3, 1): 100}
     assert {tuple(r) for r in D.tree_depths(edges).collect()} == {(1, 0, 100, 150), (2, 0, 2, 2), (3, 0, 100, 2)}
     assert D.tree_depths(edges.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["tf_variants", "sparse_pair_cosine"])
+def test_documents_are_not_shuffled(spark, name):
+    assert _hashed(reports.QUERIES[name](spark, SF)) == 0
+
+
+@pytest.mark.parametrize("name", ["decoded_documents", "encoded_documents"])
+def test_a_vocabulary_of_fixed_size_needs_no_shuffle(spark, name):
+    assert _hashed(reports.QUERIES[name](spark, SF)) == 0
+
+
+@pytest.mark.parametrize("name", ["term_ranks", "bm25_weights", "ranking_overlap", "tf_variants", "tf_variant_top_documents", "length_bias", "mean_vectors", "sif_vectors"])
+def test_weights_do_not_hang_on_blocks(spark, duck, same, monkeypatch, name):
+    from tesela.operators import bags as B
+
+    monkeypatch.setattr(B, "WORDS", 2_000)
+    same(reports.QUERIES[name](spark, SF), duck(reports.ORACLES[name]))
+
+
+def test_signs_of_texts_in_python(spark):
+    from tesela.operators.translate import chrf, sign_grams
+
+    assert sign_grams("aab", "ab", 3) == [2, 3, 2, 1, 2, 1, 0, 1, 0] and sign_grams("", "x", 1) == [0, 0, 1]
+    df = spark.createDataFrame([("a", "x y", "xy"), ("a", None, "z"), ("b", "q", "r")], "g string, hypothesis string, reference string")
+    got = {r["g"]: r["chrf"] for r in chrf(df, ["g"]).collect()}
+    # unigrams 2 of 2 and 2 of 3, pairs 1 of 1 and 1 of 1
+    p, r = 1.0, (2 / 3 + 1) / 2
+    assert got["a"] == pytest.approx(100 * 5 * p * r / (4 * p + r)) and got["b"] == 0
+    assert "ArrowEvalPython" in chrf(df, ["g"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folds_do_not_gather_a_label(spark):
+    from tesela.operators import stats as S
+
+    df = spark.createDataFrame([(i, [None, "x", "y"][i % 3], "text") for i in range(100)], "doc_id int, lang string, text string")
+    rows = S.folds(df, 5, "lang", "doc_id")
+    sizes = {(r["lang"], r["fold"]): r["count"] for r in rows.groupBy("lang", "fold").count().collect()}
+    assert len(sizes) == 15 and set(sizes.values()) <= {6, 7} and rows.columns == ["doc_id", "lang", "text", "fold"]
+    assert "windowspecdefinition(lang" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_systems_translate_in_one_pass(spark, monkeypatch):
+    from tesela.operators import translate as R
+
+    monkeypatch.setattr(R, "SENTENCES", 3)
+    rows = [(i, [("casa", "casa", "NOUN", {"Number": "Plur"}, -1), (f"w{i}", "", "X", None, None)]) for i in range(8)]
+    df = spark.createDataFrame(rows, f"k int, tokens {R.TOKENS}")
+    got = {(r["system"], r["k"]): (r["hypothesis"], r["reference"], r["missing"]) for r in R.ablated(df, ["k"], {"casa": "house"}, {"full": {}, "bare": {"morphology": False}}).collect()}
+    assert got == {("full", i): (f"Houses w{i}", f"Houses w{i}", 1) for i in range(8)} | {("bare", i): (f"House w{i}", f"Houses w{i}", 1) for i in range(8)}
