@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesela.functions import text as T
+from tesela.operators import bags as B
 from tesela.operators import vocab as V
 from tesela.plans.fragments import COMMON, COUNTS, TF, TOK, quoted
 from tesela.plans.registry import Registry, rounded, table
@@ -275,20 +276,27 @@ def integer_vocabulary(spark, sf_dir):
     return V.integer_vocabulary(_counts(spark, sf_dir))
 
 
+def _first_terms(spark: SparkSession, sf_dir: str, size: int) -> tuple[DataFrame, list[str]]:
+    """Documents as arrays of words, and the terms whose ids (from 2) are at most `size`, by rank."""
+    words = F.transform(F.filter(T.tokens(F.col("text")), T.is_word), F.lower)
+    docs = _docs(spark, sf_dir).select("doc_id", words.alias("words"))
+    top = B.term_totals(B.blocks(docs, keep=False)).orderBy(F.desc("c"), "term").limit(size - 1)  # a fixed number of terms
+    return docs, [r["term"] for r in top.collect()]
+
+
 @query("encoded_documents", f"""WITH {COUNTS}, v AS (SELECT term, row_number() OVER (ORDER BY c DESC, term) + 1 AS id FROM counts)
 SELECT doc_id, list(CASE WHEN id <= 1000 THEN id ELSE 1 END ORDER BY pos) AS ids FROM word JOIN v USING (term) GROUP BY doc_id""")
 def encoded_documents(spark, sf_dir):
-    words = V.word_rows(_docs(spark, sf_dir))
-    return V.encode(words, V.integer_vocabulary(V.term_counts(words)), size=1000)
+    docs, terms = _first_terms(spark, sf_dir, 1000)
+    return V.encode_rows(docs, terms)
 
 
 @query("decoded_documents", f"""WITH {COUNTS}, v AS (SELECT term, row_number() OVER (ORDER BY c DESC, term) + 1 AS id FROM counts)
 SELECT doc_id, string_agg(CASE WHEN id <= 1000 THEN term ELSE '<oov>' END, ' ' ORDER BY pos) AS text FROM word JOIN v USING (term) GROUP BY doc_id""")
 def decoded_documents(spark, sf_dir):
     """Encoded and decoded again: words outside the vocabulary's first 1000 come back as <oov>."""
-    words = V.word_rows(_docs(spark, sf_dir))
-    vocabulary = V.integer_vocabulary(V.term_counts(words))
-    return V.decode(V.encode(words, vocabulary, size=1000), vocabulary)
+    docs, terms = _first_terms(spark, sf_dir, 1000)
+    return V.decode_rows(V.encode_rows(docs, terms), terms)
 
 
 @query("padded_sequences", f"""WITH {COUNTS}, v AS (SELECT term, row_number() OVER (ORDER BY c DESC, term) + 1 AS id FROM counts),
