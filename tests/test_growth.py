@@ -45,11 +45,12 @@ def test_a_vocabulary_of_fixed_size_needs_no_shuffle(spark, name):
     assert _hashed(reports.QUERIES[name](spark, SF)) == 0
 
 
-@pytest.mark.parametrize("name", ["term_ranks", "bm25_weights", "ranking_overlap", "tf_variants", "tf_variant_top_documents", "length_bias", "mean_vectors", "sif_vectors"])
+@pytest.mark.parametrize("name", ["term_ranks", "bm25_weights", "ranking_overlap", "tf_variants", "tf_variant_top_documents", "length_bias", "mean_vectors", "sif_vectors", "precision_at_k", "bm25_precision_by_b"])
 def test_weights_do_not_hang_on_blocks(spark, duck, same, monkeypatch, name):
     from tesela.operators import bags as B
 
     monkeypatch.setattr(B, "WORDS", 2_000)
+    monkeypatch.setattr(B, "ASKED", 3)
     same(reports.QUERIES[name](spark, SF), duck(reports.ORACLES[name]))
 
 
@@ -83,3 +84,15 @@ def test_all_systems_translate_in_one_pass(spark, monkeypatch):
     df = spark.createDataFrame(rows, f"k int, tokens {R.TOKENS}")
     got = {(r["system"], r["k"]): (r["hypothesis"], r["reference"], r["missing"]) for r in R.ablated(df, ["k"], {"casa": "house"}, {"full": {}, "bare": {"morphology": False}}).collect()}
     assert got == {("full", i): (f"Houses w{i}", f"Houses w{i}", 1) for i in range(8)} | {("bare", i): (f"House w{i}", f"Houses w{i}", 1) for i in range(8)}
+
+
+def test_neighbours_with_ties_and_empty_documents(spark):
+    from tesela.operators import bags as B
+
+    rows = [(0, "a b"), (1, "a b"), (2, ""), (3, "c"), (4, None), (20, "z"), (40, "")]
+    docs = spark.createDataFrame([(i, t.split() if t else None) for i, t in rows], "doc_id long, words array<string>").repartition(3)
+    bags = B.blocks(docs, size=3)
+    df = B.document_frequencies(bags)
+    asked = B.weighable(B.blocks(docs.filter("doc_id % 20 = 0")), df)
+    got = {(r["query"], r["place"]): (r["doc_id"], r["score"]) for r in B.neighbours(B.weighable(bags, df), asked, {"x": (lambda n, df, length: n, True, False)}, 3).collect()}
+    assert got == {(0, 1): (1, 1.0), (0, 2): (2, 0.0), (0, 3): (3, 0.0), (20, 1): (0, 0.0), (20, 2): (1, 0.0), (20, 3): (2, 0.0)}
