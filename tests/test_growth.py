@@ -96,3 +96,20 @@ def test_neighbours_with_ties_and_empty_documents(spark):
     asked = B.weighable(B.blocks(docs.filter("doc_id % 20 = 0")), df)
     got = {(r["query"], r["place"]): (r["doc_id"], r["score"]) for r in B.neighbours(B.weighable(bags, df), asked, {"x": (lambda n, df, length: n, True, False)}, 3).collect()}
     assert got == {(0, 1): (1, 1.0), (0, 2): (2, 0.0), (0, 3): (3, 0.0), (20, 1): (0, 0.0), (20, 2): (1, 0.0), (20, 3): (2, 0.0)}
+
+
+def test_terms_of_one_block_are_not_shuffled(spark, monkeypatch):
+    from tesela.operators import latent as LA
+
+    seen, summed = [], LA.summed
+    monkeypatch.setattr(LA, "summed", lambda rows, *rest: seen.append((rows.count(), rows.schema["v"].dataType.elementType.simpleString())) or summed(rows, *rest))
+    df = spark.createDataFrame([(d, t, 1.0 + d) for d in range(8) for t in ("all", f"own{d}", f"two{d // 2}")], "d long, term string, weight double")
+    one = LA.analysis(df, 3, "d")
+    assert seen == [(0, "float")] * 5 + [(0, "double")] and one.terms.count() == 13
+    seen.clear()
+    monkeypatch.setattr(LA, "BLOCK", 6)
+    many = LA.analysis(df, 3, "d")
+    blocks = [set(r["terms"]) for r in LA.blocks(df, "d").collect()]
+    shared = sum(sum(t in b for b in blocks) for t in set.union(*blocks) if sum(t in b for b in blocks) > 1)
+    assert len(blocks) > 1 and [n for n, _ in seen] == [shared] * 6 and shared < sum(map(len, blocks))
+    assert many.terms.count() == 13 and abs(many.values - one.values).max() < 1e-9
