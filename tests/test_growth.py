@@ -113,3 +113,34 @@ def test_terms_of_one_block_are_not_shuffled(spark, monkeypatch):
     shared = sum(sum(t in b for b in blocks) for t in set.union(*blocks) if sum(t in b for b in blocks) > 1)
     assert len(blocks) > 1 and [n for n, _ in seen] == [shared] * 6 and shared < sum(map(len, blocks))
     assert many.terms.count() == 13 and abs(many.values - one.values).max() < 1e-9
+
+
+def test_predictions_are_counted_in_pieces(spark, monkeypatch):
+    from tesela.operators import language_model as L
+
+    rows = [("t", ["a", "b", "a", "b"]), ("t", []), ("v", ["b", "a"]), (None, None), ("t", ["c"] * 9)]
+    df = spark.createDataFrame(rows, "part string, words array<string>").coalesce(1)
+    for size in (1, 2_000_000):
+        monkeypatch.setattr(L, "COUNTED", size)
+        for n in (2, 3, 4):
+            want = {}
+            for part, words in rows:
+                run = [L.FIRST] * (n - 1) + (words or []) + [L.LAST]
+                for i in range(n - 1, len(run)):
+                    at = (part, " ".join(run[i - n + 1 : i]), run[i])
+                    want[at] = want.get(at, 0) + 1
+            got = {tuple(r)[:3]: r["c"] for r in L.counted(df, n, by="part").groupBy("by", "key", "word").sum("c").withColumnRenamed("sum(c)", "c").collect()}
+            assert got == want
+    plan = L.Model(df, 2).counts.count() and L.counted(df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_perplexity_of_parts_is_that_of_the_model(spark):
+    from tesela.operators import language_model as L
+
+    df = spark.createDataFrame([("t", ["a", "b", "a", "b"]), ("v", ["b", "z"]), ("v", []), ("t", ["c"])], "part string, words array<string>")
+    for n in (2, 3):
+        want = {(r["part"], r["k"]): (r["perplexity"], r["predictions"]) for r in L.Model(df.filter("part = 't'"), n).perplexity(df, [0.1, 1.0], by=["part"]).collect()}
+        got = {(r["part"], r["k"]): (r["perplexity"], r["predictions"]) for r in L.split_perplexity(df, n, [0.1, 1.0], "part", "t").collect()}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], rel=1e-12) for x in want)
+    assert L.split_perplexity(df.filter("false"), 2, [0.1], "part", "t").count() == 0
