@@ -144,3 +144,19 @@ def test_perplexity_of_parts_is_that_of_the_model(spark):
         got = {(r["part"], r["k"]): (r["perplexity"], r["predictions"]) for r in L.split_perplexity(df, n, [0.1, 1.0], "part", "t").collect()}
         assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], rel=1e-12) for x in want)
     assert L.split_perplexity(df.filter("false"), 2, [0.1], "part", "t").count() == 0
+
+
+def test_terms_of_blocks_are_shuffled_once(spark, monkeypatch):
+    from tesela.operators import bags as B
+
+    docs = spark.createDataFrame([(i, [f"w{i}", "all", "all", f"h{i // 2}"] if i != 5 else None) for i in range(12)], "doc_id long, words array<string>").coalesce(1)
+    bags = B.blocks(docs, size=7)
+    rows = B.own_frequencies(bags)
+    # a row for each block and bucket, not for each term, and no string comes back
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "posexplode" not in plan and "string" not in rows.schema.simpleString()
+    got = {(r["doc_id"], r["term"]): r["df"] for r in B.term_ranks(bags, 12).collect()}
+    want = {(i, t): n for i in range(12) if i != 5 for t, n in ((f"w{i}", 1), ("all", 11), (f"h{i // 2}", 1 if i == 4 else 2))}
+    assert bags.count() > 5 and got == want
+    assert B.term_ranks(B.blocks(docs.filter("false")), 1).count() == 0
+    assert not B.bm25_weights(bags, 12, 44)._jdf.queryExecution().executedPlan().toString().count("Join")
