@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from tesela.plans import reports
 
@@ -160,3 +161,29 @@ def test_terms_of_blocks_are_shuffled_once(spark, monkeypatch):
     assert bags.count() > 5 and got == want
     assert B.term_ranks(B.blocks(docs.filter("false")), 1).count() == 0
     assert not B.bm25_weights(bags, 12, 44)._jdf.queryExecution().executedPlan().toString().count("Join")
+
+
+@pytest.mark.parametrize("name", ["pair_similarities", "pair_profile", "worst_pairs"])
+def test_words_of_pairs_are_no_rows(spark, duck, same, monkeypatch, name):
+    from tesela.operators import bags as B
+    from tesela.operators import pairs as P
+
+    def none(*_):
+        raise AssertionError("a row for each word of a sentence")
+
+    monkeypatch.setattr(P, "sentence_words", none)
+    monkeypatch.setattr(B, "WORDS", 2_000)
+    same(reports.QUERIES[name](spark, SF), duck(reports.ORACLES[name]))
+
+
+def test_similarities_of_odd_pairs(spark):
+    from tesela.operators import pairs as P
+
+    pairs = spark.createDataFrame([("p", "a a b", "a c"), ("q", None, "a"), ("r", "", ""), ("s", "b", "b"), ("t", "zz", "zz")], "pair string, a string, b string")
+    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, None)], "doc_id long, words array<string>")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "term string, vector array<float>")
+    got = {(r["pair"], r["method"]): r["similarity"] for r in P.plain(pairs, docs, lambda counts: vectors, 2).collect()}
+    corpus = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "a", 1)], "doc_id long, term string, tf long")
+    want = {(r["pair"], r["method"]): r["similarity"] for r in P.compared(pairs, corpus, vectors, 2).filter(F.col("method").isin(*P.PLAIN)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert P.plain(pairs.filter("false"), docs, lambda counts: vectors, 2).count() == 0
