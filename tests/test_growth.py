@@ -187,3 +187,15 @@ def test_similarities_of_odd_pairs(spark):
     want = {(r["pair"], r["method"]): r["similarity"] for r in P.compared(pairs, corpus, vectors, 2).filter(F.col("method").isin(*P.PLAIN)).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
     assert P.plain(pairs.filter("false"), docs, lambda counts: vectors, 2).count() == 0
+
+
+def test_word_vectors_are_trained_in_pieces(spark, monkeypatch):
+    from tesela.operators import mining as M
+
+    assert [M.pieces(n) for n in (0, 99_999, 450_000, 28_000_000, 100_000_000)] == [1, 1, 4, 24, 50]
+    seen, kind = [], M.Word2Vec
+    monkeypatch.setattr(M, "Word2Vec", lambda **how: seen.append(how) or kind(**how))
+    monkeypatch.setattr(M, "PIECE_LEAST", 20)
+    docs = spark.createDataFrame([(["a", "b", "c"] * 4,) for _ in range(8)] + [(None,)], "words array<string>")
+    assert {r["word"] for r in M.word_vectors(docs, size=4, rounds=2).collect()} == {"a", "b", "c"}
+    assert seen[0]["numPartitions"] == 4 and seen[0]["maxIter"] == 2
