@@ -103,6 +103,64 @@ def frequent_shingles(df: DataFrame, key: str, text: str, words: int) -> np.ndar
 # ---- step 1: sets, prefixes and regions
 
 
+def codes(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """A shingle's bucket and the upper half of its hash. Two that agree are parted in the order alike, which is an order still."""
+    return (tokens % np.uint64(buckets)) << np.uint64(32) | tokens >> np.uint64(32)
+
+
+def _listed(s: np.ndarray, last: np.ndarray, buckets: int) -> np.ndarray:
+    """Which shingles of a set are among those that go last, a sorted list of codes."""
+    if not len(last):
+        return np.zeros(len(s), bool)
+    code = codes(s, buckets)
+    at = np.searchsorted(last, code)
+    at[at == len(last)] = 0
+    return last[at] == code
+
+
+def _by_bucket(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Order by place, the places there are, and from where to where each one goes."""
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    at = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place)).tolist()
+    return order, place[at[:-1]], list(zip(at, at[1:], strict=False))
+
+
+_KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
+
+
+def pack(x: np.ndarray) -> bytes:
+    """64-bit integers as the least one and what each has above it, in as few bytes as the most needs."""
+    low, most = int(x.min()), int(x.max())
+    width = next(w for w in _KINDS if most - low < 1 << 8 * w)
+    return np.int64(low).tobytes() + (x.astype(np.int64).view(np.uint64) - np.int64(low).view(np.uint64)).astype(_KINDS[width]).tobytes()
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    above = np.frombuffer(data, _KINDS[(len(data) - 8) // n], offset=8).astype(np.uint64)
+    return (above + np.frombuffer(data, np.uint64, 1)).view(np.int64)
+
+
+def _common_shingles(df: DataFrame, key: str, text: str, words: int, similarity: int, buckets: int, frequent: np.ndarray) -> np.ndarray:
+    """Codes of shingles that more than a few documents have in a first round of prefixes. Halves of hashes tell them apart in a bucket."""
+    often = df.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = often.value
+        for batch in batches:
+            sets = [s for k, s in zip(batch.column(0).to_pylist(), shingle_sets(utf8(batch.column(1)), words), strict=True) if len(s) and k is not None]
+            if sets:
+                code = codes(np.concatenate([s[~_listed(s, last, buckets)][: prefix_length(len(s), similarity)] for s in sets]), buckets)
+                order, bucket, cuts = _by_bucket((code >> np.uint64(32)).astype(np.int32))
+                halves = code[order].astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([halves[a:b].tobytes() for a, b in cuts], pa.binary())], names=["bucket", "halves"])
+        release()
+
+    first = df.select(col(key).cast("long").alias("key"), col(text)).mapInArrow(run, "bucket int, halves binary")
+    found = first.repartition(buckets, "bucket").mapInArrow(_common, "code long, n long")
+    return found.orderBy(F.desc("n"), "code").limit(FREQUENT_MOST).select("code").toArrow()["code"].to_numpy().view(np.uint64)
+
+
 def _prefixes(df: DataFrame, key: str, text: str, words: int, similarity: int, buckets: int, frequent: np.ndarray) -> DataFrame:
     """Rows of three kinds: (key, n, sig) a document; (bucket, tokens, keys, sizes) rare prefix shingles; (token, key, n) frequent ones."""
     often = df.sparkSession.sparkContext.broadcast(frequent)
@@ -122,13 +180,8 @@ def _prefixes(df: DataFrame, key: str, text: str, words: int, similarity: int, b
             for k, s in zip(keys, sets, strict=True):
                 if not len(s) or k is None:
                     continue
-                if len(last):
-                    at = np.searchsorted(last, s)
-                    at[at == len(last)] = 0
-                    known = last[at] == s
-                    first = s[~known]
-                else:
-                    known, first = None, s
+                known = _listed(s, last, buckets)
+                first = s[~known]
                 most = prefix_length(len(s), similarity)
                 rare.append(first[:most])
                 rare_of.append(np.full(len(rare[-1]), k, np.int64))
@@ -142,11 +195,9 @@ def _prefixes(df: DataFrame, key: str, text: str, words: int, similarity: int, b
                 yield rows(token=np.concatenate(hot).view(np.int64), key=who, n=np.concatenate(hot_sizes), draw=draw(who))
             if rare:
                 tokens, owner, size = np.concatenate(rare), np.concatenate(rare_of), np.concatenate(sizes)
-                bucket = (tokens % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                tokens, owner, size, bucket = tokens[order], owner[order], size[order], bucket[order]
-                at = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
-                yield rows(bucket=bucket[at[:-1]], tokens=[tokens[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], keys=[owner[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], sizes=[size[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)])
+                order, bucket, cuts = _by_bucket((tokens % np.uint64(buckets)).astype(np.int32))
+                tokens, owner, size = tokens[order], owner[order], size[order]
+                yield rows(bucket=bucket, tokens=[tokens[a:b].tobytes() for a, b in cuts], keys=[pack(owner[a:b]) for a, b in cuts], sizes=[pack(size[a:b]) for a, b in cuts])
         release()
 
     return df.select(col(key).cast("long").alias("key"), col(text)).mapInArrow(run, "key long, n long, sig binary, bucket int, tokens binary, keys binary, sizes binary, token long, draw long")
@@ -208,13 +259,56 @@ def _elected(similarity: int):
     return run
 
 
+def _ballots(similarity: int, slots: int):
+    """slot, x, p, votes: the rows of `_elected` as blocks, one for each slot of documents x; a pair is no row until it is counted."""
+    found = _elected(similarity)
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [(t, unpack(k, len(t) // 8).tobytes(), unpack(n, len(t) // 8).astype(np.int32).tobytes()) for t, k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], pa.binary()) for i in range(3)], names=["tokens", "keys", "sizes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found(wide(batches)):
+            if batch.num_rows:
+                x, p, votes = (c.to_numpy() for c in batch.columns)
+                order, slot, cuts = _by_bucket((mix(x.view(np.uint64)) % np.uint64(slots)).astype(np.int32))
+                x, p, votes = x[order], p[order], votes[order].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), *(pa.array(c, pa.binary()) for c in ([pack(x[a:b]) for a, b in cuts], [pack(p[a:b]) for a, b in cuts], [votes[a:b].tobytes() for a, b in cuts]))], names=["slot", "x", "p", "votes"])
+        release()
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """x, p, votes: of how many prefix shingles of x in all buckets p is the pivot."""
+    parts: list[list[np.ndarray]] = [[], [], []]
+    for batch in batches:
+        for x, p, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            votes = np.frombuffer(v, np.int32)
+            for held, c in zip(parts, (unpack(x, len(votes)), unpack(p, len(votes)), votes), strict=True):
+                held.append(c)
+    if not parts[0]:
+        return
+    x, p, votes = map(np.concatenate, parts)
+    parts.clear()
+    order = np.lexsort((p, x))
+    x, p, votes = x[order], p[order], votes[order].astype(np.int64)
+    first, _ = _runs(x, p)
+    votes = np.add.reduceat(votes, first)
+    for at in range(0, len(first), 1 << 17):
+        rows = first[at : at + (1 << 17)]
+        yield pa.RecordBatch.from_arrays([pa.array(x[rows]), pa.array(p[rows]), pa.array(votes[at : at + (1 << 17)])], names=["x", "p", "votes"])
+    del x, p, votes, order, first
+    release()
+
+
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefix shingles of more than a few documents, and of how many."""
-    tokens = np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for batch in batches for x in batch.column(0).to_pylist())]))
-    first = np.flatnonzero(np.concatenate([tokens[:1] == tokens[:1], tokens[1:] != tokens[:-1]]))
-    n = np.diff(np.append(first, len(tokens)))
-    yield pa.RecordBatch.from_arrays([pa.array(tokens[first][n > COMMON].view(np.int64)), pa.array(n[n > COMMON])], names=["h", "n"])
-    del tokens
+    """Codes of prefix shingles of more than a few documents, and of how many."""
+    code = np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(h, np.uint32) | np.uint64(b) << np.uint64(32) for batch in batches for b, h in zip(*(c.to_pylist() for c in batch.columns), strict=True))]))
+    first, n = _runs(code)
+    yield pa.RecordBatch.from_arrays([pa.array(code[first][n > COMMON].view(np.int64)), pa.array(n[n > COMMON])], names=["code", "n"])
+    del code
     release()
 
 
@@ -383,16 +477,12 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     small_batches(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = df.agg(F.sum(F.octet_length(col(text)))).first()[0] or 0
-    # few buckets: a document and its pivot come out of each one that holds a shingle of theirs
     buckets = max(4, -(-int(size / 6 * (1 - similarity / 100 + EXTRA / 100)) // BUCKET_TOKENS))
     # a first round of prefixes finds the shingles there that more than a few documents have; they go last in the second
-    frequent = frequent_shingles(df, key, text, words)
-    first = materialize(_prefixes(df, key, text, words, similarity, buckets, frequent).filter("bucket is not null").select("bucket", "tokens"), "jaccard-first")
-    common = first.repartition(buckets, "bucket").select("tokens").mapInArrow(_common, "h long, n long").orderBy(F.desc("n"), "h").limit(FREQUENT_MOST).select("h")
-    frequent = np.union1d(frequent, common.toArrow()["h"].to_numpy().view(np.uint64))
-    drop_table(first)
+    frequent = np.unique(codes(frequent_shingles(df, key, text, words), buckets))
+    frequent = np.union1d(frequent, _common_shingles(df, key, text, words, similarity, buckets, frequent))
     made = materialize(_prefixes(df, key, text, words, similarity, buckets, frequent), "jaccard-prefixes")
-    docs = made.filter("sig is not null").select("key", "n", "sig")
+    docs = materialize(made.filter("sig is not null").select("key", "n", "sig"), "jaccard-docs")
     # classes of equal sets: copies point to the smallest key
     equal = materialize(docs.filter("n > 0 and key is not null").groupBy("sig").agg(F.min("key").alias("first"), F.max("key").alias("other")).filter("first <> other").select(F.col("sig").alias("same"), "first"), "jaccard-equal")
     named, same = docs.filter("key is not null"), small(equal, 250_000)
@@ -404,13 +494,16 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     own = named.join(small(by_key.filter("several").select("k")), F.col("key") == F.col("k"), "left_semi")
     bridges = own.join(same, F.col("sig") == F.col("same")).filter("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
     # step 1: who sees which pivot, by how many shingles
-    rare = made.filter("bucket is not null").select("tokens", "keys", "sizes", "bucket").repartition(buckets, "bucket").select("tokens", "keys", "sizes").mapInArrow(_elected(similarity), "x long, p long, votes long")
+    rare = made.filter("bucket is not null").select("tokens", "keys", "sizes", "bucket").repartition(buckets, "bucket").select("tokens", "keys", "sizes").mapInArrow(_ballots(similarity, buckets), "slot int, x binary, p binary, votes binary")
+    # a document and its pivot come out of each bucket that holds a shingle of theirs
+    rare = rare.repartition(buckets, "slot").select("x", "p", "votes").mapInArrow(_counted, "x long, p long, votes long")
     kind = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.01 / similarity))).cast("int")
     hot = made.filter("token is not null").select("token", "key", "draw", F.explode(F.array(kind, kind - 1)).alias("window"))
     heads = hot.groupBy("token", "window").agg(F.min(F.struct("draw", F.col("key").alias("p"))).alias("m"), F.min("key").alias("low"), F.max("key").alias("high"))
     heads = materialize(heads.filter("low <> high").select(F.col("token").alias("t"), F.col("window").alias("w"), "m.p"), "jaccard-heads")
     often = hot.join(small(heads), (F.col("token") == F.col("t")) & (F.col("window") == F.col("w"))).select(F.col("key").alias("x"), "p", F.lit(1).cast("long").alias("votes"))
     seen = materialize(rare.unionAll(often).groupBy("x", "p").agg(F.sum("votes").alias("votes")), "jaccard-seen")
+    drop_table(made)
     votes = seen.groupBy(F.col("x").alias("voter")).agg(F.sum("votes").alias("all"))
     alive = materialize(votes.join(small(by_key), F.col("voter") == F.col("k")).filter(F.col("all") >= F.col("need")).select("k", "need"), "jaccard-alive")
     by_votes = Window.partitionBy("x").orderBy("votes", "p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -426,9 +519,13 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     wanted = materialize(regions.select(F.col("x").alias("id")).unionAll(parts.select(F.col("q").alias("id"))).distinct(), "jaccard-wanted")
     texts = materialize(df.select(col(key).cast("long").alias("id"), col(text).alias("text")).join(small(wanted), "id", "left_semi"), "jaccard-texts")
 
+    met: list[DataFrame] = []
+
     def meet(rows: DataFrame, run, schema: str) -> DataFrame:
         """Rows p, part, role, x, comp with their texts, those of a region's part together, role 0 first."""
-        with_text = rows.join(texts, F.col("x") == F.col("id")).select("p", "part", "role", "x", "comp", "text")
+        met.append(materialize(rows, "jaccard-met"))
+        # few rows go to the texts, which then move once, to their regions
+        with_text = texts.join(small(met[-1]), F.col("x") == F.col("id")).select("p", "part", "role", "x", "comp", "text")
         return with_text.repartition(tasks, "p", "part").sortWithinPartitions("p", "part", "role").mapInArrow(run, schema)
 
     def measure(members: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -467,7 +564,7 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     merged = stars(ends).select(F.col("node").alias("m"), F.col("comp").alias("into"))
     out = docs.join(small(copies), F.col("key") == F.col("k"), "left").withColumn("node_of", F.coalesce("r", "key"))
     out = comp_of(out, "node_of", "comp").join(small(merged), F.col("comp") == F.col("m"), "left")
-    for done in (equal, heads, seen, alive, pairs, parts, regions, wanted, texts, measured, known, open_regions, inside, late):
+    for done in (equal, heads, seen, alive, pairs, parts, regions, wanted, texts, measured, known, open_regions, inside, late, *met):
         drop_table(done)
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("into", "comp").alias("component_id"))
 

@@ -159,6 +159,50 @@ def test_searches_of_a_large_region_are_split(spark, block, monkeypatch):
     assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in rows} == {k: (want[k], sizes[k]) for k in texts}
 
 
+def test_bytes_and_rows_of_elections_do_not_grow_with_buckets(spark, docs, monkeypatch):
+    """Over many buckets a pair of document and pivot is one row, and a rare prefix shingle takes 12 bytes and a row's own few."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_TOKENS", 200)
+    texts = {k: v for k, v in docs.items() if k < 60}
+    for j in range(40):  # pairs of near copies, which share shingles in nearly all buckets
+        w = [f"w{j}x{i}" for i in range(400)]
+        texts |= {1000 + 2 * j: " ".join(w), 1001 + 2 * j: " ".join(w[:-9])}
+    df, tables, votes = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1), {}, []
+    kept, arrow = jaccard_join.materialize, type(df).mapInArrow
+
+    def materialize(table, label):
+        tables[label] = made = kept(table, label)
+        if label == "jaccard-prefixes":
+            tables[label] = [(len(r["tokens"]), len(r["keys"]) + len(r["sizes"])) for r in made.filter("bucket is not null").collect()]
+        if label == "jaccard-seen":
+            votes.extend((r["x"], r["p"]) for r in pairs[0].collect())
+        return made
+
+    pairs = []
+
+    def map_in_arrow(self, run, schema, *more, **named):
+        out = arrow(self, run, schema, *more, **named)
+        if schema == "x long, p long, votes long":
+            pairs.append(out)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", materialize)
+    monkeypatch.setattr(type(df), "mapInArrow", map_in_arrow)
+    want, _ = components(texts)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicate_classes(df).collect()} == want
+    assert len(votes) == len(set(votes)) > 40
+    rows = tables["jaccard-prefixes"]
+    assert len(rows) >= 20
+    assert sum(rest for _, rest in rows) <= sum(tokens // 8 * 4 + 16 for tokens, _ in rows)
+    assert "jaccard-first" not in tables
+
+
+def test_packed_integers_are_whole():
+    for x in ([0], [-(2**63), 2**63 - 1], [7, 7, 262], [5, 5 + 2**16], [-3, 2**32 - 3], [2**62, 2**62 + 255]):
+        data = jaccard_join.pack(np.array(x, np.int64))
+        assert jaccard_join.unpack(data, len(x)).tolist() == x
+    assert len(jaccard_join.pack(np.arange(10**12, 10**12 + 200))) == 208
+
+
 def test_elections_lose_no_link():
     """Two that link keep a pivot in common, whatever votes their smallest pivots lose."""
     rng = np.random.default_rng(11)
